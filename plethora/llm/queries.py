@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plethora.llm import line_dedup
+from plethora.llm import exact_dedup, line_dedup
 
 _MODULES = {
+    "op2_exact_dedup": exact_dedup,
     "op9_line_dedup": line_dedup,
 }
 
