@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plethora.llm import bpe, exact_dedup, line_dedup, secret_scan
+from plethora.llm import bpe, exact_dedup, language_id, line_dedup, secret_scan
 
 _MODULES = {
     "op2_exact_dedup": exact_dedup,
     "op4_bpe": bpe,
     "op7_secret_scan": secret_scan,
     "op9_line_dedup": line_dedup,
+    "op10_language_id": language_id,
 }
 
 
