@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plethora.llm import bpe, exact_dedup, language_id, line_dedup, secret_scan
+from plethora.llm import bpe, exact_dedup, language_id, line_dedup, secret_scan, toxicity
 
 _MODULES = {
     "op2_exact_dedup": exact_dedup,
     "op4_bpe": bpe,
+    "op6_toxicity": toxicity,
     "op7_secret_scan": secret_scan,
     "op9_line_dedup": line_dedup,
     "op10_language_id": language_id,
