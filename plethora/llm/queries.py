@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plethora.llm import bpe, exact_dedup, language_id, line_dedup, secret_scan, toxicity
+from plethora.llm import bpe, exact_dedup, fingerprints, language_id, line_dedup, secret_scan, toxicity
 
 _MODULES = {
     "op2_exact_dedup": exact_dedup,
+    "op3_fingerprints": fingerprints,
     "op4_bpe": bpe,
     "op6_toxicity": toxicity,
     "op7_secret_scan": secret_scan,
