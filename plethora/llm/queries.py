@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from plethora.llm import bpe, exact_dedup, fingerprints, language_id, line_dedup, secret_scan, toxicity
+from plethora.llm import bpe, chat, exact_dedup, fingerprints, language_id, line_dedup, mixing, secret_scan, toxicity
 
 _MODULES = {
     "op2_exact_dedup": exact_dedup,
     "op3_fingerprints": fingerprints,
     "op4_bpe": bpe,
+    "op5_chat": chat,
     "op6_toxicity": toxicity,
     "op7_secret_scan": secret_scan,
+    "op8_mixing": mixing,
     "op9_line_dedup": line_dedup,
     "op10_language_id": language_id,
 }
