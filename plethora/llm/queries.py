@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plethora.llm import bpe, chat, exact_dedup, fingerprints, language_id, line_dedup, mixing, secret_scan, toxicity
+from plethora.llm import bpe, chat, exact_dedup, fingerprints, language_id, line_dedup, minhash, mixing, secret_scan, toxicity
 
 _MODULES = {
+    "op1_minhash": minhash,
     "op2_exact_dedup": exact_dedup,
     "op3_fingerprints": fingerprints,
     "op4_bpe": bpe,
