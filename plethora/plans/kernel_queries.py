@@ -117,7 +117,7 @@ def perfusion_and_saturation(spark, sf):
     return d.select("rec", "i", r6("pi", "pi"), r6(spo2, "spo2"), op.display_class(F.col("pi") / 300).alias("class"))
 
 
-@query("OPT1 DM17", """SELECT user_id, event_id, round(event_id % 16777216 * 0.015625, 6) AS channel_0, round(user_id * 0.015625, 6) AS channel_1, (event_id % 100 - 50)::BIGINT AS temperature FROM events""")
+@query("OPT1 DM17", """SELECT user_id, event_id, round(event_id % 16777216 * 0.015625::DOUBLE, 6) AS channel_0, round(user_id * 0.015625::DOUBLE, 6) AS channel_1, (event_id % 100 - 50)::BIGINT AS temperature FROM events""")
 def device_frames(spark, sf):
     """Frames written from the events and decoded again."""
     from plethora.sources.files import device_frame
