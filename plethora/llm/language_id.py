@@ -95,13 +95,13 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, allowed: Column) -> tuple[list[str], list[str]]:
     """The training rows. Ids alone are ranked; their texts are then fetched by a broadcast of at most PER_LANG * MAX_LANGS ids."""
-    known = docs.where(allowed & column(lang_col).isNotNull() & column(text_col).isNotNull())
-    most = known.groupBy(column(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    key = F.xxhash64(column(id_col).cast("string"), F.lit(11))
-    ids = known.select(column(id_col).alias("id"), column(lang_col).alias("lang"), key.alias("key"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))
-    chosen = ids.join(F.broadcast(most), "lang", "left_semi").withColumn("rank", rank).where(F.col("rank") <= PER_LANG).select(F.col("id").alias("c_id")).dropDuplicates()
-    rows = known.join(F.broadcast(chosen), column(id_col) == F.col("c_id"), "left_semi").select(key.alias("key"), F.substring(column(text_col), 1, TRAIN_CHARS).alias("t"), column(lang_col).cast("string").alias("l"))
+    text, lang = column(text_col).cast("string"), column(lang_col).cast("string")
+    known = docs.where(allowed & lang.isNotNull() & text.isNotNull()).select(column(id_col).alias("id"), text.alias("t"), lang.alias("l"), F.xxhash64(column(id_col).cast("string"), F.lit(11)).alias("key"))
+    most = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).select("l")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("key", "id"))
+    ids = known.select("id", "l", "key").join(F.broadcast(most), "l", "left_semi").withColumn("rank", rank).where(F.col("rank") <= PER_LANG)
+    chosen = ids.select(F.col("id").alias("c_id")).dropDuplicates()
+    rows = known.join(F.broadcast(chosen), F.col("id") == F.col("c_id"), "left_semi").select("key", F.substring("t", 1, TRAIN_CHARS).alias("t"), "l")
     found = sorted(map(tuple, rows.limit(2 * PER_LANG * MAX_LANGS).collect()))
     return [t for _, t, _ in found], [l for _, _, l in found]
 

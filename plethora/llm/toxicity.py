@@ -163,7 +163,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     counts = {r[0]: r[1] for r in known.groupBy("c_label").count().collect()}  # two rows at most
     key = F.xxhash64(F.col("c_id").cast("string"), F.lit(13))
     chosen = known.where("c_label = 0").orderBy(key, "c_id").limit(PER_LABEL).union(known.where("c_label = 1").orderBy(key, "c_id").limit(PER_LABEL))
-    rows = docs.join(F.broadcast(chosen), column(id_col) == F.col("c_id")).select(F.col("c_id"), F.coalesce(F.substring(column(text_col), 1, TRAIN_CHARS), F.lit("")).alias("t"), "c_label")
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(F.substring(column(text_col), 1, TRAIN_CHARS), F.lit("")).alias("t"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("c_id")).select("c_id", "t", "c_label")
     found = sorted(map(tuple, rows.limit(4 * PER_LABEL).collect()))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return [t for _, t, _ in found], [l for _, _, l in found], share
