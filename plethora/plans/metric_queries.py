@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plethora.operators import cleaning as cl
+from plethora.operators import gates as ga
 from plethora.operators import joins as jo
 from plethora.operators import metrics as me
 from plethora.operators import ranking as ra
@@ -411,3 +412,39 @@ def within_group_robustness(spark, sf):
     c = ra.risk_coverage(_methods(spark, sf), ["method", "o_orderpriority"], "score", "ae", jo.values(spark, [(c,) for c in _GRID], "c double"), ["o_orderkey"])
     a = ra.aurc(c, ["o_orderpriority"], "method", 0.0)
     return a.groupBy("method").agg(F.count(F.lit(1)).alias("groups"), r6(F.median("aurc"), "median_aurc"), r6(F.min("aurc"), "least_aurc"))
+
+
+_GATES = f"""{_EST}, b AS (SELECT *, o_custkey % 10 AS subj, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS base, CASE WHEN ref >= 325000 THEN 3 WHEN ref >= 175000 THEN 2 ELSE 1 END AS rl, CASE WHEN est >= 325000 THEN 3 WHEN est >= 175000 THEN 2 ELSE 1 END AS sl FROM e WHERE est IS NOT NULL),
+t AS (SELECT f.subj AS fold, quantile_cont(b.q, 0.5) AS t50, quantile_cont(b.q, 0.75) AS t25 FROM (SELECT DISTINCT subj FROM b) f JOIN b ON b.subj <> f.subj GROUP BY f.subj),
+g AS (SELECT *, max(CASE WHEN base THEN q END) OVER (PARTITION BY o_custkey) AS bq FROM b), h AS (SELECT g.*, TRUE AS everything, coalesce(q >= t50 AND bq >= t50, FALSE) AS consistent50, coalesce(q >= t25 AND bq >= t25, FALSE) AS consistent25 FROM g JOIN t ON g.subj = t.fold)"""
+
+
+def _gated(spark, sf):
+    d = _levels(spark, sf).withColumns({"subj": F.col("o_custkey") % 10, "base": F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) == 1})
+    return ga.consistency_gates(d, "subj", "o_custkey", "base", "q", {"consistent50": 0.5, "consistent25": 0.25}).withColumn("everything", F.lit(True))
+
+
+@query("EVL1 JN2 JN8", f"WITH {_GATES} SELECT subj, count(*) AS n, count(*) FILTER (consistent50) AS at50, count(*) FILTER (consistent25) AS at25 FROM h GROUP BY subj")
+def consistency_gate(spark, sf):
+    """Orders that reach, with their customer's first order, the quality that other cohorts set."""
+    return _gated(spark, sf).groupBy("subj").agg(F.count(F.lit(1)).alias("n"), F.count_if("consistent50").alias("at50"), F.count_if("consistent25").alias("at25"))
+
+
+@query("EVL2 AGG10 AGG11 AGG19", f"""WITH {_GATES}, r AS (SELECT 'everything' AS rule, everything AS shown, rl, sl FROM h UNION ALL SELECT 'consistent50', consistent50, rl, sl FROM h UNION ALL SELECT 'consistent25', consistent25, rl, sl FROM h),
+c AS (SELECT rule, rl, sl, count(*) AS m FROM r WHERE shown GROUP BY ALL), n AS (SELECT rule, sum(m) AS n, sum(m) FILTER (rl = sl) / sum(m) AS po FROM c GROUP BY rule),
+pe AS (SELECT a.rule, sum(a.m * b.m) AS s FROM (SELECT rule, rl AS k, sum(m) AS m FROM c GROUP BY ALL) a JOIN (SELECT rule, sl AS k, sum(m) AS m FROM c GROUP BY ALL) b ON a.rule = b.rule AND a.k = b.k GROUP BY a.rule),
+f AS (SELECT rule, avg(shown::INT) AS coverage, avg((sl > 1)::INT) FILTER (shown AND rl = 1) AS fa, avg((sl = 1)::INT) FILTER (shown AND rl > 1) AS ms FROM r GROUP BY rule)
+SELECT f.rule, round(coverage, 6) AS coverage, n::BIGINT AS n, round((po - s / n / n) / (1 - s / n / n), 6) AS kappa, round(fa, 6) AS false_alarm, round(ms, 6) AS miss FROM f JOIN n ON f.rule = n.rule JOIN pe ON f.rule = pe.rule""")
+def display_rule_evaluation(spark, sf):
+    e = ga.evaluate_rules(_gated(spark, sf), ["everything", "consistent50", "consistent25"], "rl", "sl")
+    return e.select("rule", r6("coverage", "coverage"), "n", *[r6(c, c) for c in ("kappa", "false_alarm", "miss")])
+
+
+@query("ML7 EVL4 AGG20 TOP6", f"""WITH {_EST}, m AS (SELECT o_orderkey % 2 AS half, abs(est - ref) AS ae, coalesce(q, -1) AS s FROM e WHERE est IS NOT NULL), l AS (SELECT half, lim, (ae <= lim)::INT AS y, s FROM m, (VALUES (5000), (10000), (20000)) AS t(lim)),
+x AS (SELECT half, lim, s, sum(y) AS p, count(*) AS k FROM l GROUP BY ALL), w AS (SELECT *, coalesce(sum(k - p) OVER (PARTITION BY half, lim ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM x)
+SELECT half, lim, round(sum(p * (below + (k - p) / 2)) / (sum(p) * sum(k - p)), 6) AS auroc FROM w GROUP BY half, lim""")
+def label_threshold_sensitivity(spark, sf):
+    """AUROC of the quality under three limits of what is good."""
+    d = _estimates(spark, sf).where("est IS NOT NULL").select((F.col("o_orderkey") % 2).alias("half"), F.abs(F.col("est") - F.col("ref")).alias("ae"), F.coalesce("q", F.lit(-1.0)).alias("s"))
+    long = jo.grid(d, jo.values(spark, [(5000,), (10000,), (20000,)], "lim int")).withColumn("y", (F.col("ae") <= F.col("lim")).cast("int"))
+    return me.auroc(long, ["half", "lim"], "s", "y").select("half", "lim", r6("auroc", "auroc"))
