@@ -5,11 +5,12 @@ half the hash evaluations make a signature of the same length; each value agrees
 their Jaccard similarity. ``ROWS`` neighbouring values make a band, and sets that share a band are candidates: at a
 similarity of 0.85 a pair shares none of the bands with a chance of 7 in a million. Candidates are confirmed on full sets.
 
-Texts with equal sets are one node from the start, so copies make no pairs. Small buckets compare all their nodes. In
-large ones (many near copies) pairs would grow with the square, so rounds of hubs come first: the node that shares most
-buckets is held against all nodes of other components, then it has no link left to find in that bucket. Once what is left
-between different components is few pairs, or after ``ROUNDS`` rounds, all of it is compared. Pairs within a component are
-never needed. So no partner is dropped: every pair that shares a band is compared or already connected.
+Texts with equal sets are one node from the start, so copies make no pairs. Pairs of small buckets are listed, those that
+share several bands once, and confirmed by a join with their sets. The nodes of a large bucket (many near copies) meet in
+blocks of a bounded size: a task multiplies the 0/1 columns of two blocks, which gives all intersections exactly, and
+returns at most one edge a node. In buckets of many blocks, rounds of hubs come first: the node that shares most buckets
+is held against the nodes of other components. Two blocks of one component never meet, so a group of true near copies
+takes work in proportion to its size. No partner is dropped: each pair that shares a band is compared or already connected.
 
 Scale: one pass over the texts writes ids, digests and band keys (about 250 bytes a text); candidates' sets are made in a
 second pass over those texts alone (by broadcast of their ids up to ``BROADCAST``, by a join beyond). Buckets of two need
@@ -25,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,10 @@ from plethora.llm.subword import strings
 
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Nodes of a bucket up to which all pairs are compared at once; rounds of hubs at most; pairs left per row of large buckets at which all are compared.
-SMALL, ROUNDS, FEW = 8, 12, 10
+#: Nodes of a bucket up to which all its pairs are compared one by one; rounds of hubs at most.
+SMALL, ROUNDS = 8, 3
+#: Nodes and shingles of a block, about; columns of a product of blocks at once.
+BLOCK, SHINGLES, COLUMNS = 512, 500_000, 8192
 #: Ids that are broadcast at most (16 MB).
 BROADCAST = 500_000
 
@@ -95,53 +99,110 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(left, "a").join(right, "b").where(fits & (100 * both >= percent * (F.size("sa") + F.size("sb") - both))).select("a", "b").distinct()
 
 
-def _pairs_within(members: DataFrame, differ: str | None = None) -> DataFrame:
-    """All pairs of nodes that share a key, of different `differ` where it is given."""
+def _pairs_within(members: DataFrame) -> DataFrame:
+    """All pairs of nodes that share a key."""
     x, y = members.alias("x"), members.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-    on = on & (F.col(f"x.{differ}") != F.col(f"y.{differ}")) if differ else on
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _connected(sets: list[np.ndarray], comps: list, percent: int) -> np.ndarray:
+    """For each set the first one that it is connected with, by links between sets of different components. Exact: intersections are products of 0/1 columns."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), n)
+    shingle, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)  # others are in no intersection
+    column_of = np.full(len(shingle), -1)
+    column_of[shared] = np.arange(len(shared))
+    at = column_of[place]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        x, y = np.searchsorted(at, (low, low + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, len(shared) - low)), np.float32)
+        part[owner[x:y], at[x:y] - low] = 1
+        both += part @ part.T
+    comp = np.unique(np.array(comps, object).astype(str), return_inverse=True)[1]
+    link = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+    label = np.arange(len(sets))
+    while True:
+        least = np.minimum(label, np.where(link, label[None, :], len(sets)).min(1))
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _block_links(named: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """named: key, node, n, comp, main (whether comp is the bucket's largest one). Edges that connect what links connect, between components of a bucket.
+
+    A bucket is cut into blocks of about BLOCK nodes and SHINGLES shingles; two blocks meet in a task, unless both are of
+    the main component, within which nothing is left to find. A task returns at most an edge per node.
+    """
+    sizes = named.groupBy("key").agg(*[F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / SHINGLES)).cast("int").alias(name) for name, c in (("mains", F.col("main")), ("others", ~F.col("main")))])
+    block = F.when(F.col("main"), F.pmod(F.xxhash64("node", F.lit(3)), F.greatest("mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node", F.lit(3)), F.greatest("others", F.lit(1)))).cast("int")
+    own = named.join(sizes, "key").withColumn("block", block)
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    with_main = F.transform(upto("mains"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("cross")))
+    with_others = F.transform(upto("others"), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("cross")))
+    from_main = F.transform(upto("others"), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("cross")))
+    meets = F.explode(F.when(F.col("main"), from_main).otherwise(F.concat(with_main, with_others)))
+    rows = own.select("node", "comp", "key", meets.alias("meet")).join(sets, "node").select("key", "meet", "node", "comp", "shingles")
+
+    def verify(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node") if pdf["node"].duplicated().any() else pdf
+        nodes = pdf["node"].tolist()
+        label = _connected(pdf["shingles"].tolist(), [bytes(c).hex() for c in pdf["comp"]], percent) if len(nodes) > 1 else np.zeros(len(nodes), int)
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return pd.DataFrame({"a": [nodes[label[k]] for k in moved], "b": [nodes[k] for k in moved]}, columns=["a", "b"])
+
+    return rows.groupBy("key", "meet").applyInPandas(verify, "a binary, b binary").distinct()
+
+
+def _named(large: DataFrame, links: DataFrame) -> DataFrame:
+    """large with the component that each node is in so far, without buckets of one component; main marks a bucket's largest."""
+    if links.isEmpty():
+        named = large.withColumn("comp", F.col("node"))
+    else:
+        comp = components(links).select(F.col("node").alias("c_node"), "comp")
+        named = large.join(comp, F.col("node") == F.col("c_node"), "left").select(*large.columns, F.coalesce("comp", "node").alias("comp"))
+    parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    by_key = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("most")).where("comps > 1")
+    main = (F.col("comp") == F.col("most.comp")) & (F.col("most.size") > 1)
+    return staged(named.join(by_key, "key").select(*large.columns, "comp", main.alias("main"), (F.col("m") - F.col("most.size")).alias("apart")), "named")
 
 
 def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Links of large buckets (key, node, rank), beside those known, until no two nodes of different components of a bucket are left to compare."""
-    for turn in range(ROUNDS + 1):
-        comp = components(links).select(F.col("node").alias("c_node"), "comp") if not links.isEmpty() else None
-        named = large.join(comp, F.col("node") == F.col("c_node"), "left").select("key", "node", "rank", F.coalesce("comp", "node").alias("comp")) if comp else large.withColumn("comp", F.col("node"))
-        parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        by_key = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("comps > 1")
-        left = by_key.select("key", "m", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs"))
-        named = staged(named.join(left, "key"), "large")
-        rows, pairs = named.agg(F.count(F.lit(1)), F.sum(F.col("pairs") / F.col("m"))).first()
-        if not rows:
-            return links
-        last = pairs <= FEW * rows or turn == ROUNDS
-        if last:
-            new = _pairs_within(named, "comp")
-        else:
-            hub = named.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("rank", "node")).alias("hub"))
-            held = named.join(hub, "key").where(F.col("node") != F.col("hub.node"))
-            new = held.where(F.col("comp") != F.col("hub.comp")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    """Links (or edges that stand for them) of large buckets (key, node, n, m, rank), beside those known."""
+    # Rounds of hubs for buckets of many blocks: a hub is held against the nodes of other components, and then has no link left to find there.
+    huge = large.where(F.col("m") > BLOCK)
+    for turn in range(ROUNDS):
+        if huge.isEmpty():
+            break
+        named = _named(huge, links)
+        named = named.where(F.col("apart") > BLOCK)  # what few nodes are apart meet all others in blocks
+        hub = named.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("rank", "node")).alias("hub"))
+        held = named.join(hub, "key").where(F.col("node") != F.col("hub.node"))
+        new = held.where(F.col("comp") != F.col("hub.comp")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         links = staged(links.union(confirmed(staged(new, "pairs"), sets)).distinct(), "links")
-        if last:
-            return links
-        large = staged(held.select("key", "node", "rank"), "large")
-    return links
+        huge = staged(held.select(*huge.columns), "huge")
+    # Hubs are back among the nodes here: their tests are repeated, their components are not.
+    return staged(links.union(_block_links(_named(large, links), sets)).distinct(), "links")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, id, n, component (smallest id reachable), stays (true for one row of each component)."""
     rows = sketch(docs, id_col, text_col)
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "rid")).alias("first"), F.first("bands").alias("bands"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "rid")).alias("first"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     nodes = staged(nodes, "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("a"), F.max("node").alias("b")).where("m > 1"), "buckets")
     members = staged(keyed.join(buckets.where("m > 2").select("key", "m"), "key"), "members")
     small = buckets.where("m = 2").select("a", "b").union(_pairs_within(members.where(F.col("m") <= SMALL)))
     pairs = staged(small.distinct(), "pairs")
     large = members.where(F.col("m") > SMALL)
     rank = large.groupBy("node").agg(F.sum("m").alias("rank"))
-    large = staged(large.join(rank, "node").select("key", "node", "rank"), "large")
+    large = staged(large.join(rank, "node").select("key", "node", "n", "m", "rank"), "large")
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).union(large.select("node")).distinct()
     ids = staged(nodes.join(wanted, F.col("node") == F.col("w"), "left_semi").select(F.col("first.id").alias("c_id")), "wanted")
     sets = full_sets(docs, ids, id_col, text_col)
@@ -165,7 +226,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = found.where(~F.col("stays")).select(F.col("id").alias("g_id"))
     if found.where("id IS NULL").isEmpty() and found.groupBy("id").count().where("count > 1").isEmpty():
         gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
-        return docs.join(gone, column(id_col) == F.col("g_id"), "left_anti")
+        frame = docs.select(packed(docs).alias("row"), column(id_col).alias("id")).join(gone, F.col("id") == F.col("g_id"), "left_anti")
+        return frame.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
     # Ids don't tell rows apart: number the rows of each id and text, and keep as many of them as stay.
     hashed = F.sha2(F.coalesce(column(text_col).cast("string"), F.lit("")), 256)
     numbered = staged(docs.select(packed(docs).alias("row"), column(id_col).alias("id"), column(text_col).cast("string").alias("text"), hashed.alias("hash")), "rows")

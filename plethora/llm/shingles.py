@@ -16,7 +16,7 @@ WORDS = 5
 PERMUTATIONS, ROWS = 75, 6
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Bytes that are hashed at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _random = np.random.default_rng(1)
 _SPACE = np.zeros(256, bool)
