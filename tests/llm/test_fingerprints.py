@@ -10,7 +10,8 @@ def test_chunks_survive_an_insertion():
     text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(2000)).encode()
     a, b = chunk_sets([text, text[:5000] + b"inserted words" + text[5000:]])
     assert containment(a, b) > 0.97
-    assert all(MIN <= int(x) & 255 <= MAX for x in a[:-1]) or True
+    sizes = [int(x) & 255 for x in a]
+    assert max(sizes) <= MAX and sum(n < MIN for n in sizes) <= 1  # the last chunk may be short
     assert fp.unpacked(fp.packed_set(a)).tolist() == a.tolist()
 
 
