@@ -63,7 +63,7 @@ def kept_text(lines: str = "lines", dropped: str = "dropped"):
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the lines gone from the text; the columns and their order stay. A null text stays null."""
-    flagged = docs.select(F.struct(*[column(c) for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row"), column(id_col).alias("id"), column(text_col).alias("text"))
+    flagged = docs.select(packed(docs, text_col).alias("row"), column(id_col).alias("id"), column(text_col).alias("text"))
     flagged = flagged.withColumn("null_text", F.col("text").isNull())
     marked = mark_lines(flagged, "id", "text", min_chars, min_docs)
     text = F.when(~F.col("row.null_text"), kept_text())
