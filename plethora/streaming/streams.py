@@ -7,7 +7,6 @@ comes at or below the last one taken in is late and dropped, and counted in the
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,19 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plethora.functions import pulse, stress
-
-
-def shared_folder(spark: SparkSession) -> str:
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    own = tempfile.mkdtemp(prefix="plethora-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+from plethora.sources.shared import fresh_path
 
 
 def read_table(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -44,7 +31,7 @@ def read_table(spark: SparkSession, path: str, per_trigger: int | None = None) -
 def run_to_table(stream: DataFrame, mode: str, last_only: bool = False) -> DataFrame:
     """Runs a stream over what is there, into a Parquet table of the shared folder. last_only: complete results, of which the last stays."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/plethora/streams/{uuid.uuid4().hex}"
+    base = fresh_path(spark, "streams")
     out = f"{base}/out"
     sink: Callable[[DataFrame, int], None] = lambda batch, _: batch.write.mode("overwrite" if last_only else "append").parquet(out)
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()

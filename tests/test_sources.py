@@ -37,3 +37,54 @@ def test_assert_unique_fails_on_shared_keys(spark):
     d = spark.createDataFrame([(1,), (1,)], "k int")
     with pytest.raises(Exception, match="rows share k"):
         assert_unique(d, "k").collect()
+
+
+def _element(kind, body):
+    import struct
+
+    return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+
+def _matrix(name, kind, shape, *parts):
+    import struct
+
+    head = _element(6, struct.pack("<II", kind, 0)) + _element(5, struct.pack("<ii", *shape)) + _element(1, name.encode())
+    return _element(14, head + b"".join(parts))
+
+
+def _numbers(name, values):
+    return _matrix(name, 6, (1, len(values)), _element(9, np.array(values, "<f8").tobytes()))
+
+
+def _struct(name, **fields):
+    import struct
+
+    names = b"".join(f.encode().ljust(8, b"\0") for f in fields)
+    return _matrix(name, 2, (1, 1), struct.pack("<HHI", 5, 4, 8), _element(1, names), *fields.values())
+
+
+def test_mat_files_with_nested_structs(tmp_path, spark):
+    import zlib
+
+    from plethora.sources import mat5
+
+    ecg, ppg = (_struct("", v=_numbers("", v), fs=_numbers("", [128.0])) for v in ([1.0, 2.0, np.nan], [5.0, 6.0, 7.0]))
+    inner = _struct("", ecg=ecg, ppg=ppg)
+    top = _struct("data", sternum=inner, note=_matrix("", 4, (1, 2), _element(16, b"ok")), list=_matrix("", 1, (1, 2), _numbers("", [1]), _numbers("", [2, 3])))
+    body = zlib.compress(top)
+    import struct
+
+    (tmp_path / "an0.mat").write_bytes(b" " * 124 + b"\x00\x01IM" + struct.pack("<II", 15, len(body)) + body)
+    found = mat5.read((tmp_path / "an0.mat").read_bytes())["data"]
+    assert found["note"] == "ok" and [x.ravel().tolist() for x in found["list"]] == [[1], [2, 3]]
+    fields = {"ecg": ["data", "sternum", "ecg", "v"], "ppg": ["data", "sternum", "ppg", "v"]}
+    rows = mat5.channels(spark, str(tmp_path), fields, ["fs"]).orderBy("channel", "i").collect()
+    assert [(r.record, r.fs, r.channel, r.value) for r in rows] == [("an0", 128.0, "ecg", v) for v in (1.0, 2.0, None)] + [("an0", 128.0, "ppg", v) for v in (5.0, 6.0, 7.0)]
+    mat5.extract(spark, str(tmp_path), str(tmp_path / "out"), fields, ["fs"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_display_protocol():
+    from plethora.operators.gates import frozen_protocol
+
+    assert frozen_protocol(0.6, 0.62, 0.3)["passed"] and not frozen_protocol(0.5, 0.62, 0.3)["passed"] and not frozen_protocol(0.6, 0.6, 0.2)["passed"]
