@@ -6,8 +6,8 @@ gives every run its document's label, each further pass keeps of a toxic documen
 A document's score is a logistic function, fitted on the same rows, of its highest run, so one toxic run is enough in a text
 of any length.
 
-The model is fitted in the driver on a bounded sample of labelled rows, chosen by hash: at most ``PER_LABEL`` documents of
-each label, the first ``TRAIN_CHARS`` code points of each. Scoring reads every whole text, in Arrow batches and pieces of
+The model is fitted in the driver on a bounded sample of labelled rows, chosen by hash: at most ``HARMLESS`` and ``TOXIC``
+documents of the two labels, the first ``TRAIN_CHARS`` code points of each. Scoring reads every whole text, in Arrow batches and pieces of
 bounded size, without any shuffle; the broadcast model is one float for each of 2^bits buckets.
 
 Defined results: null, empty and wordless texts have no run and get the score of a text whose runs are all harmless.
@@ -28,7 +28,9 @@ from plethora.llm.common import column, packed, table
 from plethora.llm.subword import BagModel, fold, grams, pieces, strings
 
 WORDS, ORDERS, BITS, DIM = 3, (3, 4, 5, 6), 17, 6
-PER_LABEL, TRAIN_CHARS = 2000, 4000
+HARMLESS, TOXIC, TRAIN_CHARS = 2000, 1000, 2000
+#: Bags that are scored at once while training.
+SCORED = 20_000
 PASSES, EPOCHS, BATCH = 3, 2, 4096
 #: Runs that a toxic document keeps after a pass, and the score from which a document is predicted toxic.
 TOP_RUNS, THRESHOLD = 2, 0.3
@@ -115,26 +117,24 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
     if len(set(labels)) < 2:
         return Model(None, float(y.mean()) if len(y) else 0.0, None)
     share = float(y.mean()) if share is None else share
-    raw = [t.encode("utf-8") for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    first = np.cumsum([0, *map(len, raw)])[:-1]
-    doc = np.flatnonzero(np.fromiter(map(len, raw), np.int64) > 0)
-    first = first[doc]
-    folded = fold(data)
-    starts, piece = runs(folded, first)
-    run_of = np.searchsorted(starts, np.arange(len(folded)), "right") - 1
-    ids, owner = [], []
-    for bucket in buckets(folded, first):
-        used = np.flatnonzero((bucket < 1 << BITS) & (run_of >= 0))
-        ids.append(bucket[used]), owner.append(run_of[used].astype(np.int32))
-    ids, owner = np.concatenate(ids), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    ids, owner = ids[order], owner[order]
-    known, begin = np.unique(owner, return_index=True)  # runs that have any n-gram
-    text = doc[piece[known]]
+    bags, sizes, owners = [], [], []
+    for k, t in enumerate(texts):  # one text at a time, so that memory holds little beside the bags
+        folded, first = fold(np.frombuffer(t.encode("utf-8"), np.uint8)), np.zeros(1, np.int64)
+        starts, _ = runs(folded, first) if len(folded) else (np.zeros(0, np.int64), None)
+        if not len(starts):
+            continue
+        run_of = np.searchsorted(starts, np.arange(len(folded)), "right") - 1
+        found = np.stack(list(buckets(folded, first)), 1)
+        used = (found < 1 << BITS) & (run_of >= 0)[:, None]
+        count = np.bincount(run_of[run_of >= 0], used.sum(1)[run_of >= 0], len(starts)).astype(np.int64)
+        bags.append(found[used].astype(np.int32)), sizes.append(count[count > 0]), owners.append(np.full((count > 0).sum(), k))
+    if not bags:
+        return Model(None, share, None)
+    ids, size, text = np.concatenate(bags), np.concatenate(sizes), np.concatenate(owners)
+    del bags
+    begin = np.cumsum(size) - size
     target = y[text]
-    size = np.diff(np.append(begin, len(ids)))
-    chosen = np.arange(len(known))
+    chosen = np.arange(len(size))
     model = BagModel(2, BITS, DIM)
     for _ in range(PASSES):
         used = np.concatenate([ids[a : a + n] for a, n in zip(begin[chosen].tolist(), size[chosen].tolist())])
@@ -142,8 +142,12 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
         weight = (1 / np.maximum(counts, 1))[target[chosen]]
         weight[target[chosen] == 0] *= 3
         model.fit(used, np.cumsum(size[chosen]) - size[chosen], target[chosen], weight.astype(np.float32), EPOCHS, BATCH)
-        score = model.scores(ids, begin)
-        logit = score[:, 1] - score[:, 0]
+        del used
+        logit = np.empty(len(size), np.float32)
+        for low in range(0, len(size), SCORED):
+            high = min(low + SCORED, len(size))
+            score = model.scores(ids[begin[low] : begin[high - 1] + size[high - 1]], begin[low:high] - begin[low])
+            logit[low:high] = score[:, 1] - score[:, 0]
         rank = np.lexsort((-logit, text))
         new = np.append(True, text[rank][1:] != text[rank][:-1])
         place = np.arange(len(rank)) - np.maximum.accumulate(np.where(new, np.arange(len(rank)), 0))
@@ -158,14 +162,14 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, allowed: Column) -> tuple[list[str], list[int], float | None]:
-    """The training rows and the share of toxic labels. Ids alone are ranked; texts are fetched by a broadcast of at most 2 * PER_LABEL ids."""
+    """The training rows and the share of toxic labels. Ids alone are ranked; texts are fetched by a broadcast of at most HARMLESS + TOXIC ids."""
     known = labels.where(allowed & column(label_col).isNotNull() & column(id_col).isNotNull()).groupBy(column(id_col).alias("c_id")).agg((F.max(column(label_col)) > 0).cast("int").alias("c_label"))
     counts = {r[0]: r[1] for r in known.groupBy("c_label").count().collect()}  # two rows at most
     key = F.xxhash64(F.col("c_id").cast("string"), F.lit(13))
-    chosen = known.where("c_label = 0").orderBy(key, "c_id").limit(PER_LABEL).union(known.where("c_label = 1").orderBy(key, "c_id").limit(PER_LABEL))
+    chosen = known.where("c_label = 0").orderBy(key, "c_id").limit(HARMLESS).union(known.where("c_label = 1").orderBy(key, "c_id").limit(TOXIC))
     texts = docs.select(column(id_col).alias("id"), F.coalesce(F.substring(column(text_col), 1, TRAIN_CHARS), F.lit("")).alias("t"))
     rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("c_id")).select("c_id", "t", "c_label")
-    found = sorted(map(tuple, rows.limit(4 * PER_LABEL).collect()))
+    found = sorted(map(tuple, rows.limit(2 * (HARMLESS + TOXIC)).collect()))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return [t for _, t, _ in found], [l for _, _, l in found], share
 
