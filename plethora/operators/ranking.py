@@ -8,21 +8,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plethora.operators.windows import spread_row_number
+
 
 def coverage_grid(start: float, stop: float, step: float) -> list[float]:
     n = round((stop - start) / step) + 1
     return [round(start + k * step, 10) for k in range(n)]
 
 
-def ranked(df: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
-    """rn: place by score, highest first; n: rows of the group."""
+def ranked(df: DataFrame, keys: list[str], score: str, *ties: str, spread: bool = False) -> DataFrame:
+    """rn: place by score, highest first; n: rows of the group. spread: for groups of which one may hold most rows."""
+    if spread:
+        return spread_row_number(df, keys, [F.desc(score), *map(F.asc, ties)], "rn", "n")
     w = Window.partitionBy(*keys)
     return df.withColumns({"rn": F.row_number().over(w.orderBy(F.desc(score), *ties)), "n": F.count(F.lit(1)).over(w)})
 
 
-def risk_coverage(df: DataFrame, keys: list[str], score: str, error: str, params: DataFrame, ties: list[str], total: Column | None = None, least: int = 5) -> DataFrame:
+def risk_coverage(df: DataFrame, keys: list[str], score: str, error: str, params: DataFrame, ties: list[str], total: Column | None = None, least: int = 5, spread: bool = False) -> DataFrame:
     """Median error of the best k = rint(c * total) rows, at each coverage c of params; only where least <= k <= n. total: rows of the group if not given."""
-    d = ranked(df, keys, score, *ties).withColumn("total", F.col("n") if total is None else total)
+    d = ranked(df, keys, score, *ties, spread=spread).withColumn("total", F.col("n") if total is None else total)
     d = d.crossJoin(params).withColumn("k", F.rint(F.col("c") * F.col("total")).cast("long")).where((F.col("k") >= least) & (F.col("k") <= F.col("n")) & (F.col("rn") <= F.col("k")))
     return d.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("k"), F.median(error).alias("risk"))
 

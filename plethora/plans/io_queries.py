@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plethora.operators import metrics as me
+from plethora.operators.windows import spread_row_number
 from plethora.plans.registry import EV, events, query, r6, read
 from plethora.sources import files
 from plethora.sources.shared import fresh_path
@@ -55,16 +55,10 @@ def keyword_audit(spark, sf):
 
 @query("JN10", """WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r FROM part) SELECT c_custkey, p_partkey FROM a JOIN b ON a.r = b.r""")
 def positional_join(spark, sf):
-    """Rows aligned by their number. Numbers come from ranges of the sorted ids and their counts, so no task sees all rows."""
-
-    def numbered(df, key, out):
-        d = df.select(F.col(key)).repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-        d = d.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-        counts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
-        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-        return d.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_own")).alias(out))
-
-    return numbered(read(spark, sf, "customer"), "c_custkey", "r").join(numbered(read(spark, sf, "part"), "p_partkey", "r"), "r").select("c_custkey", "p_partkey")
+    """Rows aligned by their number."""
+    left = spread_row_number(read(spark, sf, "customer").select("c_custkey"), [], [F.asc("c_custkey")], "r")
+    right = spread_row_number(read(spark, sf, "part").select("p_partkey"), [], [F.asc("p_partkey")], "r")
+    return left.join(right, "r").select("c_custkey", "p_partkey")
 
 
 @query("SIG21", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 10 - 0.5, 0)::DOUBLE AS away, round_even(l_quantity / 2, 0)::DOUBLE AS even FROM lineitem")

@@ -244,7 +244,7 @@ def _methods(spark, sf):
 
 
 def _curve(spark, sf):
-    return ra.risk_coverage(_methods(spark, sf), ["method"], "score", "ae", jo.values(spark, [(c,) for c in _GRID], "c double"), ["o_orderkey"])
+    return ra.risk_coverage(_methods(spark, sf), ["method"], "score", "ae", jo.values(spark, [(c,) for c in _GRID], "c double"), ["o_orderkey"], spread=True)
 
 
 @query("TOP1 WIN10", f"WITH {_CURVE} SELECT method, c, k, round(risk, 6) AS risk FROM v")
