@@ -218,7 +218,7 @@ def grouping_sets_summary(spark, sf):
     return g.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.count_distinct("rec").alias("users"), r6(F.median("value"), "med")).select(F.coalesce("activity", F.lit("all")).alias("event_type"), F.coalesce("cohort", F.lit("all")).alias("cohort"), "level", "n", "users", "med")
 
 
-@query("AGG17 SET4", "SELECT sum(c) AS total, count(*) AS n FROM (SELECT o_custkey, min(o_orderkey) AS first, arg_min(o_shippriority, o_orderkey) AS c FROM (SELECT *, 1 AS o_shippriority FROM orders) GROUP BY 1)".replace("arg_min(o_shippriority, o_orderkey)", "any_value(o_shippriority)"))
+@query("AGG17 SET4", "SELECT sum(c)::BIGINT AS total, count(*) AS n FROM (SELECT o_custkey, min(o_orderkey) AS first, arg_min(o_shippriority, o_orderkey) AS c FROM (SELECT *, 1 AS o_shippriority FROM orders) GROUP BY 1)".replace("arg_min(o_shippriority, o_orderkey)", "any_value(o_shippriority)"))
 def dedupe_then_sum(spark, sf):
     """One row per customer, then the sum."""
     d = read(spark, sf, "orders").select("o_custkey", F.lit(1).alias("c")).dropDuplicates(["o_custkey"])
