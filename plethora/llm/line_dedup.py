@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plethora.llm.common import SPACE_CHARS, ascii_lower, column, packed, table
+from plethora.llm.common import SPACE_CHARS, ascii_lower, column, packed, staged, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -40,6 +40,8 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") >= min_docs)
         .select("digest", "last")
     )
+    # As a table of its own it is dealt out anew for the join, so that adaptive execution can split a hot key's partition.
+    frequent = staged(frequent, "frequent")
     dropped = (
         digests.select("id", "th", F.posexplode("digests").alias("pos", "digest"))
         .where(F.col("digest").isNotNull())

@@ -141,7 +141,7 @@ def _block_links(named: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     """
     sizes = named.groupBy("key").agg(*[F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / SHINGLES)).cast("int").alias(name) for name, c in (("mains", F.col("main")), ("others", ~F.col("main")))])
     block = F.when(F.col("main"), F.pmod(F.xxhash64("node", F.lit(3)), F.greatest("mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node", F.lit(3)), F.greatest("others", F.lit(1)))).cast("int")
-    own = named.join(sizes, "key").withColumn("block", block)
+    own = named.join(staged(sizes, "sizes"), "key").withColumn("block", block)
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     with_main = F.transform(upto("mains"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("cross")))
     with_others = F.transform(upto("others"), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("cross")))
@@ -168,6 +168,7 @@ def _named(large: DataFrame, links: DataFrame) -> DataFrame:
         named = large.join(comp, F.col("node") == F.col("c_node"), "left").select(*large.columns, F.coalesce("comp", "node").alias("comp"))
     parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     by_key = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("most")).where("comps > 1")
+    by_key = staged(by_key, "by_key")  # dealt out anew for the join, so that adaptive execution can split a hot bucket's partition
     main = (F.col("comp") == F.col("most.comp")) & (F.col("most.size") > 1)
     return staged(named.join(by_key, "key").select(*large.columns, "comp", main.alias("main"), (F.col("m") - F.col("most.size")).alias("apart")), "named")
 
