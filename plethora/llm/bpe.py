@@ -32,9 +32,9 @@ from plethora.llm.common import column, table
 
 NONE = 1 << 60
 #: Pieces whose ids a worker remembers; code points of text that are split at once; pieces of a very long text handled at once.
-REMEMBERED, TOGETHER, BLOCK = 250_000, 1 << 20, 1 << 17
-#: Bytes of the longest piece that is merged in a batch.
-WORD = 64
+REMEMBERED, TOGETHER, BLOCK = 100_000, 1 << 19, 1 << 16
+#: Bytes of the longest piece that is merged in a batch; texts whose ids are held at once.
+WORD, SLICE = 64, 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -174,6 +174,10 @@ class Codec:
         self.said = [str(rank) for rank in range(max(ranks.values()) + 1)]
         self.bytes = {str(rank): token for token, rank in ranks.items()}
 
+    def forget(self) -> None:
+        """Between tasks a worker keeps the ranks, not the pieces."""
+        self.ids, self.older = {}, {}
+
     def look_up(self, pieces: list[str]) -> list[str]:
         """The ids of each piece."""
         found = list(map(self.ids.get, pieces))
@@ -255,6 +259,11 @@ def _codec(lines: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def _numbers(blocks: Iterator[str]) -> np.ndarray:
+    """Ids in decimal as int32; four bytes a token, where a list of Python's numbers would take ten times that."""
+    return np.concatenate([np.zeros(0, np.int32), *[np.fromstring(block, np.int32, sep=" ") for block in blocks]])
+
+
 def _rank_file(spark, path: str):
     """The rank file's bytes as a broadcast: bounded by the vocabulary (50,256 tokens, under 1 MB), whatever the corpus."""
     with open(path, "rb") as file:
@@ -268,9 +277,13 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(lines.value, pattern)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            ids = pa.array([[int(x) for block in blocks for x in block.split(" ")] for blocks in codec.encode_texts(texts)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), ids], names=["row", "ids"])
+            rows, texts = batch.column(0), batch.column(1)
+            for low in range(0, batch.num_rows, SLICE):
+                found = [_numbers(blocks) for blocks in codec.encode_texts(texts.slice(low, SLICE).to_pylist())]
+                offsets = np.append(0, np.cumsum(list(map(len, found)))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([rows.slice(low, SLICE), ids], names=["row", "ids"])
+        codec.forget()
 
     others = [c for c in docs.columns if c != ids_col]
     frame = docs.select(F.struct(*[column(c) for c in others]).alias("row"), column(text_col).alias("text"))
@@ -296,6 +309,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                     decoded.update(codec.decode_block(block))
                 n.append(count), said.append(ids.hexdigest()), back.append(decoded.hexdigest()), same.append(decoded.digest() == plain.digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+        codec.forget()
 
     frame = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")

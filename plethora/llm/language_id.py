@@ -66,25 +66,23 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
     languages = sorted(set(labels))
     if not languages:
         return None
-    ids, starts, at = [], [], 0
+    bags = []
     for text in texts:
         folded = fold(np.frombuffer(text.encode("utf-8"), np.uint8))
         own = np.concatenate([b[b < 1 << BITS] for b in _places(folded, np.array([len(folded)]), False)]) if len(folded) else np.zeros(0, np.int32)
-        own = own if len(own) else np.array([1 << BITS], np.int32)
-        ids.append(own), starts.append(at)
-        at += len(own)
+        bags.append(own if len(own) else np.array([1 << BITS], np.int32))
     y = np.searchsorted(languages, labels)
-    ids, starts = np.concatenate(ids), np.array(starts)
-    sizes = np.diff(np.append(starts, len(ids)))
+    sizes = np.fromiter(map(len, bags), np.int64, len(bags))
     held = np.arange(len(texts)) % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
     learn = np.flatnonzero(~held)
-    kept = np.concatenate([ids[starts[i] : starts[i] + sizes[i]] for i in learn])
+    kept, tested = (np.concatenate([bags[i] for i in rows]) if len(rows) else None for rows in (learn, np.flatnonzero(held)))
+    del bags
     model = BagModel(len(languages), BITS, DIM)
     share = np.bincount(y[learn], minlength=len(languages))
     model.fit(kept, np.cumsum(sizes[learn]) - sizes[learn], y[learn], (1 / np.maximum(share, 1))[y[learn]].astype(np.float32), EPOCHS, BATCH)
     temperature, threshold = 1.0, 0.0
     if held.any():
-        score, right = model.scores(ids, starts)[held], y[held]
+        score, right = model.scores(tested, np.cumsum(sizes[held]) - sizes[held]), y[held]
         loss = lambda t: -np.log(softmax(score / t)[np.arange(len(right)), right] + 1e-12).mean()
         temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
         p = softmax(score / temperature)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are handled at once; longer texts are cut at multiples of it from their start.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _FOLD = np.full(256, 32, np.uint8)
 for _c in range(256):
