@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from plethora.llm import bpe, language_id, line_dedup, minhash, mixing
 from plethora.llm.common import staged, table
 
+#: Similarity of shingle sets, in percent, from which the near_dedup stage takes texts for copies.
+NEAR = 80
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which the classifier, trained on the labelled rows, finds a language; texts without letters and rejected ones go."""
@@ -25,7 +28,7 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return minhash.one_of_each(docs)
+    return minhash.one_of_each(docs, percent=NEAR)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Each of ``PERMUTATIONS`` hash permutations gives a text's shingle set two signature values, its minimum and its maximum, so
 half the hash evaluations make a signature of the same length; each value agrees between two sets with a chance equal to
-their Jaccard similarity. ``ROWS`` neighbouring values make a band, and sets that share a band are candidates: at a
-similarity of 0.85 a pair shares none of the bands with a chance of 7 in a million. Candidates are confirmed on full sets.
+their Jaccard similarity. Neighbouring values make a band, and sets that share a band are candidates; the threshold sets
+how many values (6 at 0.85, 5 at 0.80): a pair at either shares none of the bands with a chance of 7 in a million.
+Candidates are confirmed on full sets.
 
 Texts with equal sets are one node from the start, so copies make no pairs. Pairs of small buckets are listed, those that
 share several bands once, and confirmed by a join with their sets. The nodes of a large bucket (many near copies) meet in
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 
 from plethora.llm.common import column, packed, staged, table
 from plethora.llm.components import components
-from plethora.llm.shingles import bands, digest, groups, shingle_sets, signatures
+from plethora.llm.shingles import band_rows, bands, digest, groups, shingle_sets, signatures
 from plethora.llm.subword import strings
 
-#: A link: 100 * intersection >= PERCENT * union.
+#: A link: 100 * intersection >= PERCENT * union, unless a caller gives another percent.
 PERCENT = 85
 #: Nodes of a bucket up to which all its pairs are compared one by one; rounds of hubs at most.
 SMALL, ROUNDS = 8, 3
@@ -54,15 +55,16 @@ def _sets(batch: pa.RecordBatch, i: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, flat, at
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """rid, id, n, node (16-byte digest of the set), bands; in the shared folder."""
+    rows = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, flat, at in _sets(batch, 1):
                 n = np.diff(at)
                 keys = np.zeros((b - a, 0), np.int64)
-                found = bands(signatures(flat, at))
+                found = bands(signatures(flat, at), rows)
                 keys = iter(found.tolist())
                 nodes = [digest(flat[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 own = [next(keys) if node else [] for node in nodes]
@@ -173,7 +175,7 @@ def _named(large: DataFrame, links: DataFrame) -> DataFrame:
     return staged(named.join(by_key, "key").select(*large.columns, "comp", main.alias("main"), (F.col("m") - F.col("most.size")).alias("apart")), "named")
 
 
-def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (or edges that stand for them) of large buckets (key, node, n, m, rank), beside those known."""
     # Rounds of hubs for buckets of many blocks: a hub is held against the nodes of other components, and then has no link left to find there.
     huge = large.where(F.col("m") > BLOCK)
@@ -185,15 +187,15 @@ def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame) -> DataFra
         hub = named.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("rank", "node")).alias("hub"))
         held = named.join(hub, "key").where(F.col("node") != F.col("hub.node"))
         new = held.where(F.col("comp") != F.col("hub.comp")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        links = staged(links.union(confirmed(staged(new, "pairs"), sets)).distinct(), "links")
+        links = staged(links.union(confirmed(staged(new, "pairs"), sets, percent)).distinct(), "links")
         huge = staged(held.select(*huge.columns), "huge")
     # Hubs are back among the nodes here: their tests are repeated, their components are not.
-    return staged(links.union(_block_links(_named(large, links), sets)).distinct(), "links")
+    return staged(links.union(_block_links(_named(large, links), sets, percent)).distinct(), "links")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """rid, id, n, component (smallest id reachable), stays (true for one row of each component)."""
-    rows = sketch(docs, id_col, text_col)
+    rows = sketch(docs, id_col, text_col, percent)
     nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "rid")).alias("first"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     nodes = staged(nodes, "nodes")
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -207,7 +209,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).union(large.select("node")).distinct()
     ids = staged(nodes.join(wanted, F.col("node") == F.col("w"), "left_semi").select(F.col("first.id").alias("c_id")), "wanted")
     sets = full_sets(docs, ids, id_col, text_col)
-    links = _large_links(large, sets, staged(confirmed(pairs, sets), "links"))
+    links = _large_links(large, sets, staged(confirmed(pairs, sets, percent), "links"), percent)
     if links.isEmpty():
         named = nodes.select("node", "first")
     else:
@@ -221,9 +223,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select("rid", "id", "n", F.col("first.id").alias("component"), (F.col("rid") == F.col("first.rid")).alias("stays"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: the one with the smallest id. Columns stay as they are."""
-    found = staged(near_groups(docs, id_col, text_col), "near")
+    found = staged(near_groups(docs, id_col, text_col, percent), "near")
     gone = found.where(~F.col("stays")).select(F.col("id").alias("g_id"))
     if found.where("id IS NULL").isEmpty() and found.groupBy("id").count().where("count > 1").isEmpty():
         gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
@@ -232,7 +234,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Ids don't tell rows apart: number the rows of each id and text, and keep as many of them as stay.
     hashed = F.sha2(F.coalesce(column(text_col).cast("string"), F.lit("")), 256)
     numbered = staged(docs.select(packed(docs).alias("row"), column(id_col).alias("id"), column(text_col).cast("string").alias("text"), hashed.alias("hash")), "rows")
-    again = near_groups(numbered.withColumn("own", F.struct(F.col("id").isNull(), "id", "hash")), "own", "text")
+    again = near_groups(numbered.withColumn("own", F.struct(F.col("id").isNull(), "id", "hash")), "own", "text", percent)
     stays = again.where("stays").select(F.col("id").alias("k_own")).distinct()
     kept = numbered.withColumn("own", F.struct(F.col("id").isNull(), "id", "hash")).join(stays, F.col("own").eqNullSafe(F.col("k_own")), "left_semi")
     kept = kept.groupBy("own").agg(F.first("row").alias("row"))

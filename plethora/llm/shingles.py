@@ -12,9 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-#: Permutations, each of which gives a minimum and a maximum; values in a band.
-PERMUTATIONS, ROWS = 75, 6
-BANDS = 2 * PERMUTATIONS // ROWS
+#: Permutations, each of which gives a minimum and a maximum; the chance that a pair at the threshold shares no band.
+PERMUTATIONS, MISS = 75, 1e-5
 #: Bytes that are hashed at once.
 PIECE = 1 << 19
 
@@ -129,11 +128,20 @@ def signatures(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band; keys of different bands differ."""
+def band_rows(percent: int) -> int:
+    """Values in a band: as many as find pairs of this similarity but for a chance of MISS."""
+    values = 2 * PERMUTATIONS
+    fits = [r for r in range(1, values + 1) if values % r == 0 and (1 - (percent / 100) ** r) ** (values // r) <= MISS]
+    if not fits:
+        raise ValueError(f"{values} values don't find pairs of similarity {percent} %")
+    return max(fits)
+
+
+def bands(signature: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key for each band of so many values; keys of different bands differ."""
     with np.errstate(over="ignore"):
         salted = mix(signature + _BAND) * _BAND
-        return mix(salted.reshape(len(signature), BANDS, ROWS).sum(2, dtype=np.uint64)).view(np.int64)
+        return mix(salted.reshape(len(signature), 2 * PERMUTATIONS // rows, rows).sum(2, dtype=np.uint64)).view(np.int64)
 
 
 def digest(own: np.ndarray) -> bytes:
