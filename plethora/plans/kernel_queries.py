@@ -12,6 +12,7 @@ from plethora.operators import optional as op
 from plethora.operators import replay as re
 from plethora.operators.windows import last_n, packet_index
 from plethora.plans.registry import EV, events, query, r6, read
+from plethora.sources.shared import fresh_path
 from plethora.streaming import streams as st
 
 _HP, _LP = butterworth2(100.0, 0.5, "high"), butterworth2(100.0, 3.5, "low")
@@ -179,32 +180,53 @@ def loso_rankers(spark, sf):
     return spearman(s, ["subject", "method"], "score", "ae").withColumn("spearman", r6("spearman"))
 
 
+_FEATURES = ["f1", "f2", "f3"]
+#: Random splits of each fold's other subjects into training and calibration.
+REPEATS = 20
+
+
 @query("ML2 ML5 ML6 AGG20")
 def logistic_good(spark, sf):
-    """Fitted on four subjects, scored on the fifth."""
+    """Each subject scored by a model of all others."""
     from plethora.operators.metrics import auroc
 
     d = _windows_of_orders(spark, sf)
-    out = mo.leave_subjects_out(d, "subject", [0], lambda t: mo.fit_logistic(t, ["f1", "f2", "f3"], "good"), mo.logistic_scores)
+    out = mo.leave_subjects_out(d, "subject", mo.subjects(d, "subject"), lambda t: mo.fit_logistic(t, _FEATURES, "good"), mo.logistic_scores)
     return auroc(out.withColumn("y", F.col("good").cast("int")), ["subject"], "score", "y").withColumn("auroc", r6("auroc"))
 
 
 @query("ML3 ML4 ML8 TOP9")
 def gbm_loso(spark, sf):
-    """Boosted trees on four subjects; importance of each feature and error on the fifth."""
+    """Each subject under boosted trees of all others: importance of each feature, and the error on the held one."""
     d = _windows_of_orders(spark, sf)
-    model = mo.fit_boosted(d.where("subject <> 0"), ["f1", "f2", "f3"], "ae", trees=10)
-    error = mo.boosted_errors(model, d.where("subject = 0")).agg(F.avg(F.abs(F.col("predicted") - F.col("ae"))).alias("mae"))
-    ranks = spark.createDataFrame([(n, r + 1) for r, (n, _) in enumerate(mo.importances(model, ["f1", "f2", "f3"]))], "feature string, place int")
-    return ranks.crossJoin(error).select("feature", "place", F.round("mae", 3).alias("mae"))
+
+    def fold(held) -> list[tuple]:
+        model = mo.fit_boosted(d.where(F.col("subject") != held), _FEATURES, "ae")
+        mae = mo.boosted_errors(model, d.where(F.col("subject") == held)).agg(F.avg(F.abs(F.col("predicted") - F.col("ae")))).first()[0]
+        return [(held, n, r + 1, mae) for r, (n, _) in enumerate(mo.importances(model, _FEATURES))]
+
+    rows = [row for part in mo.each_fold(mo.subjects(d, "subject"), fold) for row in part]
+    return spark.createDataFrame(rows, "subject long, feature string, place int, mae double").withColumn("mae", F.round("mae", 3))
 
 
 @query("ML9 ML12 TOP8")
 def conformal_boosted(spark, sf):
-    """Split conformal intervals, adaptive and constant: coverage and width on the held subject."""
+    """Split conformal intervals, adaptive and constant: coverage and width on each held subject, over all random splits of the others."""
     d = _windows_of_orders(spark, sf)
-    found = []
-    for name, adaptive in (("adaptive", True), ("constant", False)):
-        t = mo.split_conformal(d.where("subject IN (1, 2)"), d.where("subject IN (3, 4)"), d.where("subject = 0"), ["f1", "f2", "f3"], "est", "ref", trees=10, adaptive=adaptive)
-        found.append(t.agg(F.lit(name).alias("kind"), F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("covered").cast("double")), 3).alias("coverage"), F.round(F.median("width"), 3).alias("width")))
-    return found[0].union(found[1])
+    path, kinds = fresh_path(spark, "conformal"), (("adaptive", True), ("constant", False))
+
+    def split(job) -> list[str]:
+        held, repeat, train, calib = job
+        parts = [d.where(F.col("subject").isin(x)) for x in (train, calib, [held])]
+        found = []
+        for name, adaptive in kinds:
+            t = mo.split_conformal(*parts, _FEATURES, "est", "ref", trees=200, adaptive=adaptive)
+            found.append(f"{path}/{held}-{repeat}-{name}")
+            t.select("subject", F.lit(name).alias("kind"), F.lit(repeat).alias("repeat"), "covered", "width").write.parquet(found[-1])
+        return found
+
+    made = mo.each_fold(mo.repeated_splits(mo.subjects(d, "subject"), REPEATS), split)
+    rows = spark.read.parquet(*[x for part in made for x in part])
+    return rows.groupBy("subject", "kind").agg(
+        F.countDistinct("repeat").alias("repeats"), F.count(F.lit(1)).alias("n"),
+        F.round(F.avg(F.col("covered").cast("double")), 3).alias("coverage"), F.round(F.median("width"), 3).alias("width"))
