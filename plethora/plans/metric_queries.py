@@ -330,14 +330,15 @@ def good_prevalence(spark, sf):
 
 
 _NATIONS = list(range(25))
-_BOOT = 20
+#: Bootstrap replicates and half splits, as many as the reference draws.
+_BOOT, _SPLITS = 1000, 200
 
 
 def _draw_sql(kind: str) -> str:
     import numpy as np
 
     random, rows = np.random.default_rng(rs.SEED), []
-    for rep in range(_BOOT):
+    for rep in range(_BOOT if kind == "boot" else _SPLITS):
         if kind == "boot":
             drawn, n = np.unique(random.choice(25, 25), return_counts=True)
             rows += [f"({rep}, {i}, {m})" for i, m in zip(drawn.tolist(), n.tolist())]
@@ -358,7 +359,8 @@ SELECT count(*) AS reps, round(quantile_cont(med, 0.025), 6) AS lo, round(quanti
 def bootstrap_median_ci(spark, sf):
     """Cohorts of customers drawn with replacement; the median is weighted by how often."""
     draws = rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj")
-    reps = jo.replicate(_cohort(spark, sf), draws, "subj").groupBy("rep").agg(rs.weighted_median("ae", "mult").alias("med"))
+    counts = _cohort(spark, sf).groupBy("subj", "ae").agg(F.count(F.lit(1)).alias("m"))
+    reps = jo.replicate(counts, draws, "subj").withColumn("mult", F.col("m") * F.col("mult")).groupBy("rep").agg(rs.weighted_median("ae", "mult").alias("med"))
     return rs.interval(reps, "med").select("reps", r6("lo", "lo"), r6("hi", "hi"))
 
 
@@ -377,7 +379,7 @@ r AS (SELECT rep, q, row_number() OVER (PARTITION BY rep ORDER BY q DESC NULLS L
 SELECT x.rep, round(thr, 6) AS threshold, round(count(*) FILTER (q >= thr) / count(*), 6) AS coverage, round(median(ae) FILTER (q >= thr), 6) AS md_ae FROM x JOIN t ON x.rep = t.rep WHERE NOT calib GROUP BY x.rep, thr""")
 def half_split_calibration(spark, sf):
     """A threshold from half the cohorts, applied to the others."""
-    d = _cohort(spark, sf).join(rs.half_splits(spark, _NATIONS, _BOOT, "subj"), "subj")
+    d = _cohort(spark, sf).join(rs.half_splits(spark, _NATIONS, _SPLITS, "subj"), "subj")
     t = jo.small(ra.threshold_for_share(d.where("calib"), ["rep"], "q", 0.5).select("rep", "threshold"))
     shown = cl.gate("q", "threshold")
     g = d.where("NOT calib").join(t, "rep").groupBy("rep", "threshold").agg(F.count_if(shown).alias("s"), F.count(F.lit(1)).alias("n"), F.median(F.when(shown, F.col("ae"))).alias("m"))
