@@ -7,7 +7,7 @@ byte n-grams, in time and memory linear in the bytes at hand.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,15 +91,23 @@ class BagModel:
         return np.add.reduceat(self.table()[ids], starts) / size + self.bias
 
     def fit(self, ids: np.ndarray, starts: np.ndarray, labels: np.ndarray, weight: np.ndarray, epochs: int, batch: int, rate: float = 0.1, decay: float = 1e-6) -> None:
-        """Bags are ids[starts[i]:starts[i + 1]], none empty. Steps are scaled by AdaGrad."""
+        """Bags are ids[starts[i]:starts[i + 1]], none empty."""
         ends = np.append(starts[1:], len(ids))
+
+        def take(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = ends[rows] - starts[rows]
+            return ids[np.repeat(starts[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+        self.fit_bags(take, labels, weight, epochs, batch, rate, decay)
+
+    def fit_bags(self, take: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray, epochs: int, batch: int, rate: float = 0.1, decay: float = 1e-6) -> None:
+        """take: the ids of the bags with these numbers, one bag after another, and the bags' sizes; none is empty. Steps are scaled by AdaGrad."""
         for _ in range(epochs):
-            order = self.random.permutation(len(starts))
+            order = self.random.permutation(len(labels))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
-                size = ends[rows] - starts[rows]
+                own, size = take(rows)
                 first = np.cumsum(size) - size
-                own = ids[np.repeat(starts[rows] - first, size) + np.arange(size.sum())]
                 mean = np.add.reduceat(self.embedding[own], first) / size[:, None].astype(np.float32)
                 score = mean @ self.weights + self.bias
                 p = np.exp(score - score.max(1, keepdims=True))

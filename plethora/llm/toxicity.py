@@ -7,7 +7,7 @@ A document's score is a logistic function, fitted on the same rows, of its highe
 of any length.
 
 The model is fitted in the driver on a bounded sample of labelled rows, chosen by hash: at most ``HARMLESS`` and ``TOXIC``
-documents of the two labels, the first ``TRAIN_CHARS`` code points of each. Scoring reads every whole text, in Arrow batches and pieces of
+documents of the two labels, each of them whole, as its label is of the whole text. Scoring reads every whole text, in Arrow batches and pieces of
 bounded size, without any shuffle; the broadcast model is one float for each of 2^bits buckets.
 
 Defined results: null, empty and wordless texts have no run and get the score of a text whose runs are all harmless.
@@ -28,7 +28,7 @@ from plethora.llm.common import column, packed, table
 from plethora.llm.subword import BagModel, fold, grams, pieces, strings
 
 WORDS, ORDERS, BITS, DIM = 3, (3, 4, 5, 6), 17, 6
-HARMLESS, TOXIC, TRAIN_CHARS = 2000, 1000, 2000
+HARMLESS, TOXIC = 2000, 1000
 #: Bags that are scored at once while training.
 SCORED = 20_000
 PASSES, EPOCHS, BATCH = 3, 2, 4096
@@ -117,36 +117,43 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
     if len(set(labels)) < 2:
         return Model(None, float(y.mean()) if len(y) else 0.0, None)
     share = float(y.mean()) if share is None else share
-    bags, sizes, owners = [], [], []
-    for k, t in enumerate(texts):  # one text at a time, so that memory holds little beside the bags
+    parts, begins, lengths, owners, at = [], [], [], [], 0
+    for k, t in enumerate(texts):  # one text at a time; memory holds the texts' bytes, and n-grams are made for a batch at a time
         folded, first = fold(np.frombuffer(t.encode("utf-8"), np.uint8)), np.zeros(1, np.int64)
         starts, _ = runs(folded, first) if len(folded) else (np.zeros(0, np.int64), None)
         if not len(starts):
             continue
-        run_of = np.searchsorted(starts, np.arange(len(folded)), "right") - 1
-        found = np.stack(list(buckets(folded, first)), 1)
-        used = (found < 1 << BITS) & (run_of >= 0)[:, None]
-        count = np.bincount(run_of[run_of >= 0], used.sum(1)[run_of >= 0], len(starts)).astype(np.int64)
-        bags.append(found[used].astype(np.int32)), sizes.append(count[count > 0]), owners.append(np.full((count > 0).sum(), k))
-    if not bags:
+        used = sum((bucket < 1 << BITS).astype(np.int64) for bucket in buckets(folded, first))
+        some = np.add.reduceat(used, starts) > 0
+        reach = np.minimum(np.append(starts[1:], len(folded)) + 1, len(folded))  # with the space that ends the last word
+        parts.append(folded), begins.append(at + starts[some]), lengths.append((reach - starts)[some]), owners.append(np.full(some.sum(), k))
+        at += len(folded)
+    if not parts or not sum(map(len, owners)):
         return Model(None, share, None)
-    ids, size, text = np.concatenate(bags), np.concatenate(sizes), np.concatenate(owners)
-    del bags
-    begin = np.cumsum(size) - size
+    data, begin, length, text = np.concatenate(parts), np.concatenate(begins), np.concatenate(lengths), np.concatenate(owners)
+    del parts
+
+    def take(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of these runs, one run after another, and their numbers."""
+        size = length[rows]
+        first = np.cumsum(size) - size
+        found = np.stack(list(buckets(data[np.repeat(begin[rows] - first, size) + np.arange(size.sum())], first)), 1)
+        used = found < 1 << BITS
+        return found[used], np.add.reduceat(used.sum(1), first)
+
     target = y[text]
-    chosen = np.arange(len(size))
+    chosen = np.arange(len(begin))
     model = BagModel(2, BITS, DIM)
     for _ in range(PASSES):
-        used = np.concatenate([ids[a : a + n] for a, n in zip(begin[chosen].tolist(), size[chosen].tolist())])
         counts = np.bincount(target[chosen], minlength=2)
         weight = (1 / np.maximum(counts, 1))[target[chosen]]
         weight[target[chosen] == 0] *= 3
-        model.fit(used, np.cumsum(size[chosen]) - size[chosen], target[chosen], weight.astype(np.float32), EPOCHS, BATCH)
-        del used
-        logit = np.empty(len(size), np.float32)
-        for low in range(0, len(size), SCORED):
-            high = min(low + SCORED, len(size))
-            score = model.scores(ids[begin[low] : begin[high - 1] + size[high - 1]], begin[low:high] - begin[low])
+        model.fit_bags(lambda rows, own=chosen: take(own[rows]), target[chosen], weight.astype(np.float32), EPOCHS, BATCH)
+        logit = np.empty(len(begin), np.float32)
+        for low in range(0, len(begin), SCORED):
+            high = min(low + SCORED, len(begin))
+            ids, size = take(np.arange(low, high))
+            score = model.scores(ids, np.cumsum(size) - size)
             logit[low:high] = score[:, 1] - score[:, 0]
         rank = np.lexsort((-logit, text))
         new = np.append(True, text[rank][1:] != text[rank][:-1])
@@ -167,7 +174,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     counts = {r[0]: r[1] for r in known.groupBy("c_label").count().collect()}  # two rows at most
     key = F.xxhash64(F.col("c_id").cast("string"), F.lit(13))
     chosen = known.where("c_label = 0").orderBy(key, "c_id").limit(HARMLESS).union(known.where("c_label = 1").orderBy(key, "c_id").limit(TOXIC))
-    texts = docs.select(column(id_col).alias("id"), F.coalesce(F.substring(column(text_col), 1, TRAIN_CHARS), F.lit("")).alias("t"))
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("t"))
     rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("c_id")).select("c_id", "t", "c_label")
     found = sorted(map(tuple, rows.limit(2 * (HARMLESS + TOXIC)).collect()))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
