@@ -4,8 +4,8 @@ Only DataFrame functions. Candidates of four kinds are cut from every whole text
 value), ``access`` (AKIA keys), ``hex`` (long hexadecimal runs) and ``live`` (opaque mixed tokens). The hash of each
 candidate's value is then counted over the corpus by distinct repositories and distinct owners. A value that several
 owners hold is a widely copied example; a value of one owner looks live. Base spans (the first three kinds) always stay
-and are only classed; an opaque token becomes a ``live`` span where its value belongs to one owner alone and the token
-overlaps no base span.
+and are only classed, and so do opaque tokens that overlap no base span (kind ``live``). ``query`` lists an opaque token
+only where its value belongs to one owner alone, as its SQL does.
 
 Scale: one scan cuts the candidates; only they (kind, offsets, 16-byte hash) are written to the shared folder and
 shuffled, never a text. Frequencies are summed per hash and owner before the shuffle, so an example key in a third of
@@ -85,14 +85,13 @@ def ownership(cands: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, text_col: str, repo: Column, owner: Column, *keep: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """keep... and spans: array of start, rank, kind, end, n_owners, n_repos, live."""
+    """keep... and spans: array of start, rank, kind, end, n_owners, n_repos, live; every candidate of every kind, classed."""
     cands = candidates(docs, text_col, repo, owner, *keep)
     known = ownership(cands)
     classed = (
         cands.where(F.size("cands") > 0).select("rid", F.explode("cands").alias("c"))
         .join(known, F.col("c.hash") == known["hash"])
         .select("rid", F.struct("c.start", "c.rank", "c.kind", "c.end", "n_owners", "n_repos", (F.col("n_owners") <= max_owners).alias("live")).alias("c"))
-        .where((F.col("c.kind") != "live") | F.col("c.live"))
         .groupBy("rid").agg(F.array_sort(F.collect_list("c")).alias("spans"))
         .withColumnRenamed("rid", "s_rid")
     )
@@ -105,6 +104,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     """A document is a repository, its source the owner."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = scan(docs, "text", F.col("doc_id"), F.col("source"), F.col("doc_id"))
+    # The contract's SQL lists an opaque token only where one owner holds it.
+    found = found.withColumn("spans", F.filter("spans", lambda x: (x["kind"] != "live") | x["live"]))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"] != "live")
