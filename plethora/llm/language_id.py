@@ -2,8 +2,10 @@
 
 The model is fitted in the driver on a bounded sample of labelled rows: at most ``PER_LANG`` documents of each of at most
 ``MAX_LANGS`` languages (the most frequent), chosen by hash, and of each the first ``TRAIN_CHARS`` code points. One fifth
-of it is held back to set the softmax temperature and the rejection threshold: documents whose calibrated score is below
-the ``REJECT`` quantile of the held-back ones that were predicted rightly (and below ``SURE``) are rejected.
+of each language's rows (of five at least) is held back to set the softmax temperature and two rejection thresholds:
+documents are rejected whose calibrated score, or whose share of 4-grams that the learned rows hold, is below ``SLACK``
+times the ``REJECT`` quantile of the held-back ones that were predicted rightly. The share doesn't rest on the softmax, so
+it also tells a text in no learned language, however sure the softmax is. Without held-back rows nothing is calibrated.
 
 Prediction reads every whole text, in Arrow batches and in pieces of a bounded size, without any shuffle; the broadcast
 model is 2^bits rows of one float per language, whatever the corpus.
@@ -26,7 +28,10 @@ from plethora.llm.subword import BagModel, fold, grams, pieces, softmax, strings
 
 ORDERS, BITS, DIM = (1, 2, 3, 4), 15, 16
 PER_LANG, MAX_LANGS, TRAIN_CHARS = 600, 100, 3000
-REJECT, SURE = 0.0005, 0.4
+#: Quantile of the held-back rows, and the part of it that is the threshold: the lowest of few rows isn't the lowest of all.
+REJECT, SLACK = 0.0005, 0.9
+#: The n-grams that are looked up among those of the learned rows, and the bits of their table.
+SEEN, SEEN_BITS = 4, 20
 EPOCHS, BATCH = 4, 32
 
 
@@ -39,11 +44,33 @@ def _places(folded: np.ndarray, ends: np.ndarray, cut_ends: bool) -> Iterator[np
         yield bucket
 
 
+def _looked_up(folded: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the SEEN-gram at each place, and whether it lies within its text."""
+    bucket = next(grams(folded, (SEEN,), SEEN_BITS))[1]
+    size = np.maximum(ends - first - SEEN + 1, 0)
+    inside = np.arange(len(folded)) < np.repeat(first + size, ends - first)
+    return bucket, inside
+
+
 class Model:
-    """languages, rows (bucket by language), bias, temperature, threshold: what executors need."""
+    """languages, rows (bucket by language), bias, temperature, threshold, seen (bit of each SEEN-gram), least (share of seen ones): what executors need."""
+
+    def __init__(self, languages: list[str], rows: np.ndarray, bias: np.ndarray, temperature: float, threshold: float, seen: np.ndarray, least: float = 0.0):
+        self.languages, self.rows, self.bias, self.temperature, self.threshold, self.seen, self.least = languages, rows, bias, temperature, threshold, seen, least
+
+    def familiar(self, texts: pa.Array) -> np.ndarray:
+        """The share of each whole text's SEEN-grams that the learned rows hold; 1 without any."""
+        data, offsets = strings(texts)
+        held, count = np.zeros(len(texts)), np.zeros(len(texts))
+        for start, end, first, which in pieces(offsets):
+            first = first - start
+            bucket, inside = _looked_up(fold(data[start:end]), first, np.append(first[1:], end - start))
+            np.add.at(held, which, np.add.reduceat((self.seen[bucket] & inside).astype(np.int64), first))
+            np.add.at(count, which, np.add.reduceat(inside.astype(np.int64), first))
+        return np.where(count > 0, held / np.maximum(count, 1), 1.0)
 
-    def __init__(self, languages: list[str], rows: np.ndarray, bias: np.ndarray, temperature: float, threshold: float):
-        self.languages, self.rows, self.bias, self.temperature, self.threshold = languages, rows, bias, temperature, threshold
+    def rejects(self, texts: pa.Array, score: np.ndarray) -> np.ndarray:
+        return (score < self.threshold) | (self.familiar(texts) < self.least)
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and calibrated score of each text."""
@@ -73,22 +100,32 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
         bags.append(own if len(own) else np.array([1 << BITS], np.int32))
     y = np.searchsorted(languages, labels)
     sizes = np.fromiter(map(len, bags), np.int64, len(bags))
-    held = np.arange(len(texts)) % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
+    held = np.zeros(len(texts), bool)
+    for k in range(len(languages)):  # each language keeps four rows of five to learn from
+        held[np.flatnonzero(y == k)[4::5]] = True
     learn = np.flatnonzero(~held)
     kept, tested = (np.concatenate([bags[i] for i in rows]) if len(rows) else None for rows in (learn, np.flatnonzero(held)))
     del bags
     model = BagModel(len(languages), BITS, DIM)
     share = np.bincount(y[learn], minlength=len(languages))
     model.fit(kept, np.cumsum(sizes[learn]) - sizes[learn], y[learn], (1 / np.maximum(share, 1))[y[learn]].astype(np.float32), EPOCHS, BATCH)
-    temperature, threshold = 1.0, 0.0
+    seen = np.zeros(1 << SEEN_BITS, bool)
+    for i in learn.tolist():
+        folded = fold(np.frombuffer(texts[i].encode("utf-8"), np.uint8))
+        if len(folded):
+            bucket, inside = _looked_up(folded, np.array([0]), np.array([len(folded)]))
+            seen[bucket[inside]] = True
+    found = Model(languages, model.table(), model.bias, 1.0, 0.0, seen)
     if held.any():
         score, right = model.scores(tested, np.cumsum(sizes[held]) - sizes[held]), y[held]
         loss = lambda t: -np.log(softmax(score / t)[np.arange(len(right)), right] + 1e-12).mean()
-        temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
-        p = softmax(score / temperature)
-        good = p.max(1)[p.argmax(1) == right]
-        threshold = float(min(SURE, np.quantile(good, REJECT))) if len(good) else 0.0
-    return Model(languages, model.table(), model.bias, temperature, threshold)
+        found.temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
+        p = softmax(score / found.temperature)
+        good = p.argmax(1) == right
+        if good.any():
+            share = found.familiar(pa.array([texts[i] for i in np.flatnonzero(held)[good].tolist()], pa.string()))
+            found.threshold, found.least = (float(SLACK * np.quantile(x, REJECT)) for x in (p.max(1)[good], share))
+    return found
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, allowed: Column) -> tuple[list[str], list[str]]:
@@ -123,7 +160,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             best, score = model.predict(batch.column(1))
             letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             best, score = np.where(letter, best, len(names) - 1), np.where(letter, score, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(~letter | (score < model.threshold))], names=["row", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(~letter | model.rejects(batch.column(1), score))], names=["row", "lang_pred", "score", "rejected"])
 
     schema = frame.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
     return frame.mapInArrow(run, schema)
