@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import threading
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plethora.sources.shared import delete, fresh_path
+
 #: White space of every contract of this subpackage, as a regex class and as plain characters.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -17,40 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import atexit
-    import shutil
-    import tempfile
-
-    own = tempfile.mkdtemp(prefix="plethora-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts the lineage with a table that survives the loss of any executor; later readers see the same rows,
-    monotonically increasing ids included.
+    monotonically increasing ids included. As a table of its own a join side is also dealt out anew for the join, so that
+    adaptive execution can split a hot key's partition (an aggregate by the join's key would keep it whole).
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plethora/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+    path = fresh_path(df.sparkSession, name)
+    _scopes()[-1].append(path)
+    return _written(df, path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that make gives, staged; tables that were staged to make it are deleted."""
+    path, scopes = fresh_path(spark, name), _scopes()
+    scopes.append([])
+    try:
+        found = _written(make(), path)
+    finally:
+        gone = scopes.pop()
+    for side in gone:
+        delete(spark, side)
+    scopes[-1].append(path)
+    return found
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_OWN = threading.local()
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that staged() wrote in this application. Frames that read them are void afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/plethora/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _scopes() -> list[list[str]]:
+    """Paths staged by this thread, for each settled() that it is in; those outside of any go when the application ends."""
+    if not hasattr(_OWN, "scopes"):
+        _OWN.scopes = [[]]
+    return _OWN.scopes
 
 
 def column(name: str) -> Column:

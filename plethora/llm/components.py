@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plethora.llm.common import staged
+from plethora.llm.common import settled, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b. Returns node, comp: the least node that is reachable, for every node that has an edge."""
+    """edges: a, b. Returns node, comp: the least node that is reachable, for every node that has an edge. Only the last labels stay in the shared folder."""
+    return settled(edges.sparkSession, "components", lambda: _labels(edges))
+
+
+def _labels(edges: DataFrame) -> DataFrame:
     both = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
     label = staged(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("comp")), "labels")
     while True:
@@ -22,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         told = label.join(nearest, F.col("node") == F.col("u")).select("node", "comp", F.least("comp", "near").alias("near"))
         # was: the label before; only the node's own row carries it.
         rows = told.select("node", F.col("near").alias("to"), F.col("comp").alias("was")).union(told.select(F.col("comp"), F.col("near"), F.lit(None).cast(label.schema["comp"].dataType)))
-        hooked = rows.groupBy("node").agg(F.min("to").alias("to"), F.max("was").alias("was"))
+        hooked = staged(rows.groupBy("node").agg(F.min("to").alias("to"), F.max("was").alias("was")), "hooked")
+        # Soon most nodes of a component name the same one: both sides are tables, so that its partition can be split.
         root = hooked.select(F.col("node").alias("r_node"), F.col("to").alias("r_to"))
         jumped = hooked.join(root, F.col("to") == F.col("r_node"), "left").select("node", F.least("to", "r_to").alias("comp"), "was")
         jumped = staged(jumped, "labels")

@@ -13,13 +13,16 @@ returns at most one edge a node. In buckets of many blocks, rounds of hubs come
 is held against the nodes of other components. Two blocks of one component never meet, so a group of true near copies
 takes work in proportion to its size. No partner is dropped: each pair that shares a band is compared or already connected.
 
-Scale: one pass over the texts writes ids, digests and band keys (about 250 bytes a text); candidates' sets are made in a
-second pass over those texts alone (by broadcast of their ids up to ``BROADCAST``, by a join beyond). Buckets of two need
-no join. A hot bucket is one row a task in its count, and adaptive execution splits its partition in joins.
-
-Defined results: null, empty and wordless texts have an empty set and are linked with nothing. Null ids come after all
-others. Rows with equal texts are linked, repeated rows and rows with equal ids too. Extra columns are ignored or pass
-through (``one_of_each``), whatever their names.
+Scale: rows are written once with a number of their own, by which every later pass knows them, whatever their ids. One
+pass over the texts writes ids, digests and band keys (about 250 bytes a text); candidates' sets are made in a second pass
+over those texts alone (by broadcast of their numbers up to ``BROADCAST``, by a join beyond). Buckets of two need no join. A
+hot bucket is one row a task in its count; what is joined by bucket, set or component are tables, so that adaptive execution
+splits a hot one's partition. Side tables are deleted once the result is written.
+
+Defined results: null, empty and wordless texts have an empty set, are linked with nothing and all stay, with equal or null
+ids too. Null ids come after all others. Rows with equal texts are linked, repeated rows and rows with equal ids too; of
+rows that tie on the smallest id the first in the table stays. Extra columns are ignored or pass through (``one_of_each``),
+whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plethora.llm.common import column, packed, staged, table
+from plethora.llm.common import packed, settled, staged, table
 from plethora.llm.components import components
 from plethora.llm.shingles import band_rows, bands, digest, groups, shingle_sets, signatures
 from plethora.llm.subword import strings
@@ -43,7 +46,7 @@ PERCENT = 85
 SMALL, ROUNDS = 8, 3
 #: Nodes and shingles of a block, about; columns of a product of blocks at once.
 BLOCK, SHINGLES, COLUMNS = 512, 500_000, 8192
-#: Ids that are broadcast at most (16 MB).
+#: Row numbers that are broadcast at most (16 MB).
 BROADCAST = 500_000
 
 
@@ -55,28 +58,32 @@ def _sets(batch: pa.RecordBatch, i: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, flat, at
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
-    """rid, id, n, node (16-byte digest of the set), bands; in the shared folder."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """rid, row (all columns) in the shared folder: a number of its own for each row, the same in every later pass. Passes read the fields they need."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("rid"), packed(docs).alias("row")), "rows")
+
+
+def sketch(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """texts: rid, id, text. Returns rid, id, n, node (16-byte digest of the set), bands; in the shared folder."""
     rows = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, flat, at in _sets(batch, 1):
+            for a, b, flat, at in _sets(batch, 2):
                 n = np.diff(at)
-                keys = np.zeros((b - a, 0), np.int64)
-                found = bands(signatures(flat, at), rows)
-                keys = iter(found.tolist())
+                keys = iter(bands(signatures(flat, at), rows).tolist())
                 nodes = [digest(flat[x:y]) if y > x else None for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 own = [next(keys) if node else [] for node in nodes]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["id", "n", "node", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(own, pa.list_(pa.int64()))],
+                    names=["rid", "id", "n", "node", "bands"])
 
-    frame = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    out = frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, n long, node binary, bands array<bigint>")
-    return staged(out.select(F.monotonically_increasing_id().alias("rid"), "*"), "sketch")
+    kind = texts.schema["id"].dataType.simpleString()
+    return staged(texts.select("rid", "id", "text").mapInArrow(run, f"rid long, id {kind}, n long, node binary, bands array<bigint>"), "sketch")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, shingles of the documents with these ids, in the shared folder."""
+def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, shingles of the rows with these numbers (c_rid), in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,19 +93,18 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
                 sets = pa.ListArray.from_arrays(pa.array(np.append(at[some], at[-1]).astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), sets], names=["node", "shingles"])
 
-    small = ids.count() <= BROADCAST
-    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(ids) if small else ids, F.col("id").eqNullSafe(F.col("c_id")), "left_semi")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    rows = texts.join(wanted, F.col("rid") == F.col("c_rid"), "left_semi")
     return staged(rows.select("text").mapInArrow(run, "node binary, shingles array<bigint>"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
+    """The pairs (a, b) whose full sets are alike enough. pairs are distinct and nodes have one set each, so nothing is dealt out by b afterwards and a hot b can be split."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     fits = 100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))
-    return pairs.join(left, "a").join(right, "b").where(fits & (100 * both >= percent * (F.size("sa") + F.size("sb") - both))).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(fits & (100 * both >= percent * (F.size("sa") + F.size("sb") - both))).select("a", "b")
 
 
 def _pairs_within(members: DataFrame) -> DataFrame:
@@ -184,7 +190,7 @@ def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, percent: i
             break
         named = _named(huge, links)
         named = named.where(F.col("apart") > BLOCK)  # what few nodes are apart meet all others in blocks
-        hub = named.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("rank", "node")).alias("hub"))
+        hub = staged(named.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("rank", "node")).alias("hub")), "hubs")
         held = named.join(hub, "key").where(F.col("node") != F.col("hub.node"))
         new = held.where(F.col("comp") != F.col("hub.comp")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         links = staged(links.union(confirmed(staged(new, "pairs"), sets, percent)).distinct(), "links")
@@ -194,8 +200,13 @@ def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, percent: i
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """rid, id, n, component (smallest id reachable), stays (true for one row of each component)."""
-    rows = sketch(docs, id_col, text_col, percent)
+    """rid, id, n, component (smallest id reachable), stays (true for one row of each component). Side tables are deleted."""
+    return settled(docs.sparkSession, "near", lambda: _near(numbered(docs), id_col, text_col, percent))
+
+
+def _near(numbers: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    texts = numbers.select("rid", F.col("row").getField(id_col).alias("id"), F.col("row").getField(text_col).cast("string").alias("text"))
+    rows = sketch(texts, percent)
     nodes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "rid")).alias("first"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     nodes = staged(nodes, "nodes")
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -206,17 +217,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = members.where(F.col("m") > SMALL)
     rank = large.groupBy("node").agg(F.sum("m").alias("rank"))
     large = staged(large.join(rank, "node").select("key", "node", "n", "m", "rank"), "large")
-    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).union(large.select("node")).distinct()
-    ids = staged(nodes.join(wanted, F.col("node") == F.col("w"), "left_semi").select(F.col("first.id").alias("c_id")), "wanted")
-    sets = full_sets(docs, ids, id_col, text_col)
+    some = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).union(large.select("node")).distinct()
+    wanted = staged(nodes.join(some, F.col("node") == F.col("w"), "left_semi").select(F.col("first.rid").alias("c_rid")), "wanted")
+    sets = full_sets(texts, wanted)
     links = _large_links(large, sets, staged(confirmed(pairs, sets, percent), "links"), percent)
     if links.isEmpty():
         named = nodes.select("node", "first")
     else:
         comp = components(links).select(F.col("node").alias("c_node"), "comp")
-        named = nodes.join(comp, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("comp", "node").alias("comp"), "first")
-        least = named.groupBy("comp").agg(F.min("first").alias("first"))
-        named = named.select("node", "comp").join(least, "comp").select("node", "first")
+        named = staged(nodes.join(comp, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("comp", "node").alias("comp"), "first"), "comps")
+        least = staged(named.groupBy("comp").agg(F.min("first").alias("first")), "least")
+        named = staged(named.select("node", "comp").join(least, "comp").select("node", "first"), "firsts")
     named = named.select(F.col("node").alias("n_node"), "first")
     own = F.struct(F.col("id").isNull().alias("null_id"), F.col("id").alias("id"), F.col("rid").alias("rid"))
     out = rows.join(named, F.col("node") == F.col("n_node"), "left").withColumn("first", F.coalesce("first", own))
@@ -224,20 +235,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id. Columns stay as they are."""
-    found = staged(near_groups(docs, id_col, text_col, percent), "near")
-    gone = found.where(~F.col("stays")).select(F.col("id").alias("g_id"))
-    if found.where("id IS NULL").isEmpty() and found.groupBy("id").count().where("count > 1").isEmpty():
-        gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
-        frame = docs.select(packed(docs).alias("row"), column(id_col).alias("id")).join(gone, F.col("id") == F.col("g_id"), "left_anti")
-        return frame.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
-    # Ids don't tell rows apart: number the rows of each id and text, and keep as many of them as stay.
-    hashed = F.sha2(F.coalesce(column(text_col).cast("string"), F.lit("")), 256)
-    numbered = staged(docs.select(packed(docs).alias("row"), column(id_col).alias("id"), column(text_col).cast("string").alias("text"), hashed.alias("hash")), "rows")
-    again = near_groups(numbered.withColumn("own", F.struct(F.col("id").isNull(), "id", "hash")), "own", "text", percent)
-    stays = again.where("stays").select(F.col("id").alias("k_own")).distinct()
-    kept = numbered.withColumn("own", F.struct(F.col("id").isNull(), "id", "hash")).join(stays, F.col("own").eqNullSafe(F.col("k_own")), "left_semi")
-    kept = kept.groupBy("own").agg(F.first("row").alias("row"))
+    """docs with one row of each component: the one with the smallest id. Columns stay as they are, and so do all rows that are linked with nothing."""
+    numbers = numbered(docs)
+    gone = settled(docs.sparkSession, "gone", lambda: _near(numbers, id_col, text_col, percent).where("NOT stays").select(F.col("rid").alias("g_rid")))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
+    kept = numbers.join(gone, F.col("rid") == F.col("g_rid"), "left_anti")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
