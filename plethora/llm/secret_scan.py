@@ -7,18 +7,20 @@ owners hold is a widely copied example; a value of one owner looks live. Base sp
 and are only classed, and so do opaque tokens that overlap no base span (kind ``live``). ``query`` lists an opaque token
 only where its value belongs to one owner alone, as its SQL does.
 
-Scale: one scan cuts the candidates; only they (kind, offsets, 16-byte hash) are written to the shared folder and
-shuffled, never a text. Frequencies are summed per hash and owner before the shuffle, so an example key in a third of
-all documents is one row per task and owner; the join that brings the class back is split by adaptive execution.
+Scale: one scan cuts the matches; only they (lengths and a 16-byte hash) are written to the shared folder and shuffled,
+never a text. Places and overlaps come from running sums and extremes, linear in a text's matches. Frequencies are summed per
+hash, owner and repository before the shuffle. They are a table of their own when they are joined back, so that adaptive
+execution splits the partition of an example key that a third of all documents hold.
 
 Defined results: a null or empty text has no candidates. A null owner or repository counts as one owner or repository of
 its own. Every row is judged by itself, repeated rows and null ids too. Offsets are code points, end exclusive. Extra
-columns are ignored.
+columns are ignored, whatever their names (``keep`` names what passes through, other than rid, repo, owner, pieces). An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plethora.llm.common import column, staged, table
@@ -35,69 +37,76 @@ BASE = ("assign", "access", "hex")
 MAX_OWNERS = 1
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """start, end, value of the leftmost non-overlapping matches: lengths of what lies between the matches and of the matches, summed up."""
+def _pieces(text: Column, kind: str) -> Column:
+    """The leftmost non-overlapping matches as array of gap (code points since the match before), hit (its code points), good (whether it counts), hash (of its value)."""
     pattern, group, least = KINDS[kind]
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.char_length(part["gap"])
-        end = start + F.coalesce(F.char_length(part["hit"]), F.lit(0))
-        found = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"))
-        good = part["hit"].isNotNull() & (F.char_length(part["value"]) >= least)
-        return F.struct(end.alias("at"), F.when(good, F.array_append(state["found"], found)).otherwise(state["found"]).alias("found"))
+    def piece(part: Column) -> Column:
+        value = part["value"]
+        good = F.char_length(value) >= least
+        if kind == "live":  # an opaque token mixes capitals, small letters and digits
+            good = good & value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
+        return F.struct(F.char_length(part["gap"]).alias("gap"), F.char_length(part["hit"]).alias("hit"), good.alias("good"), F.unhex(F.md5(value)).alias("hash"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), step)["found"]
-    if kind == "live":  # an opaque token mixes capitals, small letters and digits
-        mixed = lambda x: x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]")
-        found = F.filter(found, mixed)
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    found = F.transform(F.filter(parts, lambda part: part["hit"].isNotNull()), piece)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<gap:int,hit:int,good:boolean,hash:binary>>"))
 
 
-def candidates(docs: DataFrame, text_col: str, repo: Column, owner: Column, *keep: Column) -> DataFrame:
-    """One row per document in the shared folder: rid, keep..., repo, owner, cands (array of kind, rank, start, end, hash)."""
+def cuts(docs: DataFrame, text_col: str, repo: Column, owner: Column, *keep: Column) -> DataFrame:
+    """One row per document in the shared folder: rid, keep..., repo, owner, pieces (array of rank, pieces of that kind). No text is in it."""
     text = F.coalesce(column(text_col), F.lit(""))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), *keep, repo.cast("string").alias("repo"), owner.cast("string").alias("owner"),
-        *[_spans(text, kind).alias(kind) for kind in KINDS])
-    base = F.concat(*[F.col(kind) for kind in BASE])
-    apart = F.filter("live", lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-
-    def ranked(i: int, kind: str) -> Column:
-        return F.transform(apart if kind == "live" else F.col(kind), lambda x: F.struct(
-            x["start"].alias("start"), F.lit(i).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.unhex(F.md5(x["value"])).alias("hash")))
-
-    return staged(rows.select("rid", *[c for c in rows.columns if c not in {"rid", *KINDS}], F.array_sort(F.concat(*[ranked(i, kind) for i, kind in enumerate(KINDS)])).alias("cands")), "candidates")
+    every = F.array(*[F.struct(F.lit(i).alias("rank"), _pieces(text, kind).alias("found")) for i, kind in enumerate(KINDS)])
+    some = F.filter(every, lambda kind: F.exists(kind["found"], lambda x: x["good"]))
+    return staged(docs.select(F.monotonically_increasing_id().alias("rid"), *keep, repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), some.alias("pieces")), "cuts")
+
+
+def candidates(cut: DataFrame) -> DataFrame:
+    """One row per span in the shared folder: rid, repo, owner, rank, start, end, hash. Opaque tokens that overlap a base span are left out.
+
+    Places are running sums over a document's matches, and overlaps are told by the furthest end before and the next start after
+    a token, so the work grows with the number of matches alone.
+    """
+    rows = cut.where(F.size("pieces") > 0).select("rid", "repo", "owner", F.explode("pieces").alias("kind"))
+    rows = rows.select("rid", "repo", "owner", "kind.rank", F.posexplode("kind.found").alias("pos", "x")).select("rid", "repo", "owner", "rank", "pos", "x.*")
+    rows = rows.repartition("rid")  # one shuffle for all three windows
+    upto = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("rid", "rank").orderBy("pos")).cast("int")
+    placed = rows.withColumn("end", upto).where("good").select("rid", "repo", "owner", "rank", (F.col("end") - F.col("hit")).alias("start"), "end", "hash")
+    base, sofar = F.col("rank") < len(BASE), (Window.unboundedPreceding, Window.currentRow)
+    before = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("rid").orderBy("start").rangeBetween(*sofar))
+    after = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("rid").orderBy(F.desc("start")).rangeBetween(*sofar))  # backwards: a frame that ends at the last row would be read anew for each row
+    marked = placed.withColumns({"before": before, "after": after})
+    apart = F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
+    return staged(marked.where(base | apart).drop("before", "after"), "candidates")
 
 
 def ownership(cands: DataFrame) -> DataFrame:
     """hash, n_owners, n_repos: by how many distinct owners and repositories each candidate value is held."""
-    held = cands.where(F.size("cands") > 0).select("repo", "owner", F.explode(F.array_distinct(F.transform("cands", lambda x: x["hash"]))).alias("hash"))
     nullable = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    by_repo = held.groupBy("hash", nullable("owner").alias("owner"), nullable("repo").alias("repo")).agg(F.lit(1).alias("one"))
+    by_repo = cands.groupBy("hash", nullable("owner").alias("owner"), nullable("repo").alias("repo")).agg(F.lit(1).alias("one"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n_repos"))
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos"))
 
 
 def scan(docs: DataFrame, text_col: str, repo: Column, owner: Column, *keep: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
     """keep... and spans: array of start, rank, kind, end, n_owners, n_repos, live; every candidate of every kind, classed."""
-    cands = candidates(docs, text_col, repo, owner, *keep)
-    known = ownership(cands)
+    cut = cuts(docs, text_col, repo, owner, *keep)
+    cands = candidates(cut)
+    known = staged(ownership(cands), "ownership")
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.col("rank"))
     classed = (
-        cands.where(F.size("cands") > 0).select("rid", F.explode("cands").alias("c"))
-        .join(known, F.col("c.hash") == known["hash"])
-        .select("rid", F.struct("c.start", "c.rank", "c.kind", "c.end", "n_owners", "n_repos", (F.col("n_owners") <= max_owners).alias("live")).alias("c"))
+        cands.join(known, "hash")
+        .select("rid", F.struct("start", "rank", kind.alias("kind"), "end", "n_owners", "n_repos", (F.col("n_owners") <= max_owners).alias("live")).alias("c"))
         .groupBy("rid").agg(F.array_sort(F.collect_list("c")).alias("spans"))
         .withColumnRenamed("rid", "s_rid")
     )
     empty = F.array().cast(classed.schema["spans"].dataType)
-    names = [c for c in cands.columns if c not in ("rid", "repo", "owner", "cands")]
-    return cands.join(classed, F.col("rid") == F.col("s_rid"), "left").select(*names, F.coalesce("spans", empty).alias("spans"))
+    names = [c for c in cut.columns if c not in ("rid", "repo", "owner", "pieces")]
+    return cut.join(classed, F.col("rid") == F.col("s_rid"), "left").select(*names, F.coalesce("spans", empty).alias("spans"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

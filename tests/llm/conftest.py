@@ -26,3 +26,22 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def empty(odd):
     return odd.limit(0)
+
+
+@pytest.fixture
+def skewed(spark):
+    """Settings under which adaptive execution splits the hot keys of small tables; counts the splits of a frame's plan once it has run."""
+    names = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1kb", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2kb",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.files.openCostInBytes": "1b", "spark.sql.files.maxPartitionBytes": "50kb"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+
+    def splits(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("skew=true")
+
+    yield splits
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
