@@ -173,6 +173,7 @@ class Codec:
         self.older: dict[str, str] = {}  # what was recent before; a piece that is used again moves back
         self.said = [str(rank) for rank in range(max(ranks.values()) + 1)]
         self.bytes = {str(rank): token for token, rank in ranks.items()}
+        self.by_id = {rank: token for token, rank in ranks.items()}
 
     def forget(self) -> None:
         """Between tasks a worker keeps the ranks, not the pieces."""
@@ -244,7 +245,7 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, block.split(" ")))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(self.bytes[str(i)] for i in ids)
+        return b"".join(map(self.by_id.__getitem__, ids))
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -270,8 +271,8 @@ def _rank_file(spark, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with a column of ids (array of int) added, or replaced where it exists."""
+def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", verify: bool = False) -> DataFrame:
+    """docs with a column of ids (array of int) added, or replaced where it exists. verify: decode each text's ids and fail where they don't give the text back."""
     lines = _rank_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +280,12 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
         for batch in batches:
             rows, texts = batch.column(0), batch.column(1)
             for low in range(0, batch.num_rows, SLICE):
-                found = [_numbers(blocks) for blocks in codec.encode_texts(texts.slice(low, SLICE).to_pylist())]
+                plain = texts.slice(low, SLICE).to_pylist()
+                found = [_numbers(blocks) for blocks in codec.encode_texts(plain)]
+                if verify:
+                    for text, ids in zip(plain, found):
+                        if codec.decode(ids.tolist()) != (text or "").encode():
+                            raise ValueError(f"the ids of a text of {len(text or '')} characters don't decode to it")
                 offsets = np.append(0, np.cumsum(list(map(len, found)))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([rows.slice(low, SLICE), ids], names=["row", "ids"])
@@ -292,6 +298,23 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     return out.select(*[F.col("row").getField(c).alias(c) for c in others], F.col("ids").alias(ids_col))
 
 
+def decode_column(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """docs with the text of each row's ids added, or replaced where that column exists. Null ids give null; bytes that are no UTF-8 become U+FFFD."""
+    lines = _rank_file(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(lines.value, pattern)
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE):
+                texts = [None if ids is None else codec.decode(ids).decode("utf-8", "replace") for ids in batch.column(1).slice(low, SLICE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, SLICE), pa.array(texts, pa.string())], names=["row", "text"])
+
+    others = [c for c in docs.columns if c != text_col]
+    frame = docs.select(F.struct(*[column(c) for c in others]).alias("row"), column(ids_col).cast("array<int>").alias("ids"))
+    out = frame.mapInArrow(run, T.StructType([frame.schema["row"], T.StructField("text", T.StringType())]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in others], F.col("text").alias(text_col))
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, exact (whether the decoded bytes are the text's): a round trip of every whole text."""
     lines = _rank_file(docs.sparkSession, path)

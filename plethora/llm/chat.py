@@ -9,11 +9,12 @@ A turn is written ``<|role|>\\n text <|end|>\\n`` without the spaces. Control st
 and of other common ones, are escaped by entities, and entities by ``&amp;``; ``unescape`` reverses this exactly.
 
 Scale: conversations are grouped by id once; a window's text is made inside that group and holds at most the budget plus
-one turn. A conversation is a unit of its own (its turns are in order), so its turns meet in one task. A turn of more
-tokens than the budget gets a window of its own.
+one turn (and the system turn, where that alone is beyond the budget). A conversation is a unit of its own (its turns are in
+order), so its turns meet in one task. A turn of more tokens than the budget gets a window of its own.
 
 Defined results: null roles and texts count as empty, null turns come first, rows that tie on the turn follow each other
-by role and text, repeated rows are turns of their own; rows of a null id are one conversation. Extra columns are ignored.
+by role and text, repeated rows are turns of their own; a row of a null id is a conversation of its own. Extra columns are
+ignored, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     role, text = (F.coalesce(column(c), F.lit("")) for c in (role_col, text_col))
     head = F.concat(F.lit("<|"), escape(role), F.lit("|>\n"))
     turn = F.struct(column(turn_col).alias("turn"), role.alias("role"), text.alias("text"), head.alias("head"), escape(text).alias("body"), count_tokens(text).alias("tokens"))
-    convs = turns.select(column(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    alone = F.when(column(conv_col).isNull(), F.monotonically_increasing_id())  # rows that name no conversation don't meet in one
+    rows = turns.select(column(conv_col).alias("conv_id"), alone.alias("alone"), turn.alias("t"))
+    convs = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns")).drop("alone")
     system = F.get("turns", 0)["role"] == "system"
     convs = convs.withColumns({"system": system, "room": F.greatest(F.lit(1), budget - history - F.when(system, F.get("turns", 0)["tokens"]).otherwise(0))})
 

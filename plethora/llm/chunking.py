@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from plethora.llm.shingles import mix
+
 #: Bytes. MIN covers the hash's memory, so no boundary depends on what stands before a text.
 MIN, NORMAL, MAX = 8, 20, 64
 STRICT, LOOSE = 6, 3
@@ -51,14 +53,6 @@ def cuts(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndar
     return starts[order], owners[order]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def chunk_sets(texts: list[bytes]) -> list[np.ndarray]:
     """For each text its sorted distinct chunks as uint64: 40 bits of digest, then 8 bits of length."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -71,7 +65,7 @@ def chunk_sets(texts: list[bytes]) -> list[np.ndarray]:
     length = np.diff(np.append(starts, len(data)))
     place = np.arange(len(data)) - np.repeat(starts, length)
     with np.errstate(over="ignore"):
-        digest = _mix(np.add.reduceat(_VALUE[data] * _PLACE[place], starts) + length.astype(np.uint64))
+        digest = mix(np.add.reduceat(_VALUE[data] * _PLACE[place], starts) + length.astype(np.uint64))
     chunk = digest >> np.uint64(24) << np.uint64(8) | length.astype(np.uint64)
     order = np.lexsort((chunk, owner))
     chunk, owner = chunk[order], owner[order]

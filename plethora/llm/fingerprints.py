@@ -9,8 +9,8 @@ only the document before and the batch at hand are in memory. The first document
 before it as well, so no partition needs another. What the driver holds is one bound and one id per partition.
 
 Defined results: a null text is empty; null ids come last; rows that tie on the id follow each other by text. A single
-row is its own next document. Two empty texts are alike (1.0), an empty and another one are not (0.0). Extra columns are
-ignored; an empty table gives an empty table.
+row is its own next document. Two empty texts are alike (1.0), an empty and another one are not (0.0). Ids of other types
+than whole numbers raise an error. Extra columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plethora.llm.chunking import chunk_sets, containment
 from plethora.llm.common import column, shuffle_parts, table
@@ -85,6 +86,8 @@ def _range_of(bounds: list[int], key: Column) -> Column:
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers: documents follow each other by them")
     spark, parts = docs.sparkSession, shuffle_parts(docs.sparkSession)
     rows = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     found = rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []

@@ -12,24 +12,17 @@ import struct
 
 import numpy as np
 
-_HEAD = struct.Struct("<QII")
-
+from plethora.llm.shingles import mix
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = x ^ (x >> np.uint64(33))
-        x = x * np.uint64(0xFF51AFD7ED558CCD)
-        x = x ^ (x >> np.uint64(33))
-        x = x * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
+_HEAD = struct.Struct("<QII")
 
 
 def _places(keys: np.ndarray, seed: int, segment: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
     """Three places for each key, and the key's byte."""
     with np.errstate(over="ignore"):
-        h = _mix(keys + np.uint64(seed))
+        h = mix(keys + np.uint64(seed))
         first = ((h >> np.uint64(32)) * np.uint64(starts) >> np.uint64(32)).astype(np.int64)
-        g = _mix(h + np.uint64(0x9E3779B97F4A7C15))
+        g = mix(h + np.uint64(0x9E3779B97F4A7C15))
     mask = np.uint64(segment - 1)
     inner = [g & mask, (g >> np.uint64(18)) & mask, (g >> np.uint64(36)) & mask]
     at = np.stack([(first + k) * segment + inner[k].astype(np.int64) for k in range(3)])

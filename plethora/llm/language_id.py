@@ -1,17 +1,23 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy, with calibrated rejection.
 
-The model is fitted in the driver on a bounded sample of labelled rows: at most ``PER_LANG`` documents of each of at most
-``MAX_LANGS`` languages (the most frequent), chosen by hash, and of each the first ``TRAIN_CHARS`` code points. One fifth
-of each language's rows (of five at least) is held back to set the softmax temperature and two rejection thresholds:
-documents are rejected whose calibrated score, or whose share of 4-grams that the learned rows hold, is below ``SLACK``
-times the ``REJECT`` quantile of the held-back ones that were predicted rightly. The share doesn't rest on the softmax, so
-it also tells a text in no learned language, however sure the softmax is. Without held-back rows nothing is calibrated.
+The model is fitted in the driver on a bounded sample of labelled rows, chosen by hash: at most ``PER_LANG`` documents of a
+language, and of many languages fewer, so that all together are about ``TOGETHER`` (``FEW`` of each at least). Of a longer text
+``WINDOWS`` windows of together ``TRAIN_CHARS`` code points are read, one at a hashed place in each of as many equal parts of the
+whole text. One fifth of each language's rows (of five at least) is held back to set the softmax temperature and two
+rejection thresholds: documents are rejected whose calibrated score, or whose share of 4-grams that the learned rows hold, is
+below ``SLACK`` times the ``REJECT`` quantile of the held-back ones that were predicted rightly. The share doesn't rest on the
+softmax, so it also tells a text in no learned language, however sure the softmax is. Without held-back rows nothing is calibrated.
 
-Prediction reads every whole text, in Arrow batches and in pieces of a bounded size, without any shuffle; the broadcast
-model is 2^bits rows of one float per language, whatever the corpus.
+Prediction reads every whole text, in Arrow batches and in pieces of a bounded size, without any shuffle. The broadcast model
+is 2^bits rows of a float per language or per embedding dimension, whichever is less, and a row of that length per language.
+
+Scale: a language's rows are narrowed by a bound on their hash that follows from their number before they are ranked, so the
+ranking sees about twice the sample, whatever the corpus; repeated rows are counted once and are one row a task. The driver holds the sample's
+code points and the n-grams of one training batch at a time.
 
 Defined results: a null text or one without any letter is ``und`` with score 0 and rejected. Without any labelled row
-every document is ``und``. Ties go to the first language by name. Repeated rows, null ids and extra columns pass through.
+every document is ``und``. Ties go to the first language by name. Rows with equal id, text and language are learned from once.
+Repeated rows, null ids and extra columns pass through, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,19 +29,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plethora.llm.common import column, packed, table
+from plethora.llm.common import column, packed, staged, table
 from plethora.llm.subword import BagModel, fold, grams, pieces, softmax, strings
 
 ORDERS, BITS, DIM = (1, 2, 3, 4), 15, 16
-PER_LANG, MAX_LANGS, TRAIN_CHARS = 600, 100, 3000
+PER_LANG, TOGETHER, FEW = 600, 24_000, 10
+TRAIN_CHARS, WINDOWS = 3000, 30
+#: Rows of the sample whose keys are broadcast at most.
+BROADCAST = 500_000
 #: Quantile of the held-back rows, and the part of it that is the threshold: the lowest of few rows isn't the lowest of all.
 REJECT, SLACK = 0.0005, 0.9
 #: The n-grams that are looked up among those of the learned rows, and the bits of their table.
 SEEN, SEEN_BITS = 4, 20
-EPOCHS, BATCH = 4, 32
+#: Passes over the learned rows, and steps that are made at least.
+EPOCHS, BATCH, STEPS = 4, 32, 240
 
 
-def _places(folded: np.ndarray, ends: np.ndarray, cut_ends: bool) -> Iterator[np.ndarray]:
+def _places(folded: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
     """For each order the bucket at each place; n-grams that would cross the end of a text have the empty bucket."""
     for n, bucket in grams(folded, ORDERS, BITS):
         for back in range(1, n):
@@ -53,10 +63,11 @@ def _looked_up(folded: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple
 
 
 class Model:
-    """languages, rows (bucket by language), bias, temperature, threshold, seen (bit of each SEEN-gram), least (share of seen ones): what executors need."""
+    """languages, rows (by bucket: a float per language, or an embedding that out maps to languages), bias, temperature, threshold, seen (bit of each SEEN-gram), least (share of seen ones): what executors need."""
 
-    def __init__(self, languages: list[str], rows: np.ndarray, bias: np.ndarray, temperature: float, threshold: float, seen: np.ndarray, least: float = 0.0):
-        self.languages, self.rows, self.bias, self.temperature, self.threshold, self.seen, self.least = languages, rows, bias, temperature, threshold, seen, least
+    def __init__(self, languages: list[str], rows: np.ndarray, out: np.ndarray | None, bias: np.ndarray, seen: np.ndarray):
+        self.languages, self.rows, self.out, self.bias, self.seen = languages, rows, out, bias, seen
+        self.temperature, self.threshold, self.least = 1.0, 0.0, 0.0
 
     def familiar(self, texts: pa.Array) -> np.ndarray:
         """The share of each whole text's SEEN-grams that the learned rows hold; 1 without any."""
@@ -72,20 +83,24 @@ class Model:
     def rejects(self, texts: pa.Array, score: np.ndarray) -> np.ndarray:
         return (score < self.threshold) | (self.familiar(texts) < self.least)
 
-    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language and calibrated score of each text."""
+    def logits(self, texts: pa.Array) -> np.ndarray:
+        """A row per whole text, a column per language."""
         data, offsets = strings(texts)
-        total = np.zeros((len(texts), len(self.languages)))
-        count = np.zeros(len(texts))
+        total, count = np.zeros((len(texts), self.rows.shape[1])), np.zeros(len(texts))
         for start, end, first, which in pieces(offsets):
             folded = fold(data[start:end])
-            summed, known = np.zeros((end - start, len(self.languages)), np.float32), np.zeros(end - start, np.float32)
-            for bucket in _places(folded, np.append(first[1:], end) - start, True):
+            summed, known = np.zeros((end - start, self.rows.shape[1]), np.float32), np.zeros(end - start, np.float32)
+            for bucket in _places(folded, np.append(first[1:], end) - start):
                 summed += self.rows[bucket]
                 known += bucket < 1 << BITS
             np.add.at(total, which, np.add.reduceat(summed, first - start, dtype=np.float64))
             np.add.at(count, which, np.add.reduceat(known, first - start, dtype=np.float64))
-        p = softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
+        mean = total / np.maximum(count, 1)[:, None]
+        return (mean if self.out is None else mean @ self.out) + self.bias
+
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the language and calibrated score of each text."""
+        p = softmax(self.logits(texts) / self.temperature)
         return p.argmax(1), p.max(1)
 
 
@@ -93,52 +108,67 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
     languages = sorted(set(labels))
     if not languages:
         return None
-    bags = []
-    for text in texts:
-        folded = fold(np.frombuffer(text.encode("utf-8"), np.uint8))
-        own = np.concatenate([b[b < 1 << BITS] for b in _places(folded, np.array([len(folded)]), False)]) if len(folded) else np.zeros(0, np.int32)
-        bags.append(own if len(own) else np.array([1 << BITS], np.int32))
+    raw = [fold(np.frombuffer((t or " ").encode("utf-8"), np.uint8)) for t in texts]
     y = np.searchsorted(languages, labels)
-    sizes = np.fromiter(map(len, bags), np.int64, len(bags))
     held = np.zeros(len(texts), bool)
     for k in range(len(languages)):  # each language keeps four rows of five to learn from
         held[np.flatnonzero(y == k)[4::5]] = True
     learn = np.flatnonzero(~held)
-    kept, tested = (np.concatenate([bags[i] for i in rows]) if len(rows) else None for rows in (learn, np.flatnonzero(held)))
-    del bags
+
+    def take(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of these learned rows, one row after another, and their numbers."""
+        own = [raw[i] for i in learn[rows].tolist()]
+        ends = np.cumsum(list(map(len, own)))
+        found = np.stack(list(_places(np.concatenate(own), ends)), 1)
+        used = found < 1 << BITS
+        return found[used], np.add.reduceat(used.sum(1), np.append(0, ends[:-1]))
+
     model = BagModel(len(languages), BITS, DIM)
     share = np.bincount(y[learn], minlength=len(languages))
-    model.fit(kept, np.cumsum(sizes[learn]) - sizes[learn], y[learn], (1 / np.maximum(share, 1))[y[learn]].astype(np.float32), EPOCHS, BATCH)
+    passes = max(EPOCHS, -(-STEPS * BATCH // len(learn)))
+    model.fit_bags(take, y[learn], (1 / np.maximum(share, 1))[y[learn]].astype(np.float32), passes, BATCH)
     seen = np.zeros(1 << SEEN_BITS, bool)
     for i in learn.tolist():
-        folded = fold(np.frombuffer(texts[i].encode("utf-8"), np.uint8))
-        if len(folded):
-            bucket, inside = _looked_up(folded, np.array([0]), np.array([len(folded)]))
-            seen[bucket[inside]] = True
-    found = Model(languages, model.table(), model.bias, 1.0, 0.0, seen)
+        bucket, inside = _looked_up(raw[i], np.array([0]), np.array([len(raw[i])]))
+        seen[bucket[inside]] = True
+    wide = len(languages) > DIM
+    found = Model(languages, model.embedding if wide else model.table(), model.weights if wide else None, model.bias, seen)
     if held.any():
-        score, right = model.scores(tested, np.cumsum(sizes[held]) - sizes[held]), y[held]
+        kept, right = pa.array([texts[i] for i in np.flatnonzero(held).tolist()], pa.string()), y[held]
+        score = found.logits(kept)
         loss = lambda t: -np.log(softmax(score / t)[np.arange(len(right)), right] + 1e-12).mean()
         found.temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
         p = softmax(score / found.temperature)
         good = p.argmax(1) == right
         if good.any():
-            share = found.familiar(pa.array([texts[i] for i in np.flatnonzero(held)[good].tolist()], pa.string()))
-            found.threshold, found.least = (float(SLACK * np.quantile(x, REJECT)) for x in (p.max(1)[good], share))
+            found.threshold, found.least = (float(SLACK * np.quantile(x[good], REJECT)) for x in (p.max(1), found.familiar(kept)))
     return found
 
 
+def windows(text: Column, key: Column) -> Column:
+    """The text, or windows over the whole of a longer one."""
+    size, n = TRAIN_CHARS // WINDOWS, F.char_length(text)
+    part = n / F.lit(float(WINDOWS))
+    place = lambda k: F.pmod(F.xxhash64(key, k), F.lit(1 << 20)) / float(1 << 20)
+    at = lambda k: F.floor(k * part + place(k) * (part - size)).cast("int") + 1
+    some = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(text, at(k), F.lit(size)))
+    return F.when(n <= TRAIN_CHARS, text).otherwise(F.array_join(some, " "))
+
+
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, allowed: Column) -> tuple[list[str], list[str]]:
-    """The training rows. Ids alone are ranked; their texts are then fetched by a broadcast of at most PER_LANG * MAX_LANGS ids."""
+    """The training texts and their languages, in the order of a hash of id and text. Keys alone are ranked; their texts are fetched after that."""
     text, lang = column(text_col).cast("string"), column(lang_col).cast("string")
-    known = docs.where(allowed & lang.isNotNull() & text.isNotNull()).select(column(id_col).alias("id"), text.alias("t"), lang.alias("l"), F.xxhash64(column(id_col).cast("string"), F.lit(11)).alias("key"))
-    most = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).select("l")
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("key", "id"))
-    ids = known.select("id", "l", "key").join(F.broadcast(most), "l", "left_semi").withColumn("rank", rank).where(F.col("rank") <= PER_LANG)
-    chosen = ids.select(F.col("id").alias("c_id")).dropDuplicates()
-    rows = known.join(F.broadcast(chosen), F.col("id") == F.col("c_id"), "left_semi").select("key", F.substring("t", 1, TRAIN_CHARS).alias("t"), "l")
-    found = sorted(map(tuple, rows.limit(2 * PER_LANG * MAX_LANGS).collect()))
-    return [t for _, t, _ in found], [l for _, _, l in found]
+    known = docs.where(allowed & lang.isNotNull() & text.isNotNull()).select(text.alias("t"), lang.alias("l"), F.xxhash64(column(id_col).cast("string"), text, F.lit(11)).alias("key"))
+    counts = staged(known.groupBy("l").agg(F.approx_count_distinct("key").alias("n")), "languages")
+    languages = counts.count()
+    quota = max(FEW, min(PER_LANG, TOGETHER // max(1, languages)))
+    place = F.shiftrightunsigned("key", 11) / float(1 << 53)
+    near = known.select("l", "key").join(F.broadcast(counts) if languages <= BROADCAST else counts, "l").where(place * F.col("n") <= 2 * quota + 50)
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("key"))
+    chosen = staged(near.select("l", "key").distinct().withColumn("rank", rank).where(F.col("rank") <= quota).select("l", "key"), "chosen")
+    rows = known.join(F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen, ["l", "key"], "left_semi")
+    found = sorted(map(tuple, rows.select("key", "l", windows(F.col("t"), F.col("key")).alias("t")).groupBy("key", "l").agg(F.first("t").alias("t")).collect()))
+    return [t for _, _, t in found], [l for _, l, _ in found]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", allowed: Column | None = None) -> Model | None:

@@ -12,7 +12,9 @@ bounded size, without any shuffle; the broadcast model is one float for each of
 
 Defined results: null, empty and wordless texts have no run and get the score of a text whose runs are all harmless.
 Without a labelled row of both labels every score is the share of toxic labels (0 without any). Null labels are ignored; of
-a document labelled more than once the highest label counts. Repeated rows, null ids and extra columns pass through.
+a document labelled more than once the highest label counts; a labelled id's texts are all learned from, equal ones once (of
+ids that hold more than twice the sample's texts the first by hash). Repeated rows, null ids and extra columns pass through,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plethora.llm.common import column, packed, table
+from plethora.llm.common import column, packed, staged, table
 from plethora.llm.subword import BagModel, fold, grams, pieces, strings
 
 WORDS, ORDERS, BITS, DIM = 3, (3, 4, 5, 6), 17, 6
@@ -169,14 +171,17 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, allowed: Column) -> tuple[list[str], list[int], float | None]:
-    """The training rows and the share of toxic labels. Ids alone are ranked; texts are fetched by a broadcast of at most HARMLESS + TOXIC ids."""
+    """The training rows and the share of toxic labels. Ids alone are ranked, those whose hash is below a bound that follows from the label's count; texts are fetched by a broadcast of at most HARMLESS + TOXIC ids."""
     known = labels.where(allowed & column(label_col).isNotNull() & column(id_col).isNotNull()).groupBy(column(id_col).alias("c_id")).agg((F.max(column(label_col)) > 0).cast("int").alias("c_label"))
+    known = staged(known.withColumn("key", F.xxhash64(F.col("c_id").cast("string"), F.lit(13))), "labels")
     counts = {r[0]: r[1] for r in known.groupBy("c_label").count().collect()}  # two rows at most
-    key = F.xxhash64(F.col("c_id").cast("string"), F.lit(13))
-    chosen = known.where("c_label = 0").orderBy(key, "c_id").limit(HARMLESS).union(known.where("c_label = 1").orderBy(key, "c_id").limit(TOXIC))
-    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("t"))
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("c_id")).select("c_id", "t", "c_label")
-    found = sorted(map(tuple, rows.limit(2 * (HARMLESS + TOXIC)).collect()))
+    place = F.shiftrightunsigned("key", 11) / float(1 << 53)
+    pick = lambda label, most: known.where((F.col("c_label") == label) & (place * counts.get(label, 0) <= 2 * most + 50)).orderBy("key", "c_id").limit(most)
+    chosen = pick(0, HARMLESS).union(pick(1, TOXIC))
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("c_id")).withColumn("hash", F.xxhash64("t"))
+    rows = rows.groupBy("key", "c_id", "hash").agg(F.first("t").alias("t"), F.first("c_label").alias("c_label"))  # repeated rows are one row a task
+    found = sorted((r["c_id"], r["t"], r["c_label"]) for r in rows.orderBy("key", "c_id", "hash").limit(2 * (HARMLESS + TOXIC)).collect())
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return [t for _, t, _ in found], [l for _, _, l in found], share
 
