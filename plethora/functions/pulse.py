@@ -16,6 +16,20 @@ import numpy as np
 from plethora.functions.dsp import butterworth2, cascade
 
 
+def in_order(x: np.ndarray) -> float:
+    """The sum of the values one after another, without the pairs that numpy's sum makes: gates compare its last bits."""
+    return float(np.add.accumulate(x)[-1]) if len(x) else 0.0
+
+
+def mean_of(x: np.ndarray) -> float:
+    return in_order(x) / len(x)
+
+
+def spread_of(x: np.ndarray, mean: float) -> float:
+    """Population spread around the mean."""
+    return math.sqrt(in_order((x - mean) ** 2) / len(x))
+
+
 def half_away(x: float) -> int:
     """Rounded to the nearest integer, halves away from zero."""
     return int(math.copysign(math.floor(abs(x) + 0.5), x))
@@ -52,7 +66,7 @@ def start() -> dict:
 def mean_square_successive(intervals: list[float]) -> float:
     """RMSSD; 0 with fewer than two intervals."""
     d = np.diff(intervals)
-    return math.sqrt(float(d @ d) / len(d)) if len(d) else 0.0
+    return math.sqrt(in_order(d * d) / len(d)) if len(d) else 0.0
 
 
 def rate(intervals: list[float], last: int) -> float | None:
@@ -63,8 +77,9 @@ def regularity(intervals: list[float]) -> float:
     """1 - half the coefficient of variation, within 0 and 1; 0 with fewer than three."""
     if len(intervals) < 3:
         return 0.0
-    mean = float(np.mean(intervals))
-    return min(1.0, max(0.0, 1.0 - 0.5 * float(np.std(intervals)) / mean)) if mean > 0 else 0.0
+    x = np.array(intervals)
+    mean = mean_of(x)
+    return min(1.0, max(0.0, 1.0 - 0.5 * spread_of(x, mean) / mean)) if mean > 0 else 0.0
 
 
 def quality(raw: np.ndarray, filtered: np.ndarray, intervals: list[float], least: int, s: Settings) -> dict:
@@ -72,7 +87,7 @@ def quality(raw: np.ndarray, filtered: np.ndarray, intervals: list[float], least
     none = {"sqi": 0.0, "mod": None, "mod_score": 0.0, "per": 0.0, "penalty": 1.0}
     if len(raw) < least:
         return none | {"reject": "warmup"}
-    dc = float(np.mean(raw))
+    dc = mean_of(raw)
     if dc < s.least_dc:
         return none | {"reject": "presence"}
     if float(np.ptp(raw)) < 1e-3:
@@ -94,18 +109,21 @@ def acceptable(dt: float, intervals: list[float], s: Settings) -> bool:
     return abs(dt - middle) <= s.plausible * middle
 
 
-def advance(state: dict, block: np.ndarray, s: Settings, keep_samples: bool = False) -> dict:
-    """Updates the state; returns beats, peaks, ticks (lists) and, if asked for, the block's filtered samples."""
+def band_passed(samples: np.ndarray, s: Settings, registers: list[float]) -> np.ndarray:
+    """Means of neighbours through the high pass, then the low pass: one value less than samples."""
+    return cascade((samples[:-1] + samples[1:]) / 2, [butterworth2(s.fs, s.low_hz, "high"), butterworth2(s.fs, s.high_hz, "low")], registers)
+
+
+def advance(state: dict, block: np.ndarray, s: Settings, keep_samples: bool = False, passed: np.ndarray | None = None) -> dict:
+    """Updates the state; returns beats, peaks, ticks (lists) and, if asked for, the block's filtered samples. passed: band_passed() of a whole recording, for settings that share it."""
     block = np.asarray(block, float)
     n0, n = state["n"], state["n"] + len(block)
     if not len(block):
         return {"beats": [], "peaks": [], "ticks": [], "filtered": np.zeros(0)}
     raw = np.concatenate([state["raw"], block])
     offset = n0 - len(state["raw"])  # packet number of raw[0]
-    fresh = block if n0 else block[1:]
-    before = raw[n0 - offset - 1 : n - offset - 1] if n0 else block[:-1]
-    sections = [butterworth2(s.fs, s.low_hz, "high"), butterworth2(s.fs, s.high_hz, "low")]
-    passed = cascade((before + fresh) / 2, sections, state["registers"])
+    if passed is None:
+        passed = band_passed(raw[max(n0 - offset - 1, 0) :], s, state["registers"])
     filtered = np.concatenate([state["filtered"], passed if n0 else np.append(0.0, passed)])  # packet 0 passes nothing on
 
     detect = -filtered if s.systolic else filtered
@@ -136,7 +154,8 @@ def advance(state: dict, block: np.ndarray, s: Settings, keep_samples: bool = Fa
         if state["last_peak"] is not None and packet - state["last_peak"] < rest:
             continue
         window = detect[max(k - width + 1, 1 - offset, 0) : k + 1]
-        if not detect[k - 1] > window.mean() + s.sigmas * window.std():
+        level = mean_of(window)
+        if not detect[k - 1] > level + s.sigmas * spread_of(window, level):
             continue
         peaks.append(packet)
         if state["last_peak"] is not None:
@@ -155,5 +174,5 @@ def advance(state: dict, block: np.ndarray, s: Settings, keep_samples: bool = Fa
     return {"beats": beats, "peaks": peaks, "ticks": ticks, "filtered": filtered[n0 - offset :] if keep_samples else np.zeros(0)}
 
 
-def replay(samples: np.ndarray, s: Settings, keep_samples: bool = False) -> dict:
-    return advance(start(), samples, s, keep_samples)
+def replay(samples: np.ndarray, s: Settings, keep_samples: bool = False, passed: np.ndarray | None = None) -> dict:
+    return advance(start(), samples, s, keep_samples, passed)

@@ -22,11 +22,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def interpolate_gaps(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
     """Linear interpolation over NULLs along order; before the first and after the last known value it is held. Without any known value: 0."""
-    ahead = Window.partitionBy(key).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    # Looked at backwards: a frame that ends at the last row would be read anew for each row.
+    ahead = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     known_at = F.when(F.col(value).isNotNull(), F.col(order))
     x0, y0 = F.last(known_at, True).over(back), F.last(value, True).over(back)
-    x1, y1 = F.first(known_at, True).over(ahead), F.first(value, True).over(ahead)
+    x1, y1 = F.last(known_at, True).over(ahead), F.last(value, True).over(ahead)
     inner = y0 + (y1 - y0) * ((F.col(order) - x0) / (x1 - x0))
     return df.withColumn(out, F.coalesce(value, F.when(x0.isNull(), y1).when(x1.isNull(), y0).otherwise(inner), F.lit(0.0)))
 

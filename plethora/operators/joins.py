@@ -9,20 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plethora.operators.cleaning import assert_unique
+from plethora.sources.shared import stage
 
 #: Rows of a parameter table (folds, grids, draws) that is broadcast at most; larger ones are joined by key.
 SMALL = 200_000
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A hint to broadcast df while it has at most SMALL rows. rows: the count, where it is known."""
-    n = df.limit(SMALL + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= SMALL else df
+    """A hint to broadcast df while it has at most SMALL rows. rows: the count, where it is known; otherwise df is written as a table of its own and that is counted, so that its plan runs once."""
+    if rows is None:
+        df = stage(df, "small")
+        rows = df.count()
+    return F.broadcast(df) if rows <= SMALL else df
 
 
 def values(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -50,6 +54,27 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, inclusive: bool
     return both.withColumn("_found", last).where("_side = 0").withColumn(out, F.col("_found")["_take"]).drop("_right", "_take", "_side", "_found")
 
 
+def matched_pairs(found: np.ndarray, wanted: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
+    """(wanted, found) numbers of sorted times: each wanted time in turn takes the nearest free one of the found times beside it.
+
+    Neighbours and gaps come from one search; only whether a time is still free depends on the turns before.
+    """
+    right = np.searchsorted(found, wanted)
+    beside = np.stack([right - 1, right], 1)
+    wide = np.concatenate([[-np.inf], found, [np.inf]])
+    gap = np.abs(wide[beside + 1] - wanted[:, None])
+    order = np.argsort(gap, axis=1, kind="stable")  # of equal gaps the earlier time comes first
+    sides = np.where(np.take_along_axis(gap, order, 1) <= tolerance, np.take_along_axis(beside, order, 1), -1)
+    free, pairs = np.ones(len(found), bool), []
+    for k, sides_of in enumerate(sides.tolist()):
+        for j in sides_of:
+            if j >= 0 and free[j]:
+                free[j] = False
+                pairs.append((k, j))
+                break
+    return pairs
+
+
 def nearest_match(detected: DataFrame, reference: DataFrame, key: str, time: str, tolerance: float) -> DataFrame:
     """key, ref_time, det_time: greedy one-to-one matches in the order of the reference, each to the nearer free one of its two neighbours.
 
@@ -57,17 +82,9 @@ def nearest_match(detected: DataFrame, reference: DataFrame, key: str, time: str
     """
 
     def match(keys: tuple, det: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        d, r = sorted(det[time]), sorted(ref[time])
-        taken, found, right = [False] * len(d), [], 0
-        for t in r:
-            while right < len(d) and d[right] < t:
-                right += 1
-            free = [k for k in (right - 1, right) if 0 <= k < len(d) and not taken[k] and abs(d[k] - t) <= tolerance]
-            if free:
-                k = min(free, key=lambda k: abs(d[k] - t))
-                taken[k] = True
-                found.append((keys[0], t, d[k]))
-        return pd.DataFrame(found, columns=[key, "ref_time", "det_time"])
+        d, r = np.sort(det[time].to_numpy()), np.sort(ref[time].to_numpy())
+        pairs = matched_pairs(d, r, tolerance)
+        return pd.DataFrame({key: [keys[0]] * len(pairs), "ref_time": [r[i] for i, _ in pairs], "det_time": [d[j] for _, j in pairs]})
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     schema = f"{key} {kind(reference, key)}, ref_time {kind(reference, time)}, det_time {kind(detected, time)}"

@@ -6,32 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plethora.operators.cleaning import col
+from plethora.operators.order_stats import average_ranks, with_medians
+from plethora.sources.shared import stage
 
 
-def error_metrics(estimate: str | Column, reference: str | Column, least: int = 3) -> list[Column]:
-    """n, median and mean absolute error, median percentage error, Pearson's r, Bland-Altman bias and limits; NULL below `least` pairs."""
+def error_table(df: DataFrame, keys: list[str], estimate: str | Column, reference: str | Column, least: int = 3) -> DataFrame:
+    """keys, n, median and mean absolute error, median percentage error, Pearson's r, Bland-Altman bias and limits; NULL below `least` pairs."""
     e, r = col(estimate), col(reference)
-    both = e.isNotNull() & r.isNotNull()
-    d = F.when(both, e - r)
-    n = F.count_if(both)
-    found = {
-        "md_ae": F.median(F.abs(d)), "mae": F.avg(F.abs(d)), "md_pe": F.median(100 * F.abs(d) / F.when(both, r)),
-        "pearson": F.corr(F.when(both, e), F.when(both, r)), "bias": F.avg(d),
-        "loa_low": F.avg(d) - 1.96 * F.stddev_samp(d), "loa_high": F.avg(d) + 1.96 * F.stddev_samp(d)}
-    return [n.alias("n"), *[F.when(n >= least, c).alias(k) for k, c in found.items()]]
-
-
-def average_rank(value: str, *keys: str) -> Column:
-    """Rank from 1; ties share the mean of their ranks."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return F.rank().over(w) + (peers - 1) / 2.0
-
-
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumns({"_rx": average_rank(x, *keys), "_ry": average_rank(y, *keys)})
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("spearman"))
+    both = df.where(e.isNotNull() & r.isNotNull()).select(*keys, e.cast("double").alias("_e"), r.cast("double").alias("_r"))
+    d = F.col("_e") - F.col("_r")
+    means = both.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), F.corr("_e", "_r").alias("pearson"), F.avg(d).alias("bias"),
+        (F.avg(d) - 1.96 * F.stddev_samp(d)).alias("loa_low"), (F.avg(d) + 1.96 * F.stddev_samp(d)).alias("loa_high"))
+    out = with_medians(means, both, keys, {"md_ae": F.abs(d), "md_pe": 100 * F.try_divide(F.abs(d), F.col("_r"))})
+    return out.select(*keys, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("md_ae", "mae", "md_pe", "pearson", "bias", "loa_low", "loa_high")])
+
+
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, weight: str | None = None) -> DataFrame:
+    """keys, n, spearman over rows that have both; ranks are those of distinct values. weight: how many rows a row stands for."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = stage(known.groupBy(*keys, x, y).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_m")), "pairs")
+    for c, out in ((x, "_rx"), (y, "_ry")):
+        ranks = stage(average_ranks(both, keys, c, "_m").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(c).alias("_value"), F.col("rank").alias(out)), "ranks")
+        same = F.col(c) == F.col("_value")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        both = both.join(ranks, same).select(*both.columns, out)
+    n, m = F.sum("_m"), F.col("_m")
+    mean = lambda c: F.sum(m * c) / n
+    sx, sy = F.col("_rx"), F.col("_ry")
+    spread = F.sqrt(mean(sx * sx) - mean(sx) * mean(sx)) * F.sqrt(mean(sy * sy) - mean(sy) * mean(sy))
+    return both.groupBy(*keys).agg(n.alias("n"), F.try_divide(mean(sx * sy) - mean(sx) * mean(sy), spread).alias("spearman"))
 
 
 def confusion(df: DataFrame, keys: list[str], ref: str, shown: str) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plethora.operators.windows import spread_row_number
+from plethora.operators.joins import small
+from plethora.operators.order_stats import picked, quantiles, running
+from plethora.sources.shared import stage
 
 
 def coverage_grid(start: float, stop: float, step: float) -> list[float]:
@@ -16,19 +18,28 @@ def coverage_grid(start: float, stop: float, step: float) -> list[float]:
     return [round(start + k * step, 10) for k in range(n)]
 
 
-def ranked(df: DataFrame, keys: list[str], score: str, *ties: str, spread: bool = False) -> DataFrame:
-    """rn: place by score, highest first; n: rows of the group. spread: for groups of which one may hold most rows."""
-    if spread:
-        return spread_row_number(df, keys, [F.desc(score), *map(F.asc, ties)], "rn", "n")
-    w = Window.partitionBy(*keys)
-    return df.withColumns({"rn": F.row_number().over(w.orderBy(F.desc(score), *ties)), "n": F.count(F.lit(1)).over(w)})
+def ranked(df: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
+    """rn: place by score, highest first; n: rows of the group."""
+    return running(df, keys, [F.desc(score), *map(F.asc, ties)], "rn", total="n")
 
 
-def risk_coverage(df: DataFrame, keys: list[str], score: str, error: str, params: DataFrame, ties: list[str], total: Column | None = None, least: int = 5, spread: bool = False) -> DataFrame:
-    """Median error of the best k = rint(c * total) rows, at each coverage c of params; only where least <= k <= n. total: rows of the group if not given."""
-    d = ranked(df, keys, score, *ties, spread=spread).withColumn("total", F.col("n") if total is None else total)
-    d = d.crossJoin(params).withColumn("k", F.rint(F.col("c") * F.col("total")).cast("long")).where((F.col("k") >= least) & (F.col("k") <= F.col("n")) & (F.col("rn") <= F.col("k")))
-    return d.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("k"), F.median(error).alias("risk"))
+def risk_coverage(df: DataFrame, keys: list[str], score: str, error: str, grid: list[float], ties: list[str], total: Column | None = None, least: int = 5) -> DataFrame:
+    """c, k, risk: median error of the best k = rint(c * total) rows, at each coverage c of the ascending grid; only where least <= k <= n. total: rows of the group if not given.
+
+    Each row belongs to the first coverage that takes it in; medians of all prefixes come from one order of the errors.
+    """
+    d = ranked(df, keys, score, *ties).withColumn("_total", F.col("n") if total is None else total)
+    points = F.array(*map(F.lit, grid))
+    k = lambda c: F.rint(c * F.col("_total")).cast("long")
+    d = stage(d.select(*keys, F.col(error).alias("_e"), "n", "_total", F.size(F.filter(points, lambda c: k(c) < F.col("rn"))).alias("_first")), "first_points")
+    groups = d.groupBy(*keys).agg(F.max("n").alias("_n"), F.max("_total").alias("_total"))
+    groups = groups.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_n", "_total")
+    found = picked(d, keys, "_e", lambda n: {"risk": (n - 1) * 0.5}, bucket=F.col("_first"), points=len(grid))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    found = found.join(small(groups), same).withColumn("c", F.get(points, F.col("g"))).withColumn("k", k(F.col("c")))
+    return found.where((F.col("k") >= least) & (F.col("k") <= F.col("_n"))).select(*keys, "c", "k", "risk")
 
 
 def aurc(curve: DataFrame, keys: list[str], method: str, base: float | Column, oracle: str = "oracle") -> DataFrame:
@@ -40,12 +51,24 @@ def aurc(curve: DataFrame, keys: list[str], method: str, base: float | Column, o
     return area.withColumn("gap_closed", (base - F.col("aurc")) / (base - best))
 
 
-def threshold_for_share(df: DataFrame, keys: list[str], score: str, share: float) -> DataFrame:
-    """The score that keeps rint(share * rows) of ALL rows: infinite for none, minus infinite where too few have a score."""
-    d = df.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn("_k", F.rint(F.lit(share) * F.col("_all")))
-    has = d.withColumn("_rn", F.when(F.col(score).isNotNull(), F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score)))))
-    found = has.groupBy(*keys).agg(F.max("_all").alias("n"), F.max("_k").cast("long").alias("k"), F.max(F.when(F.col("_rn") == F.col("_k"), F.col(score))).alias("t"))
-    return found.select(*keys, "n", "k", F.when(F.col("k") <= 0, F.lit(float("inf"))).otherwise(F.coalesce("t", F.lit(float("-inf")))).alias("threshold"))
+def threshold_for_share(df: DataFrame, keys: list[str], score: str, share: float, weight: str | None = None) -> DataFrame:
+    """The score that keeps rint(share * rows) of ALL rows: infinite for none, minus infinite where too few have a score. weight: how many rows a row stands for."""
+    every = df.groupBy(*keys).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_all"), (F.sum(F.when(F.col(score).isNotNull(), F.col(weight) if weight else F.lit(1)))).alias("_known"))
+    every = stage(every.withColumn("k", F.rint(F.lit(share) * F.col("_all")).cast("long")), "shares")
+    # The k-th from the top is the (known - k)-th from below; k differs by group, so each group's position is looked up beside its rows.
+    marked = _beside(df, every, keys).withColumn("_score", F.col(score))
+    found = picked(marked, [*keys, "_all", "k"], "_score", lambda n: {"t": F.when((F.col("k") >= 1) & (F.col("k") <= n), n - F.col("k"))}, weight)
+    t = _beside(every, found.select(*keys, "t"), keys, "left")
+    return t.select(*keys, F.col("_all").alias("n"), "k", F.when(F.col("k") <= 0, F.lit(float("inf"))).otherwise(F.coalesce("t", F.lit(float("-inf")))).alias("threshold"))
+
+
+def _beside(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of a small table of a row per group."""
+    rest = [c for c in table.columns if c not in keys]
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return df.join(small(table.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *rest)), same, how).select(*df.columns, *rest)
 
 
 def split_at_half(df: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
@@ -55,12 +78,11 @@ def split_at_half(df: DataFrame, keys: list[str], score: str, *ties: str) -> Dat
 
 def conformal_quantile(df: DataFrame, keys: list[str], score: str, alpha: float) -> DataFrame:
     """The ceil((n + 1)(1 - alpha))-th smallest score, infinite where that exceeds n; fails on a group without scores."""
-    w = Window.partitionBy(*keys)
-    known = df.withColumns({"rn": F.when(F.col(score).isNotNull(), F.row_number().over(w.orderBy(F.asc_nulls_last(score)))), "n": F.count(score).over(w)})
-    k = F.ceil((F.col("n") + 1) * F.lit(1 - alpha))
-    n = F.max("n")
-    got = known.withColumn("k", k).groupBy(*keys).agg(n.alias("n"), F.max("k").alias("k"), F.max(F.when(F.col("rn") == F.col("k"), F.col(score))).alias("q"))
-    q = F.when(F.col("n") == 0, F.raise_error(F.lit("at least one score is needed")).cast("double")).when(F.col("k") > F.col("n"), F.lit(float("inf"))).otherwise(F.col("q"))
+    every = df.groupBy(*keys).agg(F.count(score).alias("n"))
+    k = lambda n: F.ceil((n + 1) * F.lit(1 - alpha))
+    found = picked(df, keys, score, lambda n: {"q": F.when(k(n) <= n, k(n) - 1)}).select(*keys, "q")
+    got = _beside(every, found, keys, "left")
+    q = F.when(F.col("n") == 0, F.raise_error(F.lit("at least one score is needed")).cast("double")).when(k(F.col("n")) > F.col("n"), F.lit(float("inf"))).otherwise(F.col("q"))
     return got.select(*keys, "n", q.alias("q"))
 
 
@@ -76,4 +98,5 @@ def conformal_rank_value(scores: list[float], alpha: float) -> float:
 
 def quiet_subset(df: DataFrame, keys: list[str], value: str, share: float = 0.2) -> DataFrame:
     """Rows up to the share's quantile of the value in their group."""
-    return df.withColumn("_q", F.percentile(value, share).over(Window.partitionBy(*keys))).where(F.col(value) <= F.col("_q")).drop("_q")
+    bound = quantiles(df, keys, value, {"_q": share}).drop("n")
+    return _beside(df, bound, keys).where(F.col(value) <= F.col("_q")).drop("_q")

@@ -1,15 +1,18 @@
 """Sequential kernels over recordings as grouped maps: sessions, stress scores, filters, per-window features, ECG beats.
 
-A recording is one group: its samples depend on each other in order. Recordings spread over tasks by key, and variants
-(gates, polarity) come from a small parameter table, so one shuffle serves all of them. For recordings too long for one
-task's memory the streaming twins carry the same state from batch to batch.
+A recording is one group: its samples depend on each other in order. Recordings are dealt to an explicit number of tasks by
+key, as kernels cost far more than their bytes and adaptive execution would merge a small shuffle into one task; ``dealt``
+says that a frame is dealt by its keys already, so that windows before the kernel share its one shuffle. All variants of a
+replay (gates, polarity) run in the group of their recording, which is filtered once per polarity. For recordings too long
+for one task's memory the streaming twins carry the same state from batch to batch.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plethora.functions import dsp, pulse, stress
@@ -41,14 +44,49 @@ def _settings(pdf: pd.DataFrame, fs: float | None) -> tuple[np.ndarray, pulse.Se
     return x, pulse.Settings(fs=float(first["fs"]) if fs is None else fs, gate=None if gate is None or pd.isna(gate) else float(gate), systolic=bool(first.get("systolic", False)))
 
 
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by the keys to as many tasks as shuffles have, or the cluster has cores."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def _groups(rows: DataFrame, keys: list[str], dealt: bool):
+    return (rows if dealt else deal(rows, *keys)).groupBy(*keys)
+
+
 def _grouped(samples: DataFrame, keys: list[str], order: str, value: str, extra: list[str]) -> DataFrame:
     return samples.select(*keys, F.col(order).alias("_o"), F.col(value).alias("x"), *[c for c in extra if c in samples.columns and c not in keys])
 
 
+def variant_ticks(samples: DataFrame, keys: list[str], order: list[str], value: str, fs: float, names: list[str] | None = None, dealt: bool = False) -> DataFrame:
+    """1 Hz ticks of each recording under each variant: keys, variant, sample, ... One shuffle, and one group per recording."""
+    chosen = {n: VARIANTS[n] for n in names or VARIANTS}
+    fields = [c.split()[0] for c in TICKS.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy()
+        x = column("x").astype(float)[np.lexsort([column(f"_o{k}") for k in reversed(range(len(order)))])]
+        signals = {flip: 2 * np.median(x) - x if flip else x for flip in {v[2] for v in chosen.values()}}
+        passed = {flip: pulse.band_passed(y, pulse.Settings(fs=fs), [0.0] * 4) for flip, y in signals.items()}
+        ticks, variant = [], []
+        for name, (gate, systolic, flip) in chosen.items():
+            found = pulse.replay(signals[flip], pulse.Settings(fs=fs, gate=gate, systolic=systolic), passed=passed[flip])["ticks"]
+            ticks += found
+            variant += [name] * len(found)
+        own = {k: pa.array([v.as_py()] * len(ticks), v.type) for k, v in zip(keys, key)}
+        made = {c: pa.array([t[c] for t in ticks], kinds[k]) for c, k in (c.split() for c in TICKS.split(", "))}
+        return pa.table({**own, "variant": pa.array(variant, pa.string()), **made})
+
+    rows = samples.select(*keys, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.col(value).cast("double").alias("x"))
+    schema = ", ".join(f"{k} {_kind(samples, k)}" for k in keys) + ", variant string, " + TICKS
+    return _groups(rows, keys, dealt).applyInArrow(run, schema).select(*keys, "variant", *fields)
+
+
 _OPTIONS = ["fs", "gate", "systolic", "inverted"]
 
 
-def session_ticks(samples: DataFrame, keys: list[str], order: str, value: str, fs: float | None = None) -> DataFrame:
+def session_ticks(samples: DataFrame, keys: list[str], order: str, value: str, fs: float | None = None, dealt: bool = False) -> DataFrame:
     """1 Hz ticks of each session. fs: the rate, or a column of that name. gate, systolic and inverted are read where such columns exist (no gate: 0.4)."""
     has_gate = "gate" in samples.columns
 
@@ -59,10 +97,10 @@ def session_ticks(samples: DataFrame, keys: list[str], order: str, value: str, f
         return pd.concat([pd.DataFrame([key] * len(found), columns=keys), found], axis=1)
 
     schema = ", ".join(f"{k} {_kind(samples, k)}" for k in keys) + ", " + TICKS
-    return _grouped(samples, keys, order, value, _OPTIONS).groupBy(*keys).applyInPandas(run, schema)
+    return _groups(_grouped(samples, keys, order, value, _OPTIONS), keys, dealt).applyInPandas(run, schema)
 
 
-def session_beats(samples: DataFrame, keys: list[str], order: str, value: str, fs: float | None = None) -> DataFrame:
+def session_beats(samples: DataFrame, keys: list[str], order: str, value: str, fs: float | None = None, dealt: bool = False) -> DataFrame:
     """Every interval that a peak closed: packet, dt_ms, accepted, sqi (what the gate saw)."""
     has_gate = "gate" in samples.columns
 
@@ -73,10 +111,10 @@ def session_beats(samples: DataFrame, keys: list[str], order: str, value: str, f
         return pd.concat([pd.DataFrame([key] * len(found), columns=keys), found], axis=1)
 
     schema = ", ".join(f"{k} {_kind(samples, k)}" for k in keys) + ", " + BEATS
-    return _grouped(samples, keys, order, value, _OPTIONS).groupBy(*keys).applyInPandas(run, schema)
+    return _groups(_grouped(samples, keys, order, value, _OPTIONS), keys, dealt).applyInPandas(run, schema)
 
 
-def band_passed(samples: DataFrame, keys: list[str], order: str, value: str, fs: float, low: float = 0.5, high: float = 3.5) -> DataFrame:
+def band_passed(samples: DataFrame, keys: list[str], order: str, value: str, fs: float, low: float = 0.5, high: float = 3.5, dealt: bool = False) -> DataFrame:
     """Causal band pass: high pass, then low pass."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -86,10 +124,10 @@ def band_passed(samples: DataFrame, keys: list[str], order: str, value: str, fs:
         return out.assign(**{order: pdf["_o"].to_numpy(), "filtered": y})
 
     schema = ", ".join(f"{k} {_kind(samples, k)}" for k in keys) + f", {order} {_kind(samples, order)}, filtered double"
-    return _grouped(samples, keys, order, value, []).groupBy(*keys).applyInPandas(run, schema)
+    return _groups(_grouped(samples, keys, order, value, []), keys, dealt).applyInPandas(run, schema)
 
 
-def stress_scores(ticks: DataFrame, keys: list[str], order: str, hr: str, hrv: str, gate: str) -> DataFrame:
+def stress_scores(ticks: DataFrame, keys: list[str], order: str, hr: str, hrv: str, gate: str, dealt: bool = False) -> DataFrame:
     """score and level of each tick; a session starts with its baseline."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,10 +139,10 @@ def stress_scores(ticks: DataFrame, keys: list[str], order: str, hr: str, hrv: s
 
     rows = ticks.select(*keys, F.col(order).alias("_o"), F.col(hr).alias("hr"), F.col(hrv).alias("hrv"), F.col(gate).alias("gate"))
     schema = ", ".join(f"{k} {_kind(ticks, k)}" for k in keys) + f", {order} {_kind(ticks, order)}, score int, level int"
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return _groups(rows, keys, dealt).applyInPandas(run, schema)
 
 
-def ecg_beats(samples: DataFrame, keys: list[str], order: str, value: str, fs: float) -> DataFrame:
+def ecg_beats(samples: DataFrame, keys: list[str], order: str, value: str, fs: float, dealt: bool = False) -> DataFrame:
     """R-peak times in seconds."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,10 +150,10 @@ def ecg_beats(samples: DataFrame, keys: list[str], order: str, value: str, fs: f
         return pd.DataFrame([key] * len(t), columns=keys).assign(t=t)
 
     schema = ", ".join(f"{k} {_kind(samples, k)}" for k in keys) + ", t double"
-    return _grouped(samples, keys, order, value, []).groupBy(*keys).applyInPandas(run, schema)
+    return _groups(_grouped(samples, keys, order, value, []), keys, dealt).applyInPandas(run, schema)
 
 
-def resampled(samples: DataFrame, keys: list[str], order: str, value: str, up: int, down: int) -> DataFrame:
+def resampled(samples: DataFrame, keys: list[str], order: str, value: str, up: int, down: int, dealt: bool = False) -> DataFrame:
     """i, x at up / down times the rate (up 1: decimation)."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,7 +162,7 @@ def resampled(samples: DataFrame, keys: list[str], order: str, value: str, up: i
         return pd.DataFrame([key] * len(y), columns=keys).assign(i=np.arange(len(y)), x=y)
 
     schema = ", ".join(f"{k} {_kind(samples, k)}" for k in keys) + ", i long, x double"
-    return _grouped(samples, keys, order, value, []).groupBy(*keys).applyInPandas(run, schema)
+    return _groups(_grouped(samples, keys, order, value, []), keys, dealt).applyInPandas(run, schema)
 
 
 def average_waveform(samples: DataFrame, beats: DataFrame, key: str, fs: float, before_s: float = 0.25, after_s: float = 0.45) -> DataFrame:
@@ -136,6 +174,16 @@ def average_waveform(samples: DataFrame, beats: DataFrame, key: str, fs: float,
     return near.groupBy(key, "at").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+def waveform_shape(average: DataFrame, key: str, fs: float, mean: str = "mean") -> DataFrame:
+    """Of an average waveform (key, at, mean): where its largest and smallest value lie after the beat (ms), and its steepest rise over its steepest fall."""
+    step = F.col(mean) - F.lag(mean).over(Window.partitionBy(key).orderBy("at"))
+    ms = lambda c: c / fs * 1000
+    return average.withColumn("_d", step).groupBy(key).agg(
+        ms(F.max_by("at", F.struct(mean, -F.col("at")))).alias("max_after_ms"), ms(F.min_by("at", F.struct(mean, "at"))).alias("min_after_ms"),
+        F.try_divide(F.max("_d"), F.abs(F.min("_d"))).alias("rise_over_fall"))
+
+
+# Names of the feature catalogue.
 FEATURES = (
     "sqi_full", "sqi_amp", "sqi_per", "mod_index", "penalty_frac", "n_peaks", "n_accepted", "reject_frac", "miss_frac_est", "hr_ppg", "rr_cv", "rr_diff_mad_rel",
     "rr_diff_max_rel", "ppg_rmssd", "tmpl_corr_mean", "tmpl_corr_p10", "tmpl_frac_lt08", "skewness", "kurtosis", "spec_purity", "spec_hr_mismatch", "acc_sd", "acc_p2p", "acc_hf_power")
@@ -204,7 +252,7 @@ def recording_features(x: np.ndarray, acc: np.ndarray | None, fs: float, origin:
     return rows
 
 
-def window_features(samples: DataFrame, keys: list[str], order: str, value: str, acc: str | None, fs: float, origin: float = 10.0, window: float = 60.0) -> DataFrame:
+def window_features(samples: DataFrame, keys: list[str], order: str, value: str, acc: str | None, fs: float, origin: float = 10.0, window: float = 60.0, dealt: bool = False) -> DataFrame:
     """One row of the 24 features per recording and window."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -214,4 +262,4 @@ def window_features(samples: DataFrame, keys: list[str], order: str, value: str,
 
     rows = samples.select(*keys, F.col(order).alias("_o"), F.col(value).alias("x"), *([F.col(acc).alias("acc")] if acc else []))
     schema = ", ".join(f"{k} {_kind(samples, k)}" for k in keys) + ", t0 double, " + ", ".join(f"{c} double" for c in FEATURES)
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return _groups(rows, keys, dealt).applyInPandas(run, schema)

@@ -51,25 +51,7 @@ def at_window_end(df: DataFrame, keys: list[str], order: str, *values: str) -> D
 
 
 def spread_row_number(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn", total: str | None = None) -> DataFrame:
-    """Row numbers in each group of keys where one group may hold most rows; total: also the rows of the group.
-
-    A plain window would bring a group to one task. Here rows are dealt by ranges of the order, numbered in their range, and
-    raised by the counts of the ranges before; those counts (a row per range and key) are all that meets in one place. The
-    ranges are written to the shared folder first, for they would not come out equal if they were made twice.
-    """
-    from plethora.operators.joins import small
-    from plethora.sources.shared import fresh_path
-
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, "ranges")
-    df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    d = spark.read.parquet(path)
-    counts = d.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_part", *[F.col(k).alias(f"_k_{k}") for k in keys], before.alias("_before"), F.sum("_n").over(group).alias("_total"))
-    local = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
-    d = d.withColumn("_local", local).withColumnRenamed("_part", "_range")
-    on = F.col("_range") == F.col("_part")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return d.join(small(counts), on).select(*df.columns, (F.col("_before") + F.col("_local")).alias(out), *([F.col("_total").alias(total)] if total else []))
+    """Row numbers in each group of keys where one group may hold most rows; total: also the rows of the group."""
+    from plethora.operators.order_stats import running
+
+    return running(df, keys, order, out, total=total)

@@ -19,7 +19,8 @@ _HP, _LP = butterworth2(100.0, 0.5, "high"), butterworth2(100.0, 3.5, "low")
 
 
 def _samples(spark, sf):
-    return packet_index(events(spark, sf), "rec", "us", "event_id")
+    """Events dealt by recording, for the packet's number and for the kernels after it."""
+    return packet_index(re.deal(events(spark, sf), "rec"), "rec", "us", "event_id")
 
 
 def _df2t(x: str, s, p: str, q: str) -> tuple[str, str, str]:
@@ -50,14 +51,13 @@ def biquad_filter(spark, sf):
 
 @query("SIG4")
 def band_pass_grouped(spark, sf):
-    return re.band_passed(_samples(spark, sf), ["rec"], "i", "value", 100.0).select("rec", "i", r6("filtered", "filtered"))
+    return re.band_passed(_samples(spark, sf), ["rec"], "i", "value", 100.0, dealt=True).select("rec", "i", r6("filtered", "filtered"))
 
 
 @query("SIG7 SIG12 JN11 STR5")
 def session_replay_kernel(spark, sf):
     """Each user's values as an optical signal at 4 Hz, under every variant."""
-    d = re.with_variants(_samples(spark, sf).select("rec", "i", F.col("value").alias("ir"), F.lit(4.0).alias("fs")))
-    t = re.session_ticks(d, ["rec", "variant"], "i", "ir")
+    t = re.variant_ticks(events(spark, sf), ["rec"], ["us", "event_id"], "value", 4.0)
     return t.select("rec", "variant", "sample", r6("sqi", "sqi"), r6("rmssd", "rmssd"), r6("hr", "hr"), "n_intervals", "reject")
 
 
@@ -75,12 +75,12 @@ def _ticks(spark, sf):
 
 @query("STR3 STR4 STR6 DM13 DM14")
 def ema_hysteresis_stress(spark, sf):
-    return re.stress_scores(_ticks(spark, sf), ["rec"], "i", "hr", "hrv", "gate")
+    return re.stress_scores(_ticks(spark, sf), ["rec"], "i", "hr", "hrv", "gate", dealt=True)
 
 
 @query("SIG13 SIG14 SIG15")
 def resampled_signal(spark, sf):
-    return re.resampled(_samples(spark, sf), ["rec"], "i", "value", 25, 32).select("rec", "i", r6("x", "x"))
+    return re.resampled(_samples(spark, sf), ["rec"], "i", "value", 25, 32, dealt=True).select("rec", "i", r6("x", "x"))
 
 
 @query("F1-F24 DM10 SIG17 SIG18")

@@ -9,9 +9,11 @@ from plethora.operators import cleaning as cl
 from plethora.operators import gates as ga
 from plethora.operators import joins as jo
 from plethora.operators import metrics as me
+from plethora.operators import order_stats as os
 from plethora.operators import ranking as ra
 from plethora.operators import resampling as rs
 from plethora.plans.registry import EV, events, query, r6, read
+from plethora.sources.shared import stage
 
 
 @query("JN3 EVL7", f"""WITH {EV}, p AS (SELECT rec, us FROM ev WHERE activity = 'purchase'), c AS (SELECT rec, event_id, us FROM ev WHERE activity = 'click')
@@ -116,7 +118,7 @@ def _estimates(spark, sf):
 
 
 def _errors(d, *keys):
-    return d.groupBy(*keys).agg(*me.error_metrics("est", "ref"))
+    return me.error_table(d, list(keys), "est", "ref")
 
 
 _BUNDLE = """count(*) AS n, CASE WHEN count(*) >= 3 THEN round(median(abs(est - ref)), 6) END AS md_ae, CASE WHEN count(*) >= 3 THEN round(avg(abs(est - ref)), 6) END AS mae, CASE WHEN count(*) >= 3 THEN round(median(100 * abs(est - ref) / ref), 6) END AS md_pe,
@@ -204,9 +206,9 @@ def template_corr(spark, sf):
 SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd_pop, round(stddev_samp(l_quantity), 6) AS sd, round(sum(pow(l_quantity - mu, 3)) / count(*) / pow(stddev_pop(l_quantity), 3), 6) AS skew, round(kurtosis_pop(l_quantity), 6) AS kurt,
 round(max(l_quantity) - min(l_quantity), 6) AS p2p, round(quantile_cont(l_quantity, 0.99) - quantile_cont(l_quantity, 0.01), 6) AS p99_p1 FROM lineitem JOIN m ON l_returnflag = f GROUP BY 1""")
 def waveform_moments(spark, sf):
-    q = "l_quantity"
-    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        r6(F.avg(q), "mean"), r6(F.stddev_pop(q), "sd_pop"), r6(F.stddev_samp(q), "sd"), r6(F.skewness(q), "skew"), r6(F.kurtosis(q), "kurt"), r6(F.max(q) - F.min(q), "p2p"), r6(F.percentile(q, 0.99) - F.percentile(q, 0.01), "p99_p1"))
+    q, d = "l_quantity", read(spark, sf, "lineitem").select("l_returnflag", "l_quantity")
+    m = d.groupBy("l_returnflag").agg(r6(F.avg(q), "mean"), r6(F.stddev_pop(q), "sd_pop"), r6(F.stddev_samp(q), "sd"), r6(F.skewness(q), "skew"), r6(F.kurtosis(q), "kurt"), r6(F.max(q) - F.min(q), "p2p"))
+    return os.with_quantiles(m, d, ["l_returnflag"], q, {"p99": 0.99, "p1": 0.01}).withColumn("p99_p1", r6(F.col("p99") - F.col("p1"))).drop("p99", "p1")
 
 
 @query("AGG13 AGG14 AGG15", """SELECT coalesce(event_type, 'all') AS event_type, coalesce(cohort, 'all') AS cohort, grouping(event_type) * 2 + grouping(cohort) AS level, count(*) AS n, count(DISTINCT user_id) AS users, round(median(value), 6) AS med FROM (SELECT *, (user_id % 5)::VARCHAR AS cohort FROM events)
@@ -214,8 +216,14 @@ GROUP BY GROUPING SETS ((event_type, cohort), (event_type), ())""")
 def grouping_sets_summary(spark, sf):
     d = events(spark, sf).withColumn("cohort", (F.col("rec") % 5).cast("string"))
     a, b = F.col("activity"), F.col("cohort")
-    g = d.groupingSets([[a, b], [a], []], a, b)
-    return g.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.count_distinct("rec").alias("users"), r6(F.median("value"), "med")).select(F.coalesce("activity", F.lit("all")).alias("event_type"), F.coalesce("cohort", F.lit("all")).alias("cohort"), "level", "n", "users", "med")
+    g = d.groupingSets([[a, b], [a], []], a, b).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.count_distinct("rec").alias("users"))
+    # Medians don't add up from the finer sets: a value is counted once in each set that it belongs to.
+    level = lambda n, x, y: F.struct(F.lit(n).cast("long").alias("level"), x.alias("activity"), y.alias("cohort"))
+    none = F.lit(None).cast("string")
+    values = d.groupBy("activity", "cohort", "value").agg(F.count(F.lit(1)).alias("m"))
+    sets = values.select("value", "m", F.explode(F.array(level(0, a, b), level(1, a, none), level(3, none, none))).alias("s")).select("value", "m", "s.*")
+    g = os.with_quantiles(g.withColumn("level", F.col("level").cast("long")), sets, ["level", "activity", "cohort"], "value", {"med": 0.5}, "m")
+    return g.select(F.coalesce("activity", F.lit("all")).alias("event_type"), F.coalesce("cohort", F.lit("all")).alias("cohort"), "level", "n", "users", r6("med", "med"))
 
 
 @query("AGG17 SET4", "SELECT sum(c)::BIGINT AS total, count(*) AS n FROM (SELECT o_custkey, min(o_orderkey) AS first, arg_min(o_shippriority, o_orderkey) AS c FROM (SELECT *, 1 AS o_shippriority FROM orders) GROUP BY 1)".replace("arg_min(o_shippriority, o_orderkey)", "any_value(o_shippriority)"))
@@ -244,7 +252,7 @@ def _methods(spark, sf):
 
 
 def _curve(spark, sf):
-    return ra.risk_coverage(_methods(spark, sf), ["method"], "score", "ae", jo.values(spark, [(c,) for c in _GRID], "c double"), ["o_orderkey"], spread=True)
+    return ra.risk_coverage(_methods(spark, sf), ["method"], "score", "ae", _GRID, ["o_orderkey"])
 
 
 @query("TOP1 WIN10", f"WITH {_CURVE} SELECT method, c, k, round(risk, 6) AS risk FROM v")
@@ -262,7 +270,7 @@ g AS (SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in ra.coverage_grid(0.05, 1
 def risk_coverage_seeded_ties(spark, sf):
     """Coarse scores; ties break by a seeded hash."""
     d = _estimates(spark, sf).where("est IS NOT NULL").select(F.lit(0).alias("one"), "o_orderkey", F.abs(F.col("est") - F.col("ref")).alias("ae"), F.rint(F.coalesce("q", F.lit(-1.0)) * 10).alias("score"), F.md5(F.concat(F.lit("tie"), F.col("o_orderkey").cast("string"))).alias("tie"))
-    c = ra.risk_coverage(d, ["one"], "score", "ae", jo.values(spark, [(c,) for c in ra.coverage_grid(0.05, 1.0, 0.05)], "c double"), ["tie", "o_orderkey"], least=20)
+    c = ra.risk_coverage(d, ["one"], "score", "ae", ra.coverage_grid(0.05, 1.0, 0.05), ["tie", "o_orderkey"], least=20)
     return c.select("c", "k", r6("risk", "risk"))
 
 
@@ -278,18 +286,23 @@ def threshold_keep_share(spark, sf):
 SELECT r.o_orderpriority, any_value(k) AS k, round(median(ae) FILTER (rn <= k), 6) AS matched, round(median(ae) FILTER (best <= k), 6) AS oracle FROM r JOIN k ON r.o_orderpriority = k.o_orderpriority GROUP BY 1""")
 def matched_coverage(spark, sf):
     """As many rows as the gate keeps: those of the least price, and the best possible ones."""
-    d = _estimates(spark, sf).where("est IS NOT NULL").withColumn("ae", F.abs(F.col("est") - F.col("ref")))
-    w = Window.partitionBy("o_orderpriority")
-    d = d.withColumns({"k": F.count_if(cl.kept("est", "q", 0.6)).over(w), "rn": F.row_number().over(w.orderBy("ref", "o_orderkey")), "best": F.row_number().over(w.orderBy("ae", "o_orderkey"))})
-    pick = lambda c: F.median(F.when(F.col(c) <= F.col("k"), F.col("ae")))
-    return d.groupBy("o_orderpriority").agg(F.max("k").alias("k"), r6(pick("rn"), "matched"), r6(pick("best"), "oracle"))
+    d = _estimates(spark, sf).where("est IS NOT NULL").select("o_orderkey", "o_orderpriority", F.abs(F.col("est") - F.col("ref")).alias("ae"), "est", "ref", "q")
+    k = d.groupBy("o_orderpriority").agg(F.count_if(cl.kept("est", "q", 0.6)).alias("k"))
+    for rank, order, out in (("_rn", "ref", "matched"), ("_best", "ae", "oracle")):
+        placed = os.running(d.select("o_orderkey", "o_orderpriority", "ae", "ref"), ["o_orderpriority"], [F.asc(order), F.asc("o_orderkey")], rank)
+        inside = placed.join(jo.small(k.select("o_orderpriority", "k")), "o_orderpriority").where(F.col(rank) <= F.col("k"))
+        k = os.with_quantiles(k, inside, ["o_orderpriority"], "ae", {out: 0.5})
+    return k.select("o_orderpriority", "k", r6("matched", "matched"), r6("oracle", "oracle"))
 
 
 @query("TOP7 SET2", f"""WITH {_EST}, r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY q DESC, o_orderkey) <= round_even(0.5 * count(*) OVER (PARTITION BY o_orderpriority), 0) AS kept FROM e WHERE est IS NOT NULL AND q IS NOT NULL)
 SELECT o_orderpriority, kept, count(*) AS n, round(median(ref), 6) AS ref, round(median(abs(est - ref)), 6) AS ae FROM r GROUP BY 1, 2""")
 def kept_vs_dropped(spark, sf):
     d = ra.split_at_half(_estimates(spark, sf).where("est IS NOT NULL AND q IS NOT NULL"), ["o_orderpriority"], "q", "o_orderkey")
-    return d.groupBy("o_orderpriority", "kept").agg(F.count(F.lit(1)).alias("n"), r6(F.median("ref"), "ref"), r6(F.median(F.abs(F.col("est") - F.col("ref"))), "ae"))
+    keys = ["o_orderpriority", "kept"]
+    d = stage(d.select(*keys, "ref", F.abs(F.col("est") - F.col("ref")).alias("ae")), "halves")
+    g = os.with_medians(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), d, keys, {"med_ref": F.col("ref"), "med_ae": F.col("ae")})
+    return g.select(*keys, "n", r6("med_ref", "ref"), r6("med_ae", "ae"))
 
 
 _CONF = f"""{_EST}, s AS (SELECT o_orderpriority, o_custkey % 2 = 0 AS calib, abs(est - ref) / (1 + q) AS sc, est, ref, q FROM e WHERE est IS NOT NULL AND q IS NOT NULL), n AS (SELECT o_orderpriority, count(*) AS n, ceil((count(*) + 1) * 0.9::DOUBLE) AS k FROM s WHERE calib GROUP BY 1),
@@ -314,7 +327,8 @@ def selective_width(spark, sf):
     t = jo.small(ra.conformal_quantile(d.where("calib"), ["o_orderpriority"], "sc", 0.1).select("o_orderpriority", F.col("q").alias("cq")))
     d = d.where("NOT calib").join(t, "o_orderpriority").withColumns({"half": F.col("cq") * (1 + F.col("q")), "ae": F.abs(F.col("est") - F.col("ref"))})
     narrow = 2 * F.col("half") <= 150000
-    return d.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("ae") <= F.col("half")).cast("double")), "coverage"), r6(F.median(2 * F.col("half")), "width"), F.count_if(narrow).alias("narrow"), r6(F.avg(F.when(narrow, F.col("ae"))), "narrow_mae"))
+    g = d.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("ae") <= F.col("half")).cast("double")), "coverage"), F.count_if(narrow).alias("narrow"), r6(F.avg(F.when(narrow, F.col("ae"))), "narrow_mae"))
+    return os.with_quantiles(g, d, ["o_orderpriority"], 2 * F.col("half"), {"width": 0.5}).withColumn("width", r6("width"))
 
 
 @query("TOP10 EVL9", """WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.2) AS q FROM lineitem GROUP BY 1) SELECT l.l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem l JOIN q ON l.l_returnflag = q.l_returnflag WHERE l_extendedprice <= q GROUP BY 1""")
@@ -378,12 +392,16 @@ def bootstrap_kappa(spark, sf):
 r AS (SELECT rep, q, row_number() OVER (PARTITION BY rep ORDER BY q DESC NULLS LAST) AS rn FROM x WHERE calib), t AS (SELECT n.rep, r.q AS thr FROM n JOIN r ON n.rep = r.rep AND rn = k)
 SELECT x.rep, round(thr, 6) AS threshold, round(count(*) FILTER (q >= thr) / count(*), 6) AS coverage, round(median(ae) FILTER (q >= thr), 6) AS md_ae FROM x JOIN t ON x.rep = t.rep WHERE NOT calib GROUP BY x.rep, thr""")
 def half_split_calibration(spark, sf):
-    """A threshold from half the cohorts, applied to the others."""
-    d = _cohort(spark, sf).join(rs.half_splits(spark, _NATIONS, _SPLITS, "subj"), "subj")
-    t = jo.small(ra.threshold_for_share(d.where("calib"), ["rep"], "q", 0.5).select("rep", "threshold"))
+    """A threshold from half the cohorts, applied to the others: values are counted per cohort once, so a split joins counts."""
+    d = _cohort(spark, sf)
+    splits = rs.half_splits(spark, _NATIONS, _SPLITS, "subj")
+    quality = d.groupBy("subj", "q").agg(F.count(F.lit(1)).alias("m")).join(splits, "subj").where("calib").groupBy("rep", "q").agg(F.sum("m").alias("m"))
+    t = jo.small(ra.threshold_for_share(quality, ["rep"], "q", 0.5, "m").select("rep", "threshold"))
+    held = d.groupBy("subj", "q", "ae").agg(F.count(F.lit(1)).alias("m")).join(splits, "subj").where("NOT calib").join(t, "rep")
     shown = cl.gate("q", "threshold")
-    g = d.where("NOT calib").join(t, "rep").groupBy("rep", "threshold").agg(F.count_if(shown).alias("s"), F.count(F.lit(1)).alias("n"), F.median(F.when(shown, F.col("ae"))).alias("m"))
-    return g.select("rep", r6("threshold", "threshold"), r6(F.col("s") / F.col("n"), "coverage"), r6("m", "md_ae"))
+    g = held.groupBy("rep", "threshold").agg(F.sum(F.when(shown, F.col("m")).otherwise(0)).alias("s"), F.sum("m").alias("n"))
+    g = os.with_quantiles(g, held.where(shown), ["rep"], "ae", {"md": 0.5}, "m")
+    return g.select("rep", r6("threshold", "threshold"), r6(F.col("s") / F.col("n"), "coverage"), r6("md", "md_ae"))
 
 
 @query("SMP6 JN8 TOP4", f"""WITH {_COHORT}, t AS (SELECT f.subj AS fold, quantile_disc(s.q, 0.5) AS thr FROM (SELECT DISTINCT subj FROM s) f JOIN s ON s.subj <> f.subj WHERE s.q IS NOT NULL GROUP BY f.subj)
@@ -403,15 +421,15 @@ def lopo_calibration(spark, sf):
 @query("SMP4 AGG9 EVL5", f"""WITH {_COHORT}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), x AS (SELECT rep, s.ae, s.q FROM s JOIN d ON s.subj = d.subj, range(mult) WHERE q IS NOT NULL), r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY ae) + (count(*) OVER (PARTITION BY rep, ae) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rep ORDER BY q) + (count(*) OVER (PARTITION BY rep, q) - 1) / 2.0 AS b FROM x)
 SELECT rep, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY rep""")
 def tracking_bootstrap(spark, sf):
-    """Ranks change with each replicate, so rows are repeated here."""
-    d = jo.replicate(_cohort(spark, sf), rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("mult"))))
-    return me.spearman(d, ["rep"], "ae", "q").withColumn("spearman", r6("spearman"))
+    """Ranks change with each replicate; a row counts as often as its cohort was drawn."""
+    d = jo.replicate(_cohort(spark, sf), rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj")
+    return me.spearman(d, ["rep"], "ae", "q", "mult").withColumn("spearman", r6("spearman"))
 
 
 @query("EVL3 TOP1", f"""WITH {_CURVE.replace("PARTITION BY method", "PARTITION BY method, o_orderpriority").replace("v AS (SELECT method, c,", "v AS (SELECT method, o_orderpriority, c,").replace("GROUP BY method, c)", "GROUP BY method, o_orderpriority, c)")}, a AS (SELECT method, o_orderpriority, avg(risk) AS aurc FROM v GROUP BY 1, 2)
 SELECT method, count(*) AS groups, round(median(aurc), 6) AS median_aurc, round(min(aurc), 6) AS least_aurc FROM a GROUP BY method""")
 def within_group_robustness(spark, sf):
-    c = ra.risk_coverage(_methods(spark, sf), ["method", "o_orderpriority"], "score", "ae", jo.values(spark, [(c,) for c in _GRID], "c double"), ["o_orderkey"])
+    c = ra.risk_coverage(_methods(spark, sf), ["method", "o_orderpriority"], "score", "ae", _GRID, ["o_orderkey"])
     a = ra.aurc(c, ["o_orderpriority"], "method", 0.0)
     return a.groupBy("method").agg(F.count(F.lit(1)).alias("groups"), r6(F.median("aurc"), "median_aurc"), r6(F.min("aurc"), "least_aurc"))
 

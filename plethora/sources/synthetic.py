@@ -20,24 +20,40 @@ def intervals(n: int, mean_ms: float, sd_ms: float, random: np.random.Generator,
     return np.array(found)
 
 
+# Waves after a beat (height, delay s, width s) of the light, and of an ECG.
+LIGHT = ((1.0, 0.12, 0.06), (0.35, 0.36, 0.08))
+ECG = ((1.0, 0.0, 0.012), (-0.2, 0.03, 0.012), (0.15, 0.25, 0.05))
+
+
+def waves(since: np.ndarray, shapes: tuple) -> np.ndarray:
+    """The sum of bell curves at these times since a beat."""
+    total = 0.0
+    for height, delay, width in shapes:
+        total = total + height * np.exp(-0.5 * ((since - delay) / width) ** 2)
+    return total
+
+
 def pulse(rr_ms: np.ndarray, fs: float, dc: float, modulation: float, noise: float, random: np.random.Generator, seconds: float) -> tuple[np.ndarray, np.ndarray]:
     """Raw light that drops with each pulse (a systolic and a diastolic wave), and the times of the beats in it."""
     beats = np.cumsum(rr_ms) / 1000.0
     t = np.arange(int(seconds * fs)) / fs
     since = t[:, None] - beats[None, :]
-    wave = (np.exp(-0.5 * ((since - 0.12) / 0.06) ** 2) + 0.35 * np.exp(-0.5 * ((since - 0.36) / 0.08) ** 2)).sum(1)
+    wave = waves(since, LIGHT).sum(1)
     return dc * (1.0 - modulation * wave) + random.normal(0, noise * dc * modulation, t.size), beats[beats < seconds]
 
 
+# A motion's swing (share, Hz) and drift (share).
+SWING, DRIFT = (0.6, 2.1), 0.4
+
+
 def with_motion(raw: np.ndarray, fs: float, spans: list[tuple[float, float]], size: float, random: np.random.Generator) -> np.ndarray:
-    out, level = raw.copy(), float(np.median(raw))
-    for begin, end in spans:
-        part = slice(int(begin * fs), int(end * fs))
-        n = part.stop - part.start
-        drift = np.cumsum(random.normal(0, 1, n))
-        swing = 0.6 * np.sin(2 * np.pi * 2.1 * np.arange(n) / fs) + 0.4 * drift / (np.abs(drift).max() + 1e-12)
-        out[part] += size * level * swing
-    return out
+    """raw with a swing and a random walk added in each span (s), scaled to a share of the median light."""
+    moved = np.zeros(len(raw))
+    for first, last in (map(int, np.multiply(span, fs)) for span in spans):
+        walk = random.normal(0, 1, last - first).cumsum()
+        phase = 2 * np.pi * SWING[1] * np.arange(last - first) / fs
+        moved[first:last] = SWING[0] * np.sin(phase) + DRIFT * walk / (np.abs(walk).max() + 1e-12)
+    return raw + size * float(np.median(raw)) * moved
 
 
 # Name, rate, mean and spread of intervals, light level, modulation, seed offset.
@@ -69,8 +85,7 @@ def ecg(rr_s: np.ndarray, fs: float, random: np.random.Generator, noise: float =
     beats = np.cumsum(rr_s)
     t = np.arange(int((beats[-1] + 1) * fs)) / fs
     since = t[:, None] - beats[None, :]
-    x = np.exp(-0.5 * (since / 0.012) ** 2) - 0.2 * np.exp(-0.5 * ((since - 0.03) / 0.012) ** 2) + 0.15 * np.exp(-0.5 * ((since - 0.25) / 0.05) ** 2)
-    return x.sum(1) + random.normal(0, noise, t.size), beats
+    return waves(since, ECG).sum(1) + random.normal(0, noise, t.size), beats
 
 
 def samples(spark: SparkSession, seed: int = SEED) -> DataFrame:
