@@ -49,15 +49,15 @@ def running(df: DataFrame, keys: list[str], order: list[Column], out: str, weigh
 def picked(df: DataFrame, keys: list[str], value: str | Column, at: Callable[[Column], dict[str, Column]], weight: str | None = None, bucket: Column | None = None, points: int = 1) -> DataFrame:
     """keys, n (known values, weighted) and the values at positions (from 0; between two they are interpolated; NULL gives NULL).
 
-    at: from n to positions by name. bucket: a number from 0; there are as many results as points, numbered g, and the g-th is
+    at: from n to positions by name. bucket: a number from 0; there are as many results as points, numbered _point, and each is
     over the rows of buckets up to g. Rows of later buckets count nowhere.
     """
     value = F.col(value) if isinstance(value, str) else value
     known = df.select(*keys, value.cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"), (F.lit(0) if bucket is None else bucket.cast("int")).alias("_b"))
     d = by_range(known.where(F.col("_v").isNotNull() & (F.col("_b") < points)), keys, [F.asc("_v")])
-    per = d.groupBy("_part", *keys, "_b").agg(F.sum("_w").alias("_m")).withColumn("g", F.explode(F.sequence("_b", F.lit(points - 1))))
-    per = per.groupBy("_part", *keys, "g").agg(F.sum("_m").alias("_m"))
-    group = Window.partitionBy(*keys, "g")
+    per = d.groupBy("_part", *keys, "_b").agg(F.sum("_w").alias("_m")).withColumn("_point", F.explode(F.sequence("_b", F.lit(points - 1))))
+    per = per.groupBy("_part", *keys, "_point").agg(F.sum("_m").alias("_m"))
+    group = Window.partitionBy(*keys, "_point")
     before = F.coalesce(F.sum("_m").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = stage(per.withColumns({"_before": before, "n": F.sum("_m").over(group)}), "counts")
     names = list(at(F.col("n")))
@@ -66,18 +66,18 @@ def picked(df: DataFrame, keys: list[str], value: str | Column, at: Callable[[Co
         low = F.floor(position)
         ends += [F.struct(F.lit(name).alias("name"), low.alias("idx"), (1 - (position - low)).cast("double").alias("share")), F.struct(F.lit(name).alias("name"), (low + 1).alias("idx"), (position - low).cast("double").alias("share"))]
     wanted = per.withColumn("_p", F.explode(F.array(*ends))).where((F.col("_p.share") > 0) & (F.col("_p.idx") >= F.col("_before")) & (F.col("_p.idx") < F.col("_before") + F.col("_m")))
-    wanted = stage(_renamed(wanted, keys, F.col("_part").alias("_range"), F.col("g").alias("_g"), "_p.name", (F.col("_p.idx") - F.col("_before")).alias("_at"), "_p.share"), "wanted")
+    wanted = stage(_renamed(wanted, keys, F.col("_part").alias("_range"), F.col("_point").alias("_pt"), "_p.name", (F.col("_p.idx") - F.col("_before")).alias("_at"), "_p.share"), "wanted")
     size = wanted.count()
-    spots = wanted.select("_range", "_g", *[f"_k_{k}" for k in keys]).distinct()
-    rows = d.join(small(spots, size), (F.col("_part") == F.col("_range")) & _same(keys) & (F.col("_b") <= F.col("_g"))).select(*keys, "_part", F.col("_g").alias("g"), "_v", "_w")
-    upto = F.sum("_w").over(Window.partitionBy("_part", *keys, "g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    spots = wanted.select("_range", "_pt", *[f"_k_{k}" for k in keys]).distinct()
+    rows = d.join(small(spots, size), (F.col("_part") == F.col("_range")) & _same(keys) & (F.col("_b") <= F.col("_pt"))).select(*keys, "_part", F.col("_pt").alias("_point"), "_v", "_w")
+    upto = F.sum("_w").over(Window.partitionBy("_part", *keys, "_point").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_upto", upto)
-    hit = rows.join(small(wanted, size), (F.col("_part") == F.col("_range")) & _same(keys) & (F.col("g") == F.col("_g")) & (F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_w")))
-    found = hit.groupBy(*keys, "g").agg(*[F.sum(F.when(F.col("name") == name, F.col("share") * F.col("_v"))).alias(name) for name in names])
-    found = _renamed(found, keys, F.col("g").alias("_g"), *names)
-    groups = per.select(*keys, "g", "n").distinct()
-    out = groups.join(found, _same(keys) & (F.col("g") == F.col("_g")), "left").select(*keys, "g", "n", *names)  # a row per group on either side
-    return out if points > 1 else out.drop("g")
+    hit = rows.join(small(wanted, size), (F.col("_part") == F.col("_range")) & _same(keys) & (F.col("_point") == F.col("_pt")) & (F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_w")))
+    found = hit.groupBy(*keys, "_point").agg(*[F.sum(F.when(F.col("name") == name, F.col("share") * F.col("_v"))).alias(name) for name in names])
+    found = _renamed(found, keys, F.col("_point").alias("_pt"), *names)
+    groups = per.select(*keys, "_point", "n").distinct()
+    out = groups.join(found, _same(keys) & (F.col("_point") == F.col("_pt")), "left").select(*keys, "_point", "n", *names)  # a row per group on either side
+    return out if points > 1 else out.drop("_point")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str | Column, shares: dict[str, float], weight: str | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def risk_coverage(df: DataFrame, keys: list[str], score: str, error: str, grid:
     same = F.lit(True)
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    found = found.join(small(groups), same).withColumn("c", F.get(points, F.col("g"))).withColumn("k", k(F.col("c")))
+    found = found.join(small(groups), same).withColumn("c", F.get(points, F.col("_point"))).withColumn("k", k(F.col("c")))
     return found.where((F.col("k") >= least) & (F.col("k") <= F.col("_n"))).select(*keys, "c", "k", "risk")
 
 
