@@ -106,3 +106,9 @@ def unmatched(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
     """Keys of either side that the other lacks; empty if the two are aligned."""
     a, b = left.select(*key), right.select(*key)
     return a.join(b, list(key), "left_anti").withColumn("side", F.lit("left")).union(b.join(a, list(key), "left_anti").withColumn("side", F.lit("right")))
+
+
+def looked_up(names: dict, key: Column) -> Column:
+    """The key's entry in a map; NULL for other keys."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), key.cast("int"))

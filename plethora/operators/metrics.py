@@ -10,13 +10,20 @@ from plethora.operators.order_stats import average_ranks, with_medians
 from plethora.sources.shared import stage
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Correlation over rows that have both; NULL where one of them doesn't vary."""
+    x, y = col(x), col(y)
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def error_table(df: DataFrame, keys: list[str], estimate: str | Column, reference: str | Column, least: int = 3) -> DataFrame:
     """keys, n, median and mean absolute error, median percentage error, Pearson's r, Bland-Altman bias and limits; NULL below `least` pairs."""
     e, r = col(estimate), col(reference)
     both = df.where(e.isNotNull() & r.isNotNull()).select(*keys, e.cast("double").alias("_e"), r.cast("double").alias("_r"))
     d = F.col("_e") - F.col("_r")
     means = both.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), F.corr("_e", "_r").alias("pearson"), F.avg(d).alias("bias"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), pearson("_e", "_r").alias("pearson"), F.avg(d).alias("bias"),
         (F.avg(d) - 1.96 * F.stddev_samp(d)).alias("loa_low"), (F.avg(d) + 1.96 * F.stddev_samp(d)).alias("loa_high"))
     out = with_medians(means, both, keys, {"md_ae": F.abs(d), "md_pe": 100 * F.try_divide(F.abs(d), F.col("_r"))})
     return out.select(*keys, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("md_ae", "mae", "md_pe", "pearson", "bias", "loa_low", "loa_high")])
@@ -27,8 +34,8 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, weight: str | None
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     both = stage(known.groupBy(*keys, x, y).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_m")), "pairs")
     for c, out in ((x, "_rx"), (y, "_ry")):
-        ranks = stage(average_ranks(both, keys, c, "_m").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(c).alias("_value"), F.col("rank").alias(out)), "ranks")
-        same = F.col(c) == F.col("_value")
+        ranks = stage(average_ranks(both, keys, c, "_m").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(c).alias("_ranked"), F.col("rank").alias(out)), "ranks")
+        same = F.col(c) == F.col("_ranked")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         both = both.join(ranks, same).select(*both.columns, out)

@@ -183,6 +183,24 @@ def waveform_shape(average: DataFrame, key: str, fs: float, mean: str = "mean")
         F.try_divide(F.max("_d"), F.abs(F.min("_d"))).alias("rise_over_fall"))
 
 
+def spectral_rates(samples: DataFrame, keys: list[str], order: str, value: str, motion: str, fs: float, origin: float = 10.0, window: float = 60.0, dealt: bool = False) -> DataFrame:
+    """keys, win, rate (60 times the frequency of the largest power from 0.6 to 3 Hz, of 16 s pieces of the detrended window), motion (spread of the motion in it); complete windows."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_o")
+        x, acc, rows = pdf["x"].to_numpy(float), pdf["acc"].to_numpy(float), []
+        for k in range(max(0, int((len(x) / fs + 1e-9 - origin) // window))):
+            part = slice(round((origin + k * window) * fs), round((origin + (k + 1) * window) * fs))
+            freq, power = dsp.welch(dsp.detrended(x[part]), fs, 16)
+            band = (freq > 0.6) & (freq < 3.0)
+            rows.append((*key, k, 60 * freq[band][np.argmax(power[band])], acc[part].std()))
+        return pd.DataFrame(rows, columns=[*keys, "win", "rate", "motion"])
+
+    rows = samples.select(*keys, F.col(order).alias("_o"), F.col(value).alias("x"), F.col(motion).alias("acc"))
+    schema = ", ".join(f"{k} {_kind(samples, k)}" for k in keys) + ", win long, rate double, motion double"
+    return _groups(rows, keys, dealt).applyInPandas(run, schema)
+
+
 # Names of the feature catalogue.
 FEATURES = (
     "sqi_full", "sqi_amp", "sqi_per", "mod_index", "penalty_frac", "n_peaks", "n_accepted", "reject_frac", "miss_frac_est", "hr_ppg", "rr_cv", "rr_diff_mad_rel",

@@ -32,7 +32,7 @@ def half_splits(spark: SparkSession, subjects: list, reps: int, key: str, kind:
     return values(spark, rows, f"rep int, {key} {kind}, calib boolean")
 
 
-def weighted_median(value: str, weight: str):
+def weighted_median(value, weight: str):
     return F.percentile(value, 0.5, F.col(weight))
 
 

@@ -20,7 +20,7 @@ def csv_round_trip(spark, sf):
     return files.csv(spark, path, "c_custkey long, c_acctbal double, c_mktsegment string").withColumn("c_acctbal", r6("c_acctbal"))
 
 
-@query("SRC8 SNK2 DM16", """SELECT o_orderpriority, metric, round(value, 6) AS value FROM (SELECT o_orderpriority, count(*)::DOUBLE AS n, median(o_totalprice) AS med, max(o_totalprice) AS top FROM orders GROUP BY 1) UNPIVOT (value FOR metric IN (n, med, top))""")
+@query("SNK2 DM16", """SELECT o_orderpriority, metric, round(value, 6) AS value FROM (SELECT o_orderpriority, count(*)::DOUBLE AS n, median(o_totalprice) AS med, max(o_totalprice) AS top FROM orders GROUP BY 1) UNPIVOT (value FOR metric IN (n, med, top))""")
 def json_report_round_trip(spark, sf):
     """A report as JSON documents, read back and unfolded to metric rows."""
     g = read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("n"), F.median("o_totalprice").alias("med"), F.max("o_totalprice").alias("top"))
@@ -93,7 +93,7 @@ def history_export(spark, sf):
     return files.csv(spark, path, "rec long, hour long, n long, mean double, last double")
 
 
-@query("SRC12 SRC1 DM1")
+@query("SRC12 DM1")
 def synthetic_recordings(spark, sf):
     """The seeded cases as long rows: samples, level and swing of each."""
     from plethora.sources.synthetic import samples
@@ -104,3 +104,20 @@ def synthetic_recordings(spark, sf):
 @query("SNK2 AGG19", """SELECT o_orderpriority AS ref, o_orderstatus AS shown, count(*) AS m FROM orders GROUP BY ALL""")
 def confusion_counts(spark, sf):
     return me.confusion(read(spark, sf, "orders"), [], "o_orderpriority", "o_orderstatus")
+
+
+@query("SNK5", """WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m FROM events GROUP BY 1)
+SELECT 0 AS line, '| event_type | n | mean |' AS text UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT 1 + row_number() OVER (ORDER BY event_type), '| ' || event_type || ' | ' || n || ' | ' || round(m * 100, 0)::BIGINT || ' |' FROM g""")
+def report_table(spark, sf):
+    """A report's table as lines of a document: heading, rule, a row per event type (means in hundredths)."""
+    g = events(spark, sf).groupBy(F.col("activity").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value") * 100).cast("long").alias("mean"))
+    return files.document_table(spread_row_number(g, [], [F.asc("event_type")], "row"), ["event_type", "n", "mean"], "row").select(F.col("line").cast("long").alias("line"), "text")
+
+
+@query("SRC8 SNK2", """SELECT o_orderstatus, count(*) AS n, round(max(o_totalprice), 6) AS top FROM orders GROUP BY 1""")
+def json_document_scan(spark, sf):
+    """Pretty reports, one document per file and over many lines, read back with an explicit schema."""
+    g = read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), r6(F.max("o_totalprice"), "top"))
+    path = fresh_path(spark, "reports")
+    files.write_documents(g, path, "o_orderstatus")
+    return files.json_report(spark, f"{path}/*", "o_orderstatus string, n long, top double")

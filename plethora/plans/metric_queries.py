@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plethora.operators import cleaning as cl
+from plethora.operators import evaluation as el
 from plethora.operators import gates as ga
 from plethora.operators import joins as jo
 from plethora.operators import metrics as me
@@ -61,9 +62,17 @@ def fiducial_missed_multi(spark, sf):
     return d.groupBy("rec").agg(F.count(F.lit(1)).alias("n_r"), share(F.col("k") == 0).alias("missed_pct"), share(F.col("k") >= 2).alias("multi_pct"))
 
 
-@query("JN5 EVL8")
+@query("JN5", f"""WITH RECURSIVE {EV}, det AS (SELECT rec, us, row_number() OVER (PARTITION BY rec ORDER BY us) AS j FROM ev WHERE activity = 'click'), ref AS (SELECT rec, us, row_number() OVER (PARTITION BY rec ORDER BY us) AS i FROM ev WHERE activity = 'view'),
+nb AS (SELECT r.rec, r.i, any_value(r.us) AS us, count(d.us) AS below FROM ref r LEFT JOIN det d ON d.rec = r.rec AND d.us < r.us GROUP BY r.rec, r.i),
+g AS (SELECT nb.rec, nb.i, below, CASE WHEN nb.us - l.us <= 10800000000 THEN nb.us - l.us END AS lg, CASE WHEN h.us - nb.us <= 10800000000 THEN h.us - nb.us END AS hg FROM nb LEFT JOIN det l ON l.rec = nb.rec AND l.j = below LEFT JOIN det h ON h.rec = nb.rec AND h.j = below + 1),
+m AS (SELECT rec, 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS gap FROM (SELECT DISTINCT rec FROM ref)
+  UNION ALL SELECT m.rec, g.i, CASE WHEN x.gap IS NULL THEN m.taken ELSE list_append(m.taken, x.j) END, x.gap FROM m JOIN g ON g.rec = m.rec AND g.i = m.i + 1,
+  LATERAL (SELECT CASE WHEN lf IS NOT NULL AND (hf IS NULL OR lf <= hf) THEN g.below ELSE g.below + 1 END AS j, least(lf, hf) AS gap FROM
+    (SELECT CASE WHEN NOT list_contains(m.taken, g.below) THEN g.lg END AS lf, CASE WHEN NOT list_contains(m.taken, g.below + 1) THEN g.hg END AS hf)) x),
+t AS (SELECT rec, count(gap) AS tp, median(gap) AS error FROM m GROUP BY rec), n AS (SELECT rec, count(*) FILTER (activity = 'view') AS nr, count(*) FILTER (activity = 'click') AS nd FROM ev WHERE activity IN ('view', 'click') GROUP BY rec)
+SELECT n.rec, coalesce(tp, 0) AS tp, CASE WHEN nr > 0 THEN round(coalesce(tp, 0) / nr, 6) END AS sensitivity, CASE WHEN nd > 0 THEN round(coalesce(tp, 0) / nd, 6) END AS ppv, round(error::DOUBLE, 6) AS error_us FROM n LEFT JOIN t ON n.rec = t.rec""")
 def nearest_match_tol(spark, sf):
-    """Greedy, so SQL has no equal; tests hold it against a plain loop."""
+    """Greedy matches within three hours; tests hold them against a plain loop too."""
     ev = events(spark, sf)
     det, ref = ev.where("activity = 'click'").select("rec", "us"), ev.where("activity = 'view'").select("rec", "us")
     matches = jo.nearest_match(det, ref, "rec", "us", 3 * 3.6e9)
@@ -319,7 +328,7 @@ def conformal_quantile_by_group(spark, sf):
     return ra.conformal_quantile(_scored(spark, sf).where("calib"), ["o_orderpriority"], "sc", 0.1).withColumn("q", r6("q"))
 
 
-@query("ML9 ML10 ML11", f"""WITH {_CONF} SELECT s.o_orderpriority, count(*) AS n, round(avg((abs(est - ref) <= t.q * (1 + s.q))::INT), 6) AS coverage, round(median(2 * t.q * (1 + s.q)), 6) AS width, count(*) FILTER (2 * t.q * (1 + s.q) <= 150000) AS narrow,
+@query("ML11", f"""WITH {_CONF} SELECT s.o_orderpriority, count(*) AS n, round(avg((abs(est - ref) <= t.q * (1 + s.q))::INT), 6) AS coverage, round(median(2 * t.q * (1 + s.q)), 6) AS width, count(*) FILTER (2 * t.q * (1 + s.q) <= 150000) AS narrow,
   round(avg(abs(est - ref)) FILTER (2 * t.q * (1 + s.q) <= 150000), 6) AS narrow_mae FROM s JOIN t ON s.o_orderpriority = t.o_orderpriority WHERE NOT calib GROUP BY 1""")
 def selective_width(spark, sf):
     """Split conformal intervals by customers, adaptive width; what is left where intervals are narrow."""
@@ -331,7 +340,7 @@ def selective_width(spark, sf):
     return os.with_quantiles(g, d, ["o_orderpriority"], 2 * F.col("half"), {"width": 0.5}).withColumn("width", r6("width"))
 
 
-@query("TOP10 EVL9", """WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.2) AS q FROM lineitem GROUP BY 1) SELECT l.l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem l JOIN q ON l.l_returnflag = q.l_returnflag WHERE l_extendedprice <= q GROUP BY 1""")
+@query("TOP10", """WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.2) AS q FROM lineitem GROUP BY 1) SELECT l.l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem l JOIN q ON l.l_returnflag = q.l_returnflag WHERE l_extendedprice <= q GROUP BY 1""")
 def quiet_quintile(spark, sf):
     return ra.quiet_subset(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("l_quantity"), "mean"))
 
@@ -368,7 +377,7 @@ def _cohort(spark, sf):
     return _estimates(spark, sf).where("est IS NOT NULL").select((F.col("o_custkey") % 25).alias("subj"), F.abs(F.col("est") - F.col("ref")).alias("ae"), "q")
 
 
-@query("SMP1 SMP2 JN9 AGG3", f"""WITH {_COHORT}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), x AS (SELECT rep, ae FROM s JOIN d ON s.subj = d.subj, range(mult)), m AS (SELECT rep, median(ae) AS med FROM x GROUP BY rep)
+@query("SMP1 JN9 AGG3", f"""WITH {_COHORT}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), x AS (SELECT rep, ae FROM s JOIN d ON s.subj = d.subj, range(mult)), m AS (SELECT rep, median(ae) AS med FROM x GROUP BY rep)
 SELECT count(*) AS reps, round(quantile_cont(med, 0.025), 6) AS lo, round(quantile_cont(med, 0.975), 6) AS hi FROM m""")
 def bootstrap_median_ci(spark, sf):
     """Cohorts of customers drawn with replacement; the median is weighted by how often."""
@@ -418,7 +427,7 @@ def lopo_calibration(spark, sf):
     return g.select("fold", r6("thr", "threshold"), "n", r6("m", "md_ae"))
 
 
-@query("SMP4 AGG9 EVL5", f"""WITH {_COHORT}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), x AS (SELECT rep, s.ae, s.q FROM s JOIN d ON s.subj = d.subj, range(mult) WHERE q IS NOT NULL), r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY ae) + (count(*) OVER (PARTITION BY rep, ae) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rep ORDER BY q) + (count(*) OVER (PARTITION BY rep, q) - 1) / 2.0 AS b FROM x)
+@query("AGG9", f"""WITH {_COHORT}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), x AS (SELECT rep, s.ae, s.q FROM s JOIN d ON s.subj = d.subj, range(mult) WHERE q IS NOT NULL), r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY ae) + (count(*) OVER (PARTITION BY rep, ae) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rep ORDER BY q) + (count(*) OVER (PARTITION BY rep, q) - 1) / 2.0 AS b FROM x)
 SELECT rep, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY rep""")
 def tracking_bootstrap(spark, sf):
     """Ranks change with each replicate; a row counts as often as its cohort was drawn."""
@@ -460,7 +469,7 @@ def display_rule_evaluation(spark, sf):
     return e.select("rule", r6("coverage", "coverage"), "n", *[r6(c, c) for c in ("kappa", "false_alarm", "miss")])
 
 
-@query("ML7 EVL4 AGG20 TOP6", f"""WITH {_EST}, m AS (SELECT o_orderkey % 2 AS half, abs(est - ref) AS ae, coalesce(q, -1) AS s FROM e WHERE est IS NOT NULL), l AS (SELECT half, lim, (ae <= lim)::INT AS y, s FROM m, (VALUES (5000), (10000), (20000)) AS t(lim)),
+@query("EVL4 AGG20", f"""WITH {_EST}, m AS (SELECT o_orderkey % 2 AS half, abs(est - ref) AS ae, coalesce(q, -1) AS s FROM e WHERE est IS NOT NULL), l AS (SELECT half, lim, (ae <= lim)::INT AS y, s FROM m, (VALUES (5000), (10000), (20000)) AS t(lim)),
 x AS (SELECT half, lim, s, sum(y) AS p, count(*) AS k FROM l GROUP BY ALL), w AS (SELECT *, coalesce(sum(k - p) OVER (PARTITION BY half, lim ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM x)
 SELECT half, lim, round(sum(p * (below + (k - p) / 2)) / (sum(p) * sum(k - p)), 6) AS auroc FROM w GROUP BY half, lim""")
 def label_threshold_sensitivity(spark, sf):
@@ -468,3 +477,95 @@ def label_threshold_sensitivity(spark, sf):
     d = _estimates(spark, sf).where("est IS NOT NULL").select((F.col("o_orderkey") % 2).alias("half"), F.abs(F.col("est") - F.col("ref")).alias("ae"), F.coalesce("q", F.lit(-1.0)).alias("s"))
     long = jo.grid(d, jo.values(spark, [(5000,), (10000,), (20000,)], "lim int")).withColumn("y", (F.col("ae") <= F.col("lim")).cast("int"))
     return me.auroc(long, ["half", "lim"], "s", "y").select("half", "lim", r6("auroc", "auroc"))
+
+
+def _draws_sql(n: int) -> str:
+    """Replicates that draw n numbered cohorts with replacement, as rows (rep, cohort, mult)."""
+    import numpy as np
+
+    random, rows = np.random.default_rng(rs.SEED), []
+    for rep in range(_BOOT):
+        drawn, m = np.unique(random.choice(n, n), return_counts=True)
+        rows += [f"({rep}, {i}, {k})" for i, k in zip(drawn.tolist(), m.tolist())]
+    return ", ".join(rows)
+
+
+#: Five participants times twelve months.
+_BLOCKS = 60
+
+
+@query("SMP2 AGG3 PRJ15", f"""WITH {_EST}, b AS (SELECT (e.o_custkey % 5) * 12 + month(o_orderdate) - 1 AS block, abs(est - ref) AS ae, coalesce(q >= 0.4, FALSE) AS good FROM e JOIN orders USING (o_orderkey) WHERE est IS NOT NULL), d(rep, block, mult) AS (VALUES {_draws_sql(_BLOCKS)}),
+x AS (SELECT rep, ae, good FROM b JOIN d ON b.block = d.block, range(mult)), m AS (SELECT rep, median(ae) AS none, median(ae) FILTER (good) AS gated FROM x GROUP BY rep)
+SELECT count(*) AS reps, round(quantile_cont(none, 0.025), 4) AS none_lo, round(quantile_cont(none, 0.975), 4) AS none_hi, round(quantile_cont(gated, 0.025), 4) AS gated_lo, round(quantile_cont(gated, 0.975), 4) AS gated_hi,
+  round(quantile_cont(none - gated, 0.025), 4) AS reduction_lo, round(quantile_cont(none - gated, 0.975), 4) AS reduction_hi FROM m""")
+def block_bootstrap(spark, sf):
+    """Blocks of a participant's month drawn with replacement: median errors with and without the gate, and by how much it lowers them."""
+    month = read(spark, sf, "orders").select("o_orderkey", ((F.col("o_custkey") % 5) * 12 + F.month("o_orderdate") - 1).alias("block"))
+    d = _estimates(spark, sf).where("est IS NOT NULL").join(month, "o_orderkey").select("block", F.abs(F.col("est") - F.col("ref")).alias("ae"), F.coalesce(F.col("q") >= 0.4, F.lit(False)).alias("good"))
+    counts = d.groupBy("block", "ae", "good").agg(F.count(F.lit(1)).alias("m"))
+    reps = jo.replicate(counts, rs.bootstrap_draws(spark, list(range(_BLOCKS)), _BOOT, "block"), "block").withColumn("mult", F.col("m") * F.col("mult"))
+    meds = stage(reps.groupBy("rep").agg(rs.weighted_median("ae", "mult").alias("none"), rs.weighted_median(F.when(F.col("good"), F.col("ae")), "mult").alias("gated")), "medians")
+    ends = [F.round(F.percentile(c, p), 4).alias(f"{n}_{e}") for n, c in (("none", F.col("none")), ("gated", F.col("gated")), ("reduction", F.col("none") - F.col("gated"))) for e, p in (("lo", 0.025), ("hi", 0.975))]
+    return meds.agg(F.count(F.lit(1)).alias("reps"), *ends)
+
+
+@query("SMP6 TOP4 PRJ8", f"""WITH {_EST}, s AS (SELECT o_orderkey % 2 AS site, abs(est - ref) AS ae, q FROM e WHERE est IS NOT NULL), n AS (SELECT site, round_even(0.5 * count(*), 0) AS k FROM s GROUP BY site),
+r AS (SELECT site, q, row_number() OVER (PARTITION BY site ORDER BY q DESC NULLS LAST) AS rn FROM s), t AS (SELECT r.site, q AS thr FROM r JOIN n ON r.site = n.site AND rn = k)
+SELECT t.site || '->' || s.site AS direction, round(any_value(thr), 6) AS threshold, round(count(*) FILTER (q >= thr) / count(*), 6) AS coverage, round(median(ae) FILTER (q >= thr), 4) AS md_ae, round(median(ae), 4) AS no_gate FROM t JOIN s ON t.site <> s.site GROUP BY t.site, s.site""")
+def threshold_transfer(spark, sf):
+    """Thresholds set on all windows of one site, applied to the other, both ways."""
+    d = stage(_estimates(spark, sf).where("est IS NOT NULL").select((F.col("o_orderkey") % 2).alias("site"), F.abs(F.col("est") - F.col("ref")).alias("ae"), "q"), "sites")
+    t = ra.threshold_for_share(d, ["site"], "q", 0.5).select(F.col("site").alias("source"), "threshold")
+    x = stage(d.join(jo.small(t), F.col("site") != F.col("source")).withColumn("direction", F.concat_ws("->", F.col("source").cast("string"), F.col("site").cast("string"))), "applied")
+    shown = cl.gate("q", "threshold")
+    g = x.groupBy("direction").agg(F.max("threshold").alias("threshold"), (F.count_if(shown) / F.count(F.lit(1))).alias("coverage"))
+    g = os.with_medians(g, x, ["direction"], {"md_ae": F.when(shown, F.col("ae")), "no_gate": F.col("ae")})
+    return g.select("direction", r6("threshold", "threshold"), r6("coverage", "coverage"), F.round("md_ae", 4).alias("md_ae"), F.round("no_gate", 4).alias("no_gate"))
+
+
+_SUPPLIERS = """sw AS (SELECT s_suppkey AS k, s_nationkey AS subj, avg(l_extendedprice) AS est, avg(l_quantity) * 1500 AS ref, avg(l_discount) AS disc FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2),
+sm AS (SELECT k, subj, est, ref, abs(est - ref) AS ae, 'discount' AS method, -disc AS score FROM sw UNION ALL SELECT k, subj, est, ref, abs(est - ref), 'low_estimate', -est FROM sw UNION ALL SELECT k, subj, est, ref, abs(est - ref), 'oracle', -abs(est - ref) FROM sw)"""
+_AGAIN = f"""{_SUPPLIERS}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), x AS (SELECT rep, method, est, ref, ae, score, k, again FROM sm JOIN d ON sm.subj = d.subj, range(1, mult + 1) AS t(again)),
+r AS (SELECT *, row_number() OVER (PARTITION BY rep, method ORDER BY score DESC, k, again) AS rn, count(*) OVER (PARTITION BY rep, method) AS n FROM x)"""
+
+
+def _suppliers(spark, sf):
+    """Suppliers as windows of 25 subjects: an estimate and a reference of what they sell, under three rankings."""
+    d = read(spark, sf, "lineitem").join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("long").alias("subj"))
+    d = d.agg(F.avg("l_extendedprice").alias("est"), (F.avg("l_quantity") * 1500).alias("ref"), F.avg("l_discount").alias("disc")).withColumn("ae", F.abs(F.col("est") - F.col("ref")))
+    ways = [F.struct(F.lit(n).alias("method"), (-F.col(c)).alias("score")) for n, c in (("discount", "disc"), ("low_estimate", "est"), ("oracle", "ae"))]
+    return stage(d.withColumn("_w", F.explode(F.array(*ways))).select("k", "subj", "est", "ref", "ae", "_w.*"), "suppliers")
+
+
+def _bounds(d):
+    return d.select("method", "reps", *[F.round(c, 3).alias(c) for c in ("lo", "hi", "gain_lo", "gain_hi")])
+
+
+@query("ML7 SMP1 TOP6 JN9", f"""WITH {_AGAIN}, g AS (SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in _GRID)}]) AS c), v AS (SELECT rep, method, c, median(ae) AS risk FROM r, g WHERE round_even(c * n, 0) BETWEEN 5 AND n AND rn <= round_even(c * n, 0) GROUP BY ALL),
+a AS (SELECT rep, method, avg(risk) AS v FROM v GROUP BY ALL), b AS (SELECT a.method, a.v, o.v - a.v AS gain FROM a JOIN a o ON a.rep = o.rep AND o.method = 'discount')
+SELECT method, count(*) AS reps, round(quantile_cont(v, 0.025), 3) AS lo, round(quantile_cont(v, 0.975), 3) AS hi, round(quantile_cont(gain, 0.025), 3) AS gain_lo, round(quantile_cont(gain, 0.975), 3) AS gain_hi FROM b GROUP BY method""")
+def paired_gain_bootstrap(spark, sf):
+    """Areas under the risk-coverage curve over drawn subjects, and how much lower than that of one method they are in the same draw."""
+    d = el.drawn(_suppliers(spark, sf), rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj")
+    return _bounds(el.bootstrap_areas(d, "method", "score", "ae", "k", "discount"))
+
+
+@query("SMP4 EVL5 AGG9", f"""WITH {_AGAIN}, p AS (SELECT * FROM r WHERE rn <= round_even(0.5 * n, 0)), q AS (SELECT rep, method, rank() OVER (PARTITION BY rep, method ORDER BY est) + (count(*) OVER (PARTITION BY rep, method, est) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rep, method ORDER BY ref) + (count(*) OVER (PARTITION BY rep, method, ref) - 1) / 2.0 AS b FROM p),
+a AS (SELECT rep, method, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS v FROM q GROUP BY rep, method), b AS (SELECT a.method, a.v, a.v - o.v AS gain FROM a JOIN a o ON a.rep = o.rep AND o.method = 'discount')
+SELECT method, count(v) AS reps, round(quantile_cont(v, 0.025), 3) AS lo, round(quantile_cont(v, 0.975), 3) AS hi, round(quantile_cont(gain, 0.025), 3) AS gain_lo, round(quantile_cont(gain, 0.975), 3) AS gain_hi FROM b GROUP BY method""")
+def tracking_top_half(spark, sf):
+    """Rank correlation of estimate and reference among the half that each ranking keeps, over drawn subjects, and the difference to one ranking in the same draw."""
+    d = el.drawn(_suppliers(spark, sf), rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj")
+    return _bounds(el.bootstrap_tracking(d, "method", "score", "est", "ref", "k", 0.5, "discount"))
+
+
+@query("EVL5 TOP1 AGG8 AGG9", f"""WITH {_EST}, m AS (SELECT o_orderkey, est, ref, 'quality' AS method, coalesce(q, -1) AS score FROM e WHERE est IS NOT NULL UNION ALL SELECT o_orderkey, est, ref, 'low_estimate', -est FROM e WHERE est IS NOT NULL UNION ALL SELECT o_orderkey, est, ref, 'oracle', -abs(est - ref) FROM e WHERE est IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, o_orderkey) AS rn, count(*) OVER (PARTITION BY method) AS n FROM m), p AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY est) + (count(*) OVER (PARTITION BY method, est) - 1) / 2.0 AS a, rank() OVER (PARTITION BY method ORDER BY ref) + (count(*) OVER (PARTITION BY method, ref) - 1) / 2.0 AS b FROM r WHERE rn <= round_even(0.5 * n, 0))
+SELECT method, count(*) AS k, round(median(abs(est - ref)), 4) AS md_ae, round(corr(a, b), 6) AS spearman, round(corr(est, ref), 6) AS pearson, round(median(est), 4) AS md_est, round(median(ref), 4) AS md_ref FROM p GROUP BY method""")
+def kept_value_tracking(spark, sf):
+    """What the kept half tells of the reference under a quality gate, under one that only prefers low estimates, and under the oracle."""
+    d = _estimates(spark, sf).where("est IS NOT NULL").withColumn("ae", F.abs(F.col("est") - F.col("ref")))
+    ways = [F.struct(F.lit(n).alias("method"), c.alias("score")) for n, c in (("quality", F.coalesce("q", F.lit(-1.0))), ("low_estimate", -F.col("est")), ("oracle", -F.col("ae")))]
+    d = d.withColumn("_w", F.explode(F.array(*ways))).select("o_orderkey", "est", "ref", "_w.*")
+    k = el.kept_tracking(d, "method", "score", "est", "ref", "o_orderkey", 0.5)
+    return k.select("method", "k", F.round("md_ae", 4).alias("md_ae"), r6("spearman", "spearman"), r6("pearson", "pearson"), F.round("md_est", 4).alias("md_est"), F.round("md_ref", 4).alias("md_ref"))

@@ -49,6 +49,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_documents(df: DataFrame, path: str, key: str) -> None:
+    """A JSON document over many lines per key, in a folder of its own."""
+    text = F.to_json(F.struct(*df.columns), {"pretty": "true"})
+    df.select(F.col(key).alias("_key"), text.alias("value")).write.mode("overwrite").partitionBy("_key").text(path)
+
+
+def document_table(df: DataFrame, columns: list[str], row: str) -> DataFrame:
+    """line, text: the columns as a table of a document; row numbers the rows from 1."""
+    cells = lambda values: F.concat(F.lit("| "), F.array_join(F.array(*values), " | "), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "line long, text string")
+    return head.union(df.select((F.col(row) + 1).cast("long"), cells([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])))
+
+
 def metrics_table(df: DataFrame, keys: list[str]) -> DataFrame:
     """A wide report as rows: keys, metric, value."""
     others = [c for c in df.columns if c not in keys]

@@ -94,3 +94,28 @@ def samples(spark: SparkSession, seed: int = SEED) -> DataFrame:
 
     parts = [pd.DataFrame({"record": name, "fs": fs, "i": np.arange(len(raw)), "ir": raw}) for name, (fs, raw, _, _) in cases(seed).items()]
     return spark.createDataFrame(pd.concat(parts), "record string, fs double, i long, ir double")
+
+
+def beat_signals(intervals_ms: DataFrame, key: str, order: list[str], value: str, rate: float, light: float = 50_000.0, modulation: float = 0.0006) -> DataFrame:
+    """key, i, ecg, light, motion: each recording's intervals as the signals of a heart, from its start to a second after its last beat; motion is a slow sway.
+
+    A recording is one group. Only the samples near a beat are touched by its waves, so the work grows with the recording's length.
+    """
+    import pandas as pd
+
+    from plethora.operators.replay import deal
+
+    kind = intervals_ms.schema[key].dataType.simpleString()
+
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        beats = np.cumsum(pdf.sort_values(order)[value].to_numpy(float)) / 1000.0
+        n = int((beats[-1] + 1) * rate)
+        reach = int(rate)
+        at = np.round(beats * rate).astype(int)[:, None] + np.arange(-reach // 4, reach)
+        since, inside = at / rate - beats[:, None], (at >= 0) & (at < n)
+        summed = [np.bincount(at[inside], waves(since, shapes)[inside], n) for shapes in (ECG, LIGHT)]
+        t = np.arange(n) / rate
+        return pd.DataFrame({key: keys[0], "i": np.arange(n), "ecg": summed[0], "light": light * (1 - modulation * summed[1]), "motion": np.sin(0.7 * t + keys[0] % 7) * (1 + keys[0] % 3)})
+
+    rows = deal(intervals_ms.select(key, *order, value), key)
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, i long, ecg double, light double, motion double")

@@ -10,7 +10,7 @@ def test_against_sql(spark, duck, name):
     same(QUERIES[name].run(spark, SF), duck, QUERIES[name].sql)
 
 
-@pytest.mark.parametrize("name", ["session_replay_kernel", "ema_hysteresis_stress", "loso_rankers", "gbm_loso", "conformal_boosted", "ecg_template"])
+@pytest.mark.parametrize("name", ["session_replay_kernel", "ema_hysteresis_stress", "loso_rankers", "gbm_loso", "conformal_boosted", "cross_site_transfer", "boosted_explanation", "ecg_template"])
 def test_runs(spark, name):
     assert QUERIES[name].run(spark, SF).count() > 0
 
