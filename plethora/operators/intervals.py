@@ -32,16 +32,18 @@ def reference_rmssd(df: DataFrame, keys: list[str], order: list[str], value: str
 
 
 def centred_median(value: str, w: WindowSpec, half: int = 5) -> Column:
-    """Median of the 2 * half + 1 values around a row; beyond the ends the first and last value are repeated.
+    """Median of the known ones of the 2 * half + 1 values around a row; beyond the ends the first and last value are repeated. NULL without any known.
 
-    Spark has no median over a frame, so the frame is gathered (at most 2 * half + 1 values) and padded.
+    Spark has no median over a frame, so the frame is gathered (at most 2 * half + 1 values, in structs, as NULLs would be
+    left out and shift it) and padded.
     """
-    before = F.collect_list(value).over(w.rowsBetween(-half, -1))
-    after = F.collect_list(value).over(w.rowsBetween(1, half))
+    boxed = F.struct(F.col(value).alias("v"))
+    before, after = F.collect_list(boxed).over(w.rowsBetween(-half, -1)), F.collect_list(boxed).over(w.rowsBetween(1, half))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head = F.array_repeat(F.first(value).over(whole), F.lit(half) - F.size(before))
-    tail = F.array_repeat(F.last(value).over(whole), F.lit(half) - F.size(after))
-    return F.get(F.array_sort(F.concat(head, before, F.array(F.col(value)), after, tail)), F.lit(half))
+    head = F.array_repeat(F.first(boxed).over(whole), F.lit(half) - F.size(before))
+    tail = F.array_repeat(F.last(boxed).over(whole), F.lit(half) - F.size(after))
+    known = F.array_compact(F.transform(F.concat(head, before, F.array(boxed), after, tail), lambda x: x["v"]))
+    return F.get(F.array_sort(known), F.floor(F.size(known) / 2).cast("int"))
 
 
 def clean_rmssd(df: DataFrame, keys: list[str], order: list[str], value: str, low: float = 300.0, high: float = 2000.0, tolerance: float = 0.20, least: int = 20) -> DataFrame:

@@ -230,10 +230,20 @@ def stream_session(spark, sf):
 def stream_replay(spark, sf):
     """The pulse kernel over the event stream, state carried from batch to batch: the same ticks as the grouped map."""
     s = st.read_table(spark, f"{sf}/events.parquet").withColumn("o", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
-    out = st.run_to_table(st.pulse_ticks(s, "user_id", "o", "value", Settings(fs=4.0, gate=0.4)), "append")
+    out = st.run_to_table(st.pulse_ticks(s, "user_id", "o", "value", Settings(fs=4.0, gate=0.4), idle=None), "append")
     return out.select(F.col("user_id").alias("rec"), "sample", r6("sqi", "sqi"), r6("rmssd", "rmssd"), r6("hr", "hr"), "n_intervals")
 
 
+@query("STR3 STR4 STR1")
+def stream_stress(spark, sf):
+    """Stress levels over the event stream; every hundredth event starts a new baseline. Tests hold it against a loop with the same resets."""
+    s = st.read_table(spark, f"{sf}/events.parquet").withColumns({
+        "o": F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"), "hr": 60 + F.col("value") / 5, "hrv": 40 - F.col("value") / 10,
+        "gate": F.col("value") >= 2, "again": F.col("event_id") % 100 == 0})
+    out = st.run_to_table(st.stress_ticks(s, "user_id", "o", "hr", "hrv", "gate", "again", idle=None), "append")
+    return out.select(F.col("user_id").alias("rec"), F.col("o").alias("us"), "score", "level")
+
+
 def _windows_of_orders(spark, sf):
     """Customers' groups of orders as labelled windows: five subjects, features of size, an error to predict."""
     k = F.col("o_orderkey")

@@ -49,40 +49,68 @@ def gap_sessions(stream: DataFrame, ts: str, key: str, gap: str = "6 hours", lat
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
-def pulse_ticks(stream: DataFrame, key: str, order: str, value: str, settings: pulse.Settings) -> DataFrame:
-    """1 Hz ticks of each recording as its samples arrive."""
+#: Idle time (processing time) after which a recording's state is released. None: never, for runs over what is there, as a stream that waits for timeouts doesn't end.
+IDLE = "24 hours"
+
+
+def _stateful(rows: DataFrame, key: str, schema: str, start: Callable[[], dict], advance: Callable[[dict, pd.DataFrame], dict[str, list]], idle: str | None) -> DataFrame:
+    """advance(kernel, fresh rows in order) gives the columns of new rows. State is packed per key; rows at or before the last one taken in are late and dropped.
+
+    A key that stays idle loses its state, so streams of ever new recordings don't grow; if it comes back, it starts anew. A row
+    whose `reset` is true starts the key anew as well.
+    """
+    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = pickle.loads(state.get[0]) if state.exists else {"kernel": pulse.start(), "last": -1, "late": 0}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = pickle.loads(state.get[0]) if state.exists else {"kernel": start(), "last": None, "late": 0}
         rows = pd.concat(list(batches)).sort_values("o")
-        fresh = rows[rows["o"] > kept["last"]]
+        fresh = rows if kept["last"] is None else rows[rows["o"] > kept["last"]]
         kept["late"] += len(rows) - len(fresh)
-        ticks = pulse.advance(kept["kernel"], fresh["x"].to_numpy(float), settings)["ticks"] if len(fresh) else []
-        kept["last"] = int(fresh["o"].max()) if len(fresh) else kept["last"]
+        if len(fresh):
+            kept["last"] = int(fresh["o"].max())
+            turns = fresh["reset"].fillna(False).astype(bool).cumsum()
+            for turn, own in fresh.groupby(turns):
+                if turn:
+                    kept["kernel"] = start()
+                found = advance(kept["kernel"], own)
+                if len(next(iter(found.values()))):
+                    yield pd.DataFrame({key: keys[0], **found})
         state.update((pickle.dumps(kept),))
-        if ticks:
-            yield pd.DataFrame({key: keys[0], **{c: [t[c] for t in ticks] for c in ("sample", "sqi", "rmssd", "hr", "n_intervals")}})
+        if wait_ms:
+            state.setTimeoutDuration(wait_ms)
 
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.select(key, F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("x"))
-    schema = f"{key} {kind}, sample long, sqi double, rmssd double, hr double, n_intervals int"
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "kernel binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "kernel binary", "append", timeout)
 
 
-def stress_ticks(stream: DataFrame, key: str, order: str, hr: str, hrv: str, gate: str) -> DataFrame:
-    """Score and level of each session as its ticks arrive; a session is a key, so its state ends with it."""
+def _reset(reset: str | None):
+    return (F.col(reset) if reset else F.lit(False)).alias("reset")
 
-    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = pickle.loads(state.get[0]) if state.exists else {"kernel": stress.start(), "last": -1}
-        rows = pd.concat(list(batches)).sort_values("o")
-        rows = rows[rows["o"] > kept["last"]]
+
+def pulse_ticks(stream: DataFrame, key: str, order: str, value: str, settings: pulse.Settings, reset: str | None = None, idle: str | None = IDLE) -> DataFrame:
+    """1 Hz ticks of each recording as its samples arrive. reset: a column that starts a recording anew where it is true."""
+    names = ("sample", "sqi", "rmssd", "hr", "n_intervals")
+
+    def advance(kernel: dict, rows: pd.DataFrame) -> dict[str, list]:
+        ticks = pulse.advance(kernel, rows["x"].to_numpy(float), settings)["ticks"]
+        return {c: [t[c] for t in ticks] for c in names}
+
+    rows = stream.select(key, F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("x"), _reset(reset))
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, sample long, sqi double, rmssd double, hr double, n_intervals int"
+    return _stateful(rows, key, schema, pulse.start, advance, idle)
+
+
+def stress_ticks(stream: DataFrame, key: str, order: str, hr: str, hrv: str, gate: str, reset: str | None = None, idle: str | None = IDLE) -> DataFrame:
+    """Score and level of each session as its ticks arrive. reset: a column that starts a new baseline where it is true."""
+
+    def advance(kernel: dict, rows: pd.DataFrame) -> dict[str, list]:
         clean = lambda v: None if pd.isna(v) else float(v)
-        found = [stress.step(kept["kernel"], clean(a), clean(b), bool(c) if not pd.isna(c) else False) for a, b, c in zip(rows["hr"], rows["hrv"], rows["gate"])]
-        kept["last"] = int(rows["o"].max()) if len(rows) else kept["last"]
-        state.update((pickle.dumps(kept),))
-        if found:
-            yield pd.DataFrame({key: keys[0], "o": rows["o"].to_numpy(), "score": [s for s, _ in found], "level": [l for _, l in found]})
+        found = [stress.step(kernel, clean(a), clean(b), bool(c) if not pd.isna(c) else False) for a, b, c in zip(rows["hr"], rows["hrv"], rows["gate"])]
+        return {"o": rows["o"].tolist(), "score": [s for s, _ in found], "level": [n for _, n in found]}
 
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.select(key, F.col(order).cast("long").alias("o"), F.col(hr).cast("double").alias("hr"), F.col(hrv).cast("double").alias("hrv"), F.col(gate).alias("gate"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, o long, score int, level int", "kernel binary", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(key, F.col(order).cast("long").alias("o"), F.col(hr).cast("double").alias("hr"), F.col(hrv).cast("double").alias("hrv"), F.col(gate).alias("gate"), _reset(reset))
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, o long, score int, level int"
+    return _stateful(rows, key, schema, stress.start, advance, idle)
