@@ -32,6 +32,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return _written(df, path)
 
 
+#: Rows of a staged table of two short keys that is broadcast at most (about 15 MB).
+FEW = 200_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A staged table with a hint to broadcast it while it has at most FEW rows; beyond that both sides of its join are dealt out."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The frame that make gives, staged; tables that were staged to make it are deleted."""
     path, scopes = fresh_path(spark, name), _scopes()

@@ -4,9 +4,10 @@ The model is fitted in the driver on a bounded sample of labelled rows, chosen b
 language, and of many languages fewer, so that all together are about ``TOGETHER`` (``FEW`` of each at least). Of a longer text
 ``WINDOWS`` windows of together ``TRAIN_CHARS`` code points are read, one at a hashed place in each of as many equal parts of the
 whole text. One fifth of each language's rows (of five at least) is held back to set the softmax temperature and two
-rejection thresholds: documents are rejected whose calibrated score, or whose share of 4-grams that the learned rows hold, is
-below ``SLACK`` times the ``REJECT`` quantile of the held-back ones that were predicted rightly. The share doesn't rest on the
-softmax, so it also tells a text in no learned language, however sure the softmax is. Without held-back rows nothing is calibrated.
+rejection thresholds: documents are rejected whose calibrated score, or whose share of known 4-grams, is below a part
+(``SLACK``) of the ``REJECT`` quantile of the held-back ones that were predicted rightly. Known are the 4-grams of the learned
+rows; those with digits don't count. The share doesn't rest on the softmax, so it also tells a text in no learned language,
+however sure the softmax is. Without held-back rows nothing is calibrated.
 
 Prediction reads every whole text, in Arrow batches and in pieces of a bounded size, without any shuffle. The broadcast model
 is 2^bits rows of a float per language or per embedding dimension, whichever is less, and a row of that length per language.
@@ -37,8 +38,8 @@ PER_LANG, TOGETHER, FEW = 600, 24_000, 10
 TRAIN_CHARS, WINDOWS = 3000, 30
 #: Rows of the sample whose keys are broadcast at most.
 BROADCAST = 500_000
-#: Quantile of the held-back rows, and the part of it that is the threshold: the lowest of few rows isn't the lowest of all.
-REJECT, SLACK = 0.0005, 0.9
+#: Quantile of the held-back rows, and the part of it that is the threshold, of the score and of the share: the lowest of few rows isn't the lowest of all, and a text in two learned languages has half a score at times.
+REJECT, SLACK = 0.0005, (0.6, 0.8)
 #: The n-grams that are looked up among those of the learned rows, and the bits of their table.
 SEEN, SEEN_BITS = 4, 20
 #: Passes over the learned rows, and steps that are made at least.
@@ -55,10 +56,13 @@ def _places(folded: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _looked_up(folded: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the SEEN-gram at each place, and whether it lies within its text."""
+    """Bucket of the SEEN-gram at each place, and whether it lies within its text and holds no digit (numbers tell nothing of a language)."""
     bucket = next(grams(folded, (SEEN,), SEEN_BITS))[1]
     size = np.maximum(ends - first - SEEN + 1, 0)
     inside = np.arange(len(folded)) < np.repeat(first + size, ends - first)
+    digit = np.flatnonzero((folded >= ord("0")) & (folded <= ord("9")))
+    for back in range(SEEN):
+        inside[digit[digit >= back] - back] = False
     return bucket, inside
 
 
@@ -141,7 +145,7 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
         p = softmax(score / found.temperature)
         good = p.argmax(1) == right
         if good.any():
-            found.threshold, found.least = (float(SLACK * np.quantile(x[good], REJECT)) for x in (p.max(1), found.familiar(kept)))
+            found.threshold, found.least = (float(part * np.quantile(x[good], REJECT)) for part, x in zip(SLACK, (p.max(1), found.familiar(kept))))
     return found
 
 

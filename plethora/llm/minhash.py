@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plethora.llm.common import packed, settled, staged, table
+from plethora.llm.common import few, packed, settled, staged, table
 from plethora.llm.components import components
 from plethora.llm.shingles import band_rows, bands, digest, groups, shingle_sets, signatures
 from plethora.llm.subword import strings
@@ -149,7 +149,7 @@ def _block_links(named: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     """
     sizes = named.groupBy("key").agg(*[F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / SHINGLES)).cast("int").alias(name) for name, c in (("mains", F.col("main")), ("others", ~F.col("main")))])
     block = F.when(F.col("main"), F.pmod(F.xxhash64("node", F.lit(3)), F.greatest("mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node", F.lit(3)), F.greatest("others", F.lit(1)))).cast("int")
-    own = named.join(staged(sizes, "sizes"), "key").withColumn("block", block)
+    own = named.join(few(staged(sizes, "sizes")), "key").withColumn("block", block)
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     with_main = F.transform(upto("mains"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("cross")))
     with_others = F.transform(upto("others"), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("cross")))
@@ -173,12 +173,12 @@ def _named(large: DataFrame, links: DataFrame) -> DataFrame:
         named = large.withColumn("comp", F.col("node"))
     else:
         comp = components(links).select(F.col("node").alias("c_node"), "comp")
-        named = large.join(comp, F.col("node") == F.col("c_node"), "left").select(*large.columns, F.coalesce("comp", "node").alias("comp"))
+        named = large.join(few(comp), F.col("node") == F.col("c_node"), "left").select(*large.columns, F.coalesce("comp", "node").alias("comp"))
     parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
     by_key = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("size", "comp")).alias("most")).where("comps > 1")
     by_key = staged(by_key, "by_key")  # dealt out anew for the join, so that adaptive execution can split a hot bucket's partition
     main = (F.col("comp") == F.col("most.comp")) & (F.col("most.size") > 1)
-    return staged(named.join(by_key, "key").select(*large.columns, "comp", main.alias("main"), (F.col("m") - F.col("most.size")).alias("apart")), "named")
+    return staged(named.join(few(by_key), "key").select(*large.columns, "comp", main.alias("main"), (F.col("m") - F.col("most.size")).alias("apart")), "named")
 
 
 def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -191,7 +191,7 @@ def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, percent: i
         named = _named(huge, links)
         named = named.where(F.col("apart") > BLOCK)  # what few nodes are apart meet all others in blocks
         hub = staged(named.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("rank", "node")).alias("hub")), "hubs")
-        held = named.join(hub, "key").where(F.col("node") != F.col("hub.node"))
+        held = named.join(few(hub), "key").where(F.col("node") != F.col("hub.node"))
         new = held.where(F.col("comp") != F.col("hub.comp")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         links = staged(links.union(confirmed(staged(new, "pairs"), sets, percent)).distinct(), "links")
         huge = staged(held.select(*huge.columns), "huge")
@@ -224,10 +224,12 @@ def _near(numbers: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     if links.isEmpty():
         named = nodes.select("node", "first")
     else:
+        # Only nodes that have a link can have another first row than their own.
         comp = components(links).select(F.col("node").alias("c_node"), "comp")
-        named = staged(nodes.join(comp, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("comp", "node").alias("comp"), "first"), "comps")
-        least = staged(named.groupBy("comp").agg(F.min("first").alias("first")), "least")
-        named = staged(named.select("node", "comp").join(least, "comp").select("node", "first"), "firsts")
+        linked = staged(nodes.join(few(comp), F.col("node") == F.col("c_node")).select("node", "comp", "first"), "linked")
+        least = staged(linked.groupBy("comp").agg(F.min("first").alias("least")), "least")
+        firsts = staged(linked.select("node", "comp").join(few(least), "comp").select(F.col("node").alias("l_node"), "least"), "firsts")
+        named = nodes.join(few(firsts), F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("least", "first").alias("first"))
     named = named.select(F.col("node").alias("n_node"), "first")
     own = F.struct(F.col("id").isNull().alias("null_id"), F.col("id").alias("id"), F.col("rid").alias("rid"))
     out = rows.join(named, F.col("node") == F.col("n_node"), "left").withColumn("first", F.coalesce("first", own))
