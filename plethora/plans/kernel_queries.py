@@ -110,6 +110,16 @@ def resampled_signal(spark, sf):
     return re.resampled(_samples(spark, sf), ["rec"], "i", "value", 25, 32, dealt=True).select("rec", "i", r6("x", "x"))
 
 
+_FIFTH = ", ".join(f"({k}, {h!r}::DOUBLE)" for k, h in enumerate(low_pass_taps(0.5 / 5, 50, np.hamming(101)).tolist()))
+
+
+@query("SIG13", f"""WITH {EV}, taps(k, h) AS (VALUES {_FIFTH}), n AS (SELECT rec, count(*) AS n FROM ev GROUP BY rec), m AS (SELECT rec, unnest(range((n + 4) // 5)) AS m FROM n)
+SELECT m.rec, m.m AS i, round(sum(t.h * ev.value), 6) AS x FROM m JOIN ev ON ev.rec = m.rec AND ev.i BETWEEN m.m * 5 - 50 AND m.m * 5 + 50 JOIN taps t ON t.k = m.m * 5 - ev.i + 50 GROUP BY m.rec, m.m""")
+def decimated_signal(spark, sf):
+    """Every fifth sample after an anti-aliasing filter."""
+    return re.resampled(_samples(spark, sf), ["rec"], "i", "value", 1, 5, dealt=True).select("rec", "i", r6("x", "x"))
+
+
 def _signals(spark, sf, rate: float):
     """Each user's events as the intervals of a heart: rec, i, ecg, light (which drops with each pulse), motion."""
     return sy.beat_signals(events(spark, sf).select("rec", "us", "event_id", (900 + 6 * F.col("value")).alias("rr")), "rec", ["us", "event_id"], "rr", rate)
