@@ -523,7 +523,7 @@ def threshold_transfer(spark, sf):
     return g.select("direction", r6("threshold", "threshold"), r6("coverage", "coverage"), F.round("md_ae", 4).alias("md_ae"), F.round("no_gate", 4).alias("no_gate"))
 
 
-_SUPPLIERS = """sw AS (SELECT s_suppkey AS k, s_nationkey AS subj, avg(l_extendedprice) AS est, avg(l_quantity) * 1500 AS ref, avg(l_discount) AS disc FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2),
+_SUPPLIERS = """sw AS (SELECT s_suppkey AS k, s_nationkey AS subj, round(avg(l_extendedprice), 6) AS est, round(avg(l_quantity) * 1500, 6) AS ref, round(avg(l_discount), 9) AS disc FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2),
 sm AS (SELECT k, subj, est, ref, abs(est - ref) AS ae, 'discount' AS method, -disc AS score FROM sw UNION ALL SELECT k, subj, est, ref, abs(est - ref), 'low_estimate', -est FROM sw UNION ALL SELECT k, subj, est, ref, abs(est - ref), 'oracle', -abs(est - ref) FROM sw)"""
 _AGAIN = f"""{_SUPPLIERS}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), x AS (SELECT rep, method, est, ref, ae, score, k, again FROM sm JOIN d ON sm.subj = d.subj, range(1, mult + 1) AS t(again)),
 r AS (SELECT *, row_number() OVER (PARTITION BY rep, method ORDER BY score DESC, k, again) AS rn, count(*) OVER (PARTITION BY rep, method) AS n FROM x)"""
@@ -532,18 +532,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY rep, method ORDER BY score DESC,
 def _suppliers(spark, sf):
     """Suppliers as windows of 25 subjects: an estimate and a reference of what they sell, under three rankings."""
     d = read(spark, sf, "lineitem").join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("long").alias("subj"))
-    d = d.agg(F.avg("l_extendedprice").alias("est"), (F.avg("l_quantity") * 1500).alias("ref"), F.avg("l_discount").alias("disc")).withColumn("ae", F.abs(F.col("est") - F.col("ref")))
+    d = d.agg(F.round(F.avg("l_extendedprice"), 6).alias("est"), F.round(F.avg("l_quantity") * 1500, 6).alias("ref"), F.round(F.avg("l_discount"), 9).alias("disc")).withColumn("ae", F.abs(F.col("est") - F.col("ref")))
     ways = [F.struct(F.lit(n).alias("method"), (-F.col(c)).alias("score")) for n, c in (("discount", "disc"), ("low_estimate", "est"), ("oracle", "ae"))]
     return stage(d.withColumn("_w", F.explode(F.array(*ways))).select("k", "subj", "est", "ref", "ae", "_w.*"), "suppliers")
 
 
 def _bounds(d):
-    return d.select("method", "reps", *[F.round(c, 3).alias(c) for c in ("lo", "hi", "gain_lo", "gain_hi")])
+    return d.select("method", "reps", *[(F.round(c, 3) + 0.0).alias(c) for c in ("lo", "hi", "gain_lo", "gain_hi")])  # no negative zeros
 
 
 @query("ML7 SMP1 TOP6 JN9", f"""WITH {_AGAIN}, g AS (SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in _GRID)}]) AS c), v AS (SELECT rep, method, c, median(ae) AS risk FROM r, g WHERE round_even(c * n, 0) BETWEEN 5 AND n AND rn <= round_even(c * n, 0) GROUP BY ALL),
 a AS (SELECT rep, method, avg(risk) AS v FROM v GROUP BY ALL), b AS (SELECT a.method, a.v, o.v - a.v AS gain FROM a JOIN a o ON a.rep = o.rep AND o.method = 'discount')
-SELECT method, count(*) AS reps, round(quantile_cont(v, 0.025), 3) AS lo, round(quantile_cont(v, 0.975), 3) AS hi, round(quantile_cont(gain, 0.025), 3) AS gain_lo, round(quantile_cont(gain, 0.975), 3) AS gain_hi FROM b GROUP BY method""")
+SELECT method, count(*) AS reps, round(quantile_cont(v, 0.025), 3) AS lo, round(quantile_cont(v, 0.975), 3) AS hi, round(quantile_cont(gain, 0.025), 3) + 0.0 AS gain_lo, round(quantile_cont(gain, 0.975), 3) + 0.0 AS gain_hi FROM b GROUP BY method""")
 def paired_gain_bootstrap(spark, sf):
     """Areas under the risk-coverage curve over drawn subjects, and how much lower than that of one method they are in the same draw."""
     d = el.drawn(_suppliers(spark, sf), rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj")
@@ -552,7 +552,7 @@ def paired_gain_bootstrap(spark, sf):
 
 @query("SMP4 EVL5 AGG9", f"""WITH {_AGAIN}, p AS (SELECT * FROM r WHERE rn <= round_even(0.5 * n, 0)), q AS (SELECT rep, method, rank() OVER (PARTITION BY rep, method ORDER BY est) + (count(*) OVER (PARTITION BY rep, method, est) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rep, method ORDER BY ref) + (count(*) OVER (PARTITION BY rep, method, ref) - 1) / 2.0 AS b FROM p),
 a AS (SELECT rep, method, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS v FROM q GROUP BY rep, method), b AS (SELECT a.method, a.v, a.v - o.v AS gain FROM a JOIN a o ON a.rep = o.rep AND o.method = 'discount')
-SELECT method, count(v) AS reps, round(quantile_cont(v, 0.025), 3) AS lo, round(quantile_cont(v, 0.975), 3) AS hi, round(quantile_cont(gain, 0.025), 3) AS gain_lo, round(quantile_cont(gain, 0.975), 3) AS gain_hi FROM b GROUP BY method""")
+SELECT method, count(v) AS reps, round(quantile_cont(v, 0.025), 3) AS lo, round(quantile_cont(v, 0.975), 3) AS hi, round(quantile_cont(gain, 0.025), 3) + 0.0 AS gain_lo, round(quantile_cont(gain, 0.975), 3) + 0.0 AS gain_hi FROM b GROUP BY method""")
 def tracking_top_half(spark, sf):
     """Rank correlation of estimate and reference among the half that each ranking keeps, over drawn subjects, and the difference to one ranking in the same draw."""
     d = el.drawn(_suppliers(spark, sf), rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj")
