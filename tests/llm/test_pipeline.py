@@ -7,7 +7,7 @@ import tiktoken
 import corpus_pipeline
 from plethora.llm import bpe, mixing
 from tests.conftest import SF
-from tests.llm.test_minhash import brute
+from tests.llm.test_near_stage import smallest_ids
 
 
 def test_stages_against_plain_versions(spark):
@@ -28,9 +28,7 @@ def test_stages_against_plain_versions(spark):
     assert {r["doc_id"]: r["text"] for r in lines.collect()} == want and lines.columns == docs.columns
 
     near = stages["near_dedup"](spark, lines, SF).cache()
-    pairs = sorted(want.items())
-    _, groups = brute(pairs)
-    assert sorted(r["doc_id"] for r in near.collect()) == sorted(min(pairs[k][0] for k in g) for g in groups.values()) and near.columns == docs.columns
+    assert sorted(r["doc_id"] for r in near.collect()) == smallest_ids(sorted(want.items()), corpus_pipeline.NEAR) and near.columns == docs.columns
 
     mix = stages["mixing"](spark, near, SF).cache()
     counts = collections.Counter(r["doc_id"] for r in mix.collect())
