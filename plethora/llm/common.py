@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from plethora.sources.shared import delete, fresh_path
 
@@ -55,6 +56,23 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
     return found
 
 
+class rounds_of:
+    """A staged table that grows by a part a round; `depth` is the round's number."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, fresh_path(spark, name)
+        _scopes()[-1].append(self.path)
+
+    def write(self, depth: int, df: DataFrame) -> DataFrame:
+        """The round's rows, written and read back."""
+        self.schema = df.schema
+        return _written(df, f"{self.path}/depth={depth}")
+
+    def read(self) -> DataFrame:
+        """The rows of all rounds, with their depth."""
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("depth", IntegerType())])).parquet(self.path)
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

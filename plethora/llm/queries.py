@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plethora.llm import bpe, chat, exact_dedup, fingerprints, language_id, line_dedup, minhash, mixing, secret_scan, toxicity
+from plethora.llm import bpe, centroids, chat, exact_dedup, fingerprints, language_id, line_dedup, minhash, mixing, prefix_trie, secret_scan, token_files, toxicity
 
 _MODULES = {
     "op1_minhash": minhash,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_mixing": mixing,
     "op9_line_dedup": line_dedup,
     "op10_language_id": language_id,
+    "op11_token_files": token_files,
+    "op12_prefix_trie": prefix_trie,
+    "op13_centroids": centroids,
 }
 
 
