@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plethora.operators.cleaning import gate
-from plethora.operators.joins import attach_first, folds, leave_one_out, small
+from plethora.operators.joins import attach_first, small, values
 from plethora.operators.metrics import alarm_rates, confusion, kappa
+from plethora.operators.replicates import quantiles_left_out
+from plethora.operators.resampling import subjects_of
 
 
 def held_out_quantiles(df: DataFrame, subject: str, score: str, shares: dict[str, float]) -> DataFrame:
-    """fold and, per name, the quantile of the score over all other subjects. Values are counted per subject first, so folds join counts."""
-    counts = df.where(F.col(score).isNotNull()).groupBy(subject, score).agg(F.count(F.lit(1)).alias("_m"))
-    return leave_one_out(counts, subject, folds(df, subject)).groupBy("fold").agg(*[F.percentile(score, p, F.col("_m")).alias(name) for name, p in shares.items()])
+    """fold and, per name, the quantile of the score over all other subjects: counts of all by range, less the subject's own."""
+    subjects = subjects_of(df, subject)
+    named = values(df.sparkSession, list(enumerate(subjects)), f"_fold int, fold {df.schema[subject].dataType.simpleString()}")
+    cuts = quantiles_left_out(df, subject, score, subjects, shares)
+    return cuts.join(named, cuts["fold"] == F.col("_fold")).select(named["fold"], *shares)
 
 
 def consistency_gates(df: DataFrame, subject: str, session: str, is_baseline: str, score: str, targets: dict[str, float]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins: as-of, bucketed interval, nearest match, leave-one-out and replicate joins.
+"""Joins: as-of, bucketed interval, nearest match and replicate joins.
 
 Spark has no as-of join. ``asof`` puts both sides in one sorted pass (a union and a window per key), so each row is
 shuffled once and no pairs are made. Sides that are broadcast are parameter tables built in the driver, checked by
@@ -99,16 +99,6 @@ def match_summary(matches: DataFrame, detected: DataFrame, reference: DataFrame,
     return n.join(hits, key, "left").select(key, tp.alias("tp"), F.when(F.col("n_ref") > 0, tp / F.col("n_ref")).alias("sensitivity"), F.when(F.col("n_det") > 0, tp / F.col("n_det")).alias("ppv"), "error")
 
 
-def folds(df: DataFrame, key: str) -> DataFrame:
-    """fold: the distinct keys, to leave each out in turn."""
-    return small(df.select(F.col(key).alias("fold")).distinct())
-
-
-def leave_one_out(df: DataFrame, key: str, held: DataFrame) -> DataFrame:
-    """Each fold with the rows of all other keys. Where only sums are needed, subtracting a fold's own sum is cheaper."""
-    return df.join(held, F.col(key) != F.col("fold"))
-
-
 def subject_split(df: DataFrame, key: str, subjects: DataFrame, inside: bool = True) -> DataFrame:
     return df.join(small(subjects.select(key).distinct()), key, "left_semi" if inside else "left_anti")
 

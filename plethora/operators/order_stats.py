@@ -29,8 +29,9 @@ def _renamed(df: DataFrame, keys: list[str], *rest: str | Column) -> DataFrame:
 
 
 def by_range(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """df dealt by ranges of keys and order, as a table: _part is the number of the range."""
-    return stage(df.repartitionByRange(*[F.asc(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    """df dealt by ranges of keys and order, as a table: _part is the number of the range. The number of ranges is given, as adaptive execution would merge small ones into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.repartitionByRange(n, *[F.asc(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], out: str, weight: str | None = None, total: str | None = None) -> DataFrame:
@@ -54,7 +55,9 @@ def picked(df: DataFrame, keys: list[str], value: str | Column, at: Callable[[Co
     """
     value = F.col(value) if isinstance(value, str) else value
     known = df.select(*keys, value.cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"), (F.lit(0) if bucket is None else bucket.cast("int")).alias("_b"))
-    d = by_range(known.where(F.col("_v").isNotNull() & (F.col("_b") < points)), keys, [F.asc("_v")])
+    # Rows of one value are one row with their weight, so a value that most rows share doesn't fill a range.
+    known = known.where(F.col("_v").isNotNull() & (F.col("_b") < points)).groupBy(*keys, "_v", "_b").agg(F.sum("_w").alias("_w"))
+    d = by_range(known, keys, [F.asc("_v")])
     per = d.groupBy("_part", *keys, "_b").agg(F.sum("_w").alias("_m")).withColumn("_point", F.explode(F.sequence("_b", F.lit(points - 1))))
     per = per.groupBy("_part", *keys, "_point").agg(F.sum("_m").alias("_m"))
     group = Window.partitionBy(*keys, "_point")

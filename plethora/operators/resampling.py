@@ -14,26 +14,23 @@ from plethora.operators.joins import values
 SEED = 20260928
 
 
-def bootstrap_draws(spark: SparkSession, subjects: list, reps: int, key: str, kind: str = "long", seed: int = SEED) -> DataFrame:
-    """rep, key, mult: how often each replicate drew each subject (or block), with replacement. The order of subjects decides the draws."""
-    random, rows = np.random.default_rng(seed), []
-    for rep in range(reps):
-        drawn, n = np.unique(random.choice(len(subjects), len(subjects)), return_counts=True)
-        rows += [(rep, subjects[i], int(m)) for i, m in zip(drawn.tolist(), n.tolist())]
-    return values(spark, rows, f"rep int, {key} {kind}, mult long")
+def draw_matrix(n: int, reps: int, seed: int = SEED) -> np.ndarray:
+    """subjects x replicates: how often each replicate drew each of n subjects, with replacement."""
+    random = np.random.default_rng(seed)
+    return np.stack([np.bincount(random.choice(n, n), minlength=n) for _ in range(reps)], 1).astype(np.int32)
 
 
-def half_splits(spark: SparkSession, subjects: list, reps: int, key: str, kind: str = "long", seed: int = SEED) -> DataFrame:
-    """rep, key, calib: a random half of the subjects calibrates, the others test."""
-    random, rows = np.random.default_rng(seed), []
-    for rep in range(reps):
-        order = random.permutation(len(subjects))
-        rows += [(rep, subjects[i], place < len(subjects) // 2) for place, i in enumerate(order.tolist())]
-    return values(spark, rows, f"rep int, {key} {kind}, calib boolean")
+def half_matrix(n: int, reps: int, seed: int = SEED) -> np.ndarray:
+    """subjects x splits: 1 for the random half that calibrates."""
+    random = np.random.default_rng(seed)
+    return np.stack([(np.argsort(random.permutation(n)) < n // 2) for _ in range(reps)], 1).astype(np.int32)
 
 
-def weighted_median(value, weight: str):
-    return F.percentile(value, 0.5, F.col(weight))
+def bootstrap_draws(spark: SparkSession, subjects: list, reps: int, key: str, kind: str = "long", seed: int = SEED) -> DataFrame:
+    """rep, key, mult: how often each replicate drew each subject (or block), with replacement. The order of subjects decides the draws."""
+    matrix = draw_matrix(len(subjects), reps, seed)
+    rows = [(r, subjects[i], int(matrix[i, r])) for r, i in np.argwhere(matrix.T > 0).tolist()]
+    return values(spark, rows, f"rep int, {key} {kind}, mult long")
 
 
 def interval(df: DataFrame, value: str, *keys: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

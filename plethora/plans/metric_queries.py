@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from plethora.operators import joins as jo
 from plethora.operators import metrics as me
 from plethora.operators import order_stats as os
 from plethora.operators import ranking as ra
+from plethora.operators import replicates as rp
 from plethora.operators import resampling as rs
 from plethora.plans.registry import EV, events, query, r6, read
 from plethora.sources.shared import stage
@@ -96,10 +98,9 @@ def baseline_attach_left_join(spark, sf):
 t AS (SELECT fold, quantile_cont(q, 0.5) AS thr FROM f JOIN s ON s.fold_key <> f.fold GROUP BY fold)
 SELECT fold, round(thr, 6) AS threshold, count(*) AS n, count(*) FILTER (q >= thr) AS shown FROM t JOIN s ON s.fold_key = t.fold GROUP BY fold, thr""")
 def loso_threshold_gate(spark, sf):
-    """Each nation's line items under the median quality of all other nations. Other nations' values are counted per distinct value first, so a fold joins values, not rows."""
+    """Each nation's line items under the median quality of all other nations: counts of all by range of the quality, less the nation's own."""
     d = read(spark, sf, "lineitem").join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("key"), (F.col("l_discount") * 10 + F.col("l_quantity")).alias("q"))
-    counted = d.groupBy("key", "q").agg(F.count(F.lit(1)).alias("m"))
-    thr = jo.leave_one_out(counted, "key", jo.folds(read(spark, sf, "supplier"), "s_nationkey")).groupBy("fold").agg(F.percentile("q", 0.5, F.col("m")).alias("thr"))
+    thr = ga.held_out_quantiles(d, "key", "q", {"thr": 0.5})
     mine = d.join(jo.small(thr), F.col("key") == F.col("fold")).groupBy("fold", "thr")
     return mine.agg(F.count(F.lit(1)).alias("n"), F.count_if(cl.gate("q", "thr")).alias("shown")).select("fold", r6("thr", "threshold"), "n", "shown")
 
@@ -380,10 +381,8 @@ def _cohort(spark, sf):
 @query("SMP1 JN9 AGG3", f"""WITH {_COHORT}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), x AS (SELECT rep, ae FROM s JOIN d ON s.subj = d.subj, range(mult)), m AS (SELECT rep, median(ae) AS med FROM x GROUP BY rep)
 SELECT count(*) AS reps, round(quantile_cont(med, 0.025), 6) AS lo, round(quantile_cont(med, 0.975), 6) AS hi FROM m""")
 def bootstrap_median_ci(spark, sf):
-    """Cohorts of customers drawn with replacement; the median is weighted by how often."""
-    draws = rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj")
-    counts = _cohort(spark, sf).groupBy("subj", "ae").agg(F.count(F.lit(1)).alias("m"))
-    reps = jo.replicate(counts, draws, "subj").withColumn("mult", F.col("m") * F.col("mult")).groupBy("rep").agg(rs.weighted_median("ae", "mult").alias("med"))
+    """Cohorts of customers drawn with replacement: the medians of all replicates from counts of cohorts by range of the error."""
+    reps = rp.medians(_cohort(spark, sf), [], "ae", rp.drawn(rs.draw_matrix(len(_NATIONS), _BOOT), _NATIONS, "subj"), "med")
     return rs.interval(reps, "med").select("reps", r6("lo", "lo"), r6("hi", "hi"))
 
 
@@ -401,38 +400,28 @@ def bootstrap_kappa(spark, sf):
 r AS (SELECT rep, q, row_number() OVER (PARTITION BY rep ORDER BY q DESC NULLS LAST) AS rn FROM x WHERE calib), t AS (SELECT n.rep, r.q AS thr FROM n JOIN r ON n.rep = r.rep AND rn = k)
 SELECT x.rep, round(thr, 6) AS threshold, round(count(*) FILTER (q >= thr) / count(*), 6) AS coverage, round(median(ae) FILTER (q >= thr), 6) AS md_ae FROM x JOIN t ON x.rep = t.rep WHERE NOT calib GROUP BY x.rep, thr""")
 def half_split_calibration(spark, sf):
-    """A threshold from half the cohorts, applied to the others: values are counted per cohort once, so a split joins counts."""
-    d = _cohort(spark, sf)
-    splits = rs.half_splits(spark, _NATIONS, _SPLITS, "subj")
-    quality = d.groupBy("subj", "q").agg(F.count(F.lit(1)).alias("m")).join(splits, "subj").where("calib").groupBy("rep", "q").agg(F.sum("m").alias("m"))
-    t = jo.small(ra.threshold_for_share(quality, ["rep"], "q", 0.5, "m").select("rep", "threshold"))
-    held = d.groupBy("subj", "q", "ae").agg(F.count(F.lit(1)).alias("m")).join(splits, "subj").where("NOT calib").join(t, "rep")
-    shown = cl.gate("q", "threshold")
-    g = held.groupBy("rep", "threshold").agg(F.sum(F.when(shown, F.col("m")).otherwise(0)).alias("s"), F.sum("m").alias("n"))
-    g = os.with_quantiles(g, held.where(shown), ["rep"], "ae", {"md": 0.5}, "m")
-    return g.select("rep", r6("threshold", "threshold"), r6(F.col("s") / F.col("n"), "coverage"), r6("md", "md_ae"))
+    """A threshold from half the cohorts, applied to the others: all splits at once from counts of cohorts by range."""
+    g = rp.calibrated_splits(_cohort(spark, sf), _NATIONS, "subj", "q", "ae", rs.half_matrix(len(_NATIONS), _SPLITS), 0.5)
+    return g.select("rep", r6("threshold", "threshold"), r6("coverage", "coverage"), r6("md", "md_ae"))
 
 
 @query("SMP6 JN8 TOP4", f"""WITH {_COHORT}, t AS (SELECT f.subj AS fold, quantile_disc(s.q, 0.5) AS thr FROM (SELECT DISTINCT subj FROM s) f JOIN s ON s.subj <> f.subj WHERE s.q IS NOT NULL GROUP BY f.subj)
 SELECT fold, round(thr, 6) AS threshold, count(*) AS n, round(median(ae) FILTER (q >= thr), 6) AS md_ae FROM t JOIN s ON s.subj = t.fold GROUP BY fold, thr""")
 def lopo_calibration(spark, sf):
-    """Each cohort under a threshold from all others: quality counts per cohort, then a weighted order statistic per fold."""
+    """Each cohort under a threshold from all others: the least quality that at least half of their rows don't exceed."""
     d = _cohort(spark, sf)
-    counts = d.where("q IS NOT NULL").groupBy("subj", "q").agg(F.count(F.lit(1)).alias("m"))
-    others = jo.leave_one_out(counts, "subj", jo.folds(d, "subj")).groupBy("fold", "q").agg(F.sum("m").alias("m"))
-    w = Window.partitionBy("fold")
-    upto = others.withColumns({"upto": F.sum("m").over(w.orderBy("q")), "all": F.sum("m").over(w)})
-    t = upto.where("upto >= 0.5 * all").groupBy("fold").agg(F.min("q").alias("thr"))
-    g = d.join(jo.small(t), F.col("subj") == F.col("fold")).groupBy("fold", "thr").agg(F.count(F.lit(1)).alias("n"), F.median(F.when(cl.gate("q", "thr"), F.col("ae"))).alias("m"))
+    t = rp.select(d, [], "q", rp.left_out(_NATIONS, "subj"), lambda n, low, high: {"thr": np.where(n > 0, np.ceil(0.5 * n) - 1, np.nan)}).where("thr IS NOT NULL").select(F.col("column").cast("long").alias("fold"), "thr")
+    mine = stage(d.join(jo.small(t), F.col("subj") == F.col("fold")), "held")
+    g = os.with_quantiles(mine.groupBy("fold", "thr").agg(F.count(F.lit(1)).alias("n")), mine.where(cl.gate("q", "thr")), ["fold"], "ae", {"m": 0.5})
     return g.select("fold", r6("thr", "threshold"), "n", r6("m", "md_ae"))
 
 
 @query("AGG9", f"""WITH {_COHORT}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), x AS (SELECT rep, s.ae, s.q FROM s JOIN d ON s.subj = d.subj, range(mult) WHERE q IS NOT NULL), r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY ae) + (count(*) OVER (PARTITION BY rep, ae) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rep ORDER BY q) + (count(*) OVER (PARTITION BY rep, q) - 1) / 2.0 AS b FROM x)
 SELECT rep, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY rep""")
 def tracking_bootstrap(spark, sf):
-    """Ranks change with each replicate; a row counts as often as its cohort was drawn."""
-    d = jo.replicate(_cohort(spark, sf), rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj")
-    return me.spearman(d, ["rep"], "ae", "q", "mult").withColumn("spearman", r6("spearman"))
+    """Ranks change with each replicate: a value's rank is the product of its prefix counts by cohort with the cohorts' draws."""
+    d = rp.spearman_drawn(_cohort(spark, sf), [], "ae", "q", rs.draw_matrix(len(_NATIONS), _BOOT), _NATIONS, "subj")
+    return d.select(F.col("column").alias("rep"), "n", r6("spearman", "spearman"))
 
 
 @query("EVL3 TOP1", f"""WITH {_CURVE.replace("PARTITION BY method", "PARTITION BY method, o_orderpriority").replace("v AS (SELECT method, c,", "v AS (SELECT method, o_orderpriority, c,").replace("GROUP BY method, c)", "GROUP BY method, o_orderpriority, c)")}, a AS (SELECT method, o_orderpriority, avg(risk) AS aurc FROM v GROUP BY 1, 2)
@@ -502,9 +491,9 @@ def block_bootstrap(spark, sf):
     """Blocks of a participant's month drawn with replacement: median errors with and without the gate, and by how much it lowers them."""
     month = read(spark, sf, "orders").select("o_orderkey", ((F.col("o_custkey") % 5) * 12 + F.month("o_orderdate") - 1).alias("block"))
     d = _estimates(spark, sf).where("est IS NOT NULL").join(month, "o_orderkey").select("block", F.abs(F.col("est") - F.col("ref")).alias("ae"), F.coalesce(F.col("q") >= 0.4, F.lit(False)).alias("good"))
-    counts = d.groupBy("block", "ae", "good").agg(F.count(F.lit(1)).alias("m"))
-    reps = jo.replicate(counts, rs.bootstrap_draws(spark, list(range(_BLOCKS)), _BOOT, "block"), "block").withColumn("mult", F.col("m") * F.col("mult"))
-    meds = stage(reps.groupBy("rep").agg(rs.weighted_median("ae", "mult").alias("none"), rs.weighted_median(F.when(F.col("good"), F.col("ae")), "mult").alias("gated")), "medians")
+    long = d.select("block", "ae", F.explode(F.array(F.lit("none"), F.when(F.col("good"), "gated"))).alias("which")).where("which IS NOT NULL")
+    reps = rp.medians(long, ["which"], "ae", rp.drawn(rs.draw_matrix(_BLOCKS, _BOOT), list(range(_BLOCKS)), "block"), "med")
+    meds = stage(reps.groupBy("column").agg(*[F.max(F.when(F.col("which") == w, F.col("med"))).alias(w) for w in ("none", "gated")]), "medians")
     ends = [F.round(F.percentile(c, p), 4).alias(f"{n}_{e}") for n, c in (("none", F.col("none")), ("gated", F.col("gated")), ("reduction", F.col("none") - F.col("gated"))) for e, p in (("lo", 0.025), ("hi", 0.975))]
     return meds.agg(F.count(F.lit(1)).alias("reps"), *ends)
 
@@ -546,8 +535,7 @@ a AS (SELECT rep, method, avg(risk) AS v FROM v GROUP BY ALL), b AS (SELECT a.me
 SELECT method, count(*) AS reps, round(quantile_cont(v, 0.025), 3) AS lo, round(quantile_cont(v, 0.975), 3) AS hi, round(quantile_cont(gain, 0.025), 3) + 0.0 AS gain_lo, round(quantile_cont(gain, 0.975), 3) + 0.0 AS gain_hi FROM b GROUP BY method""")
 def paired_gain_bootstrap(spark, sf):
     """Areas under the risk-coverage curve over drawn subjects, and how much lower than that of one method they are in the same draw."""
-    d = el.drawn(_suppliers(spark, sf), rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj")
-    return _bounds(el.bootstrap_areas(d, "method", "score", "ae", "k", "discount"))
+    return _bounds(el.bootstrap_areas(_suppliers(spark, sf), "method", "score", "ae", "k", "discount", rs.draw_matrix(len(_NATIONS), _BOOT), _NATIONS, "subj"))
 
 
 @query("SMP4 EVL5 AGG9", f"""WITH {_AGAIN}, p AS (SELECT * FROM r WHERE rn <= round_even(0.5 * n, 0)), q AS (SELECT rep, method, rank() OVER (PARTITION BY rep, method ORDER BY est) + (count(*) OVER (PARTITION BY rep, method, est) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rep, method ORDER BY ref) + (count(*) OVER (PARTITION BY rep, method, ref) - 1) / 2.0 AS b FROM p),
@@ -555,8 +543,7 @@ a AS (SELECT rep, method, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN
 SELECT method, count(v) AS reps, round(quantile_cont(v, 0.025), 3) AS lo, round(quantile_cont(v, 0.975), 3) AS hi, round(quantile_cont(gain, 0.025), 3) + 0.0 AS gain_lo, round(quantile_cont(gain, 0.975), 3) + 0.0 AS gain_hi FROM b GROUP BY method""")
 def tracking_top_half(spark, sf):
     """Rank correlation of estimate and reference among the half that each ranking keeps, over drawn subjects, and the difference to one ranking in the same draw."""
-    d = el.drawn(_suppliers(spark, sf), rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj")
-    return _bounds(el.bootstrap_tracking(d, "method", "score", "est", "ref", "k", 0.5, "discount"))
+    return _bounds(el.bootstrap_tracking(_suppliers(spark, sf), "method", "score", "est", "ref", "k", 0.5, "discount", rs.draw_matrix(len(_NATIONS), _BOOT), _NATIONS, "subj"))
 
 
 @query("EVL5 TOP1 AGG8 AGG9", f"""WITH {_EST}, m AS (SELECT o_orderkey, est, ref, 'quality' AS method, coalesce(q, -1) AS score FROM e WHERE est IS NOT NULL UNION ALL SELECT o_orderkey, est, ref, 'low_estimate', -est FROM e WHERE est IS NOT NULL UNION ALL SELECT o_orderkey, est, ref, 'oracle', -abs(est - ref) FROM e WHERE est IS NOT NULL),
