@@ -119,18 +119,30 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
         held[np.flatnonzero(y == k)[4::5]] = True
     learn = np.flatnonzero(~held)
 
-    def take(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams of these learned rows, one row after another, and their numbers."""
-        own = [raw[i] for i in learn[rows].tolist()]
-        ends = np.cumsum(list(map(len, own)))
-        found = np.stack(list(_places(np.concatenate(own), ends)), 1)
-        used = found < 1 << BITS
-        return found[used], np.add.reduceat(used.sum(1), np.append(0, ends[:-1]))
+    # Each learned text once as its buckets and how often it holds them.
+    bags, times = [], []
+    for i in learn.tolist():
+        found = np.zeros((1 << BITS) + 1, np.int64)
+        for bucket in _places(raw[i], np.array([len(raw[i])])):
+            found += np.bincount(bucket, minlength=len(found))
+        found[-1] = 0  # places that hold no n-gram
+        bags.append(np.flatnonzero(found).astype(np.uint16))
+        times.append(found[bags[-1]].astype(np.float32))
+    ids, often, size = np.concatenate(bags), np.concatenate(times), np.array(list(map(len, bags)))
+    first = np.cumsum(size) - size
+    del bags, times
+
+    def counts(rows: np.ndarray) -> np.ndarray:
+        own = size[rows]
+        at = np.repeat(first[rows] - np.cumsum(own) + own, own) + np.arange(own.sum())
+        held = np.zeros((len(rows), (1 << BITS) + 1), np.float32)
+        held[np.repeat(np.arange(len(rows)), own), ids[at]] = often[at]
+        return held
 
     model = BagModel(len(languages), BITS, DIM)
     share = np.bincount(y[learn], minlength=len(languages))
     passes = max(EPOCHS, -(-STEPS * BATCH // len(learn)))
-    model.fit_bags(take, y[learn], (1 / np.maximum(share, 1))[y[learn]].astype(np.float32), passes, BATCH)
+    model.fit_counts(counts, y[learn], (1 / np.maximum(share, 1))[y[learn]].astype(np.float32), passes, BATCH)
     seen = np.zeros(1 << SEEN_BITS, bool)
     for i in learn.tolist():
         bucket, inside = _looked_up(raw[i], np.array([0]), np.array([len(raw[i])]))

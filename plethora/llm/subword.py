@@ -100,34 +100,47 @@ class BagModel:
 
         self.fit_bags(take, labels, weight, epochs, batch, rate, decay)
 
-    def fit_bags(self, take: Callable[[np.ndarray], tuple[np.ndarray, ...]], labels: np.ndarray, weight: np.ndarray, epochs: int, batch: int, rate: float = 0.1, decay: float = 1e-6) -> None:
-        """take: the ids of the bags with these numbers, one bag after another, and the bags' sizes; none is empty. Third, where ids are told once a bag: how often each occurs. Steps are scaled by AdaGrad."""
+    def fit_bags(self, take: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray, epochs: int, batch: int, rate: float = 0.1, decay: float = 1e-6) -> None:
+        """take: the ids of the bags with these numbers, one bag after another, and the bags' sizes; none is empty. Steps are scaled by AdaGrad."""
         for _ in range(epochs):
             order = self.random.permutation(len(labels))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
-                own, size, *times = take(rows)
+                own, size = take(rows)
                 first = np.cumsum(size) - size
-                vectors, total = self.embedding[own], size.astype(np.float32)
-                if times:
-                    vectors, total = vectors * times[0][:, None], np.add.reduceat(times[0], first)
-                mean = np.add.reduceat(vectors, first) / total[:, None]
+                mean = np.add.reduceat(self.embedding[own], first) / size[:, None].astype(np.float32)
                 score = mean @ self.weights + self.bias
                 p = np.exp(score - score.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(rows)), labels[rows]] -= 1
                 p *= (weight[rows] / weight[rows].sum())[:, None]
-                back = (p @ self.weights.T) / total[:, None]
+                back = (p @ self.weights.T) / size[:, None].astype(np.float32)
                 touched, place = np.unique(own, return_inverse=True)
                 spread = np.repeat(back, size, 0)
-                if times:
-                    spread *= times[0][:, None]
                 grad = np.stack([np.bincount(place, spread[:, k], len(touched)) for k in range(self.dim)], 1).astype(np.float32)
                 self._step(self.weights, mean.T @ p + decay * self.weights, self._squares[1], rate, slice(None))
                 self._step(self.bias, p.sum(0), self._squares[2], rate, slice(None))
                 self._step(self.embedding, grad + decay * self.embedding[touched], self._squares[0], rate, touched)
             self.embedding[-1] = 0
 
+    def fit_counts(self, counts: Callable[[np.ndarray], np.ndarray], labels: np.ndarray, weight: np.ndarray, epochs: int, batch: int, rate: float = 0.1, decay: float = 1e-6) -> None:
+        """The same steps from counts(rows): a row per bag, a column per id, how often the bag holds it. Sums over a bag are matrix products, which pays where bags are long."""
+        for _ in range(epochs):
+            order = self.random.permutation(len(labels))
+            for at in range(0, len(order), batch):
+                rows = order[at : at + batch]
+                held = counts(rows)
+                held /= held.sum(1, keepdims=True)
+                mean = held @ self.embedding
+                p = softmax(mean @ self.weights + self.bias)
+                p[np.arange(len(rows)), labels[rows]] -= 1
+                p *= (weight[rows] / weight[rows].sum())[:, None]
+                touched = np.flatnonzero(held.any(0))
+                grad = held[:, touched].T @ (p @ self.weights.T)
+                self._step(self.weights, mean.T @ p + decay * self.weights, self._squares[1], rate, slice(None))
+                self._step(self.bias, p.sum(0), self._squares[2], rate, slice(None))
+                self._step(self.embedding, grad + decay * self.embedding[touched], self._squares[0], rate, touched)
+
     @staticmethod
     def _step(value: np.ndarray, grad: np.ndarray, squares: np.ndarray, rate: float, at) -> None:
         squares[at] += grad * grad
