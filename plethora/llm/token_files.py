@@ -13,8 +13,9 @@ row per file, so no text or id is moved for them. ``documents`` reads blocks of
 where the store is no local mount), ``TokenFiles`` gives a trainer any document or any span of the whole stream.
 
 Encoding is the tokenizers library's. Its pieces never hold white space, and no normal form joins letters across it, so a text's
-ids are those of its words (between ASCII white space) one after another. Words are encoded once a task while they are remembered
-(at most ``WORDS`` short ones), which is several times as fast as encoding each text anew; tests hold this against whole texts.
+ids are those of its words (between ASCII white space) one after another. A word is encoded once a worker while it is remembered
+(at most ``WORDS`` short ones, about 160 MB), which is several times as fast as encoding each text anew; tests hold this against
+whole texts.
 
 Lost executors: a shard's name is unique to the attempt that wrote it, and only the row of the attempt that Spark
 accepted is in the manifest; files of other attempts are never read.
@@ -27,6 +28,7 @@ as the library does by default; ``ordinary=True`` makes it ordinary text.
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -43,7 +45,9 @@ from pyspark.sql import types as T
 from plethora.llm.common import column, fresh_path, shuffle_parts, table
 
 #: Texts encoded at once, words that a task remembers and the longest of them (bytes), documents of a block that is read at once, ids of a batch that is returned.
-SLICE, WORDS, WORD_BYTES, BLOCK, BATCH = 64, 200_000, 48, 4096, 1 << 20
+SLICE, WORDS, WORD_BYTES, BLOCK, BATCH = 64, 800_000, 48, 4096, 1 << 20
+#: Words that go to the library in one call, and stops that are pieces of their own.
+JOIN, STOPS = 1000, tuple(x.encode() for x in ".,;:!?")
 END = 1
 
 
@@ -56,23 +60,91 @@ class WordEncoder:
 
         self.model = Tokenizer.from_str(definition)
         self.model.encode_special_tokens = ordinary
-        self.dtype, self.end, self.known = dtype, np.array([end], dtype).tobytes(), {}
+        self.dtype, self.end = dtype, np.array([end], dtype).tobytes()
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.mark = self._library([b"7"])[0]  # a word of one id that no word without this digit can have
+
+    def _library(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words in one call of the library, told apart by the mark between them."""
+        if len(words) > 1 and len(self.mark) == len(self.end):
+            ids = np.array(self.model.encode_batch_fast([b" 7 ".join(words).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            marks = np.flatnonzero(ids == np.frombuffer(self.mark, self.dtype)[0])
+            if len(marks) == len(words) - 1:
+                size, raw = len(self.mark), ids.tobytes()
+                return [raw[a:b] for a, b in zip([0, *((marks + 1) * size).tolist()], [*(marks * size).tolist(), len(raw)])]
+        return self._library(words)
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Puts words into known. A last stop after an ASCII letter or digit is a piece of its own, and ASCII is lower-cased by the model's file, so that such words share the ids of what is left."""
+        known, older, lower, stops = self.known, self.older, self.lower, self.stops
+        stems, wanted = [], set()
+        for word in new:
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+                continue
+            stem, stop = word, stops.get(word[-1:], b"") if word[-2:-1].isalnum() else b""
+            if stop:
+                stem = word[:-1]
+            if lower and stem.isascii() and b"<" not in stem:  # a special token's string stays as it is
+                stem = stem.lower()
+            if stem not in known:
+                wanted.add(stem)
+            stems.append((word, stem, stop))
+        found = {stem: older[stem] for stem in wanted if stem in older}
+        wanted.difference_update(found)
+        apart = [w for w in wanted if b"7" in w or b"<" in w]
+        found.update(zip(apart, self._library(apart)))
+        plain = list(wanted.difference(apart))
+        for low in range(0, len(plain), JOIN):
+            part = plain[low : low + JOIN]
+            found.update(zip(part, self._joined(part)))
+        known.update(x for x in found.items() if len(x[0]) <= WORD_BYTES)
+        known.update([(word, (found.get(stem) or known[stem]) + stop) for word, stem, stop in stems])
+
+    @functools.cached_property
+    def lower(self) -> bool:
+        return self._library([b"AZ"]) == self._library([b"az"])
+
+    @functools.cached_property
+    def stops(self) -> dict[bytes, bytes]:
+        """Ids of each stop, if a stop after a letter or digit is a piece of its own in this model; else none."""
+        alone = dict(zip(STOPS, self._library(list(STOPS))))
+        probes = [b"a", b"Z", b"5", b"word"]
+        whole = iter(self._library([p + stop for p in probes for stop in STOPS]))
+        return alone if all(next(whole) == p + alone[stop] for p in self._library(probes) for stop in STOPS) else {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(text or "").encode().split() for text in texts]  # bytes split at ASCII white space and nothing else
-        known = self.known
-        if new := list({word for words in split for word in words if word not in known}):
-            made = self.model.encode_batch_fast([word.decode() for word in new], add_special_tokens=False)
-            known.update((word, np.array(x.ids, self.dtype).tobytes()) for word, x in zip(new, made))
-        found = [b"".join([known[word] for word in words]) + self.end for words in split]
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(new)
+        ids = self.known.__getitem__
+        found = [b"".join(map(ids, words)) + self.end for words in split]
         for word in new:
             if len(word) > WORD_BYTES:
-                del known[word]
-        if len(known) > WORDS:
-            known.clear()
+                del self.known[word]
+        if len(self.known) > WORDS // 2:  # words that are not met again for as long are forgotten
+            self.known, self.older = {}, self.known
         return found
 
 
+_CODERS: dict[tuple, WordEncoder] = {}
+
+
+def _coder(definition: str, dtype: str, end: int, ordinary: bool) -> WordEncoder:
+    """One encoder a worker, for workers serve many tasks."""
+    key = (hash(definition), dtype, end, ordinary)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = WordEncoder(definition, dtype, end, ordinary)
+    return _CODERS[key]
+
+
 def _definition(path: str) -> tuple[str, str]:
     """The tokenizer's file and the width of its ids."""
     from tokenizers import Tokenizer
@@ -97,7 +169,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         try:
             for batch in batches:
                 if batch.num_rows and coder is None:
-                    coder = WordEncoder(definition.value, dtype, end, ordinary)
+                    coder = _coder(definition.value, dtype, end, ordinary)
                     files.create_dir(folder, recursive=True)
                     out = {kind: files.open_output_stream(f"{folder}/{shard}.{kind}") for kind in ("tokens", "offsets", "docs")}
                     out["offsets"].write(np.zeros(1, "<u8").tobytes())
