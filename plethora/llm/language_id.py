@@ -191,12 +191,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(*sample(docs, id_col, text_col, lang_col, F.lit(True) if allowed is None else allowed))
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """row (all columns), lang_pred, score, rejected."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """row (all columns but the text), text (if it is kept), lang_pred, score, rejected. A text goes to Python once, and back only if it is kept."""
     letter = F.coalesce(column(text_col).rlike(r"\p{L}"), F.lit(False))
-    frame = docs.select(packed(docs).alias("row"), column(text_col).alias("text"), letter.alias("letter"))
+    frame = docs.select(packed(docs, text_col).alias("row"), column(text_col).alias("text"), letter.alias("letter"))
+    kept = ["row", "text"] if keep_text else ["row"]
     if model is None:
-        return frame.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return frame.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,19 +207,21 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             best, score = model.predict(batch.column(1))
             letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             best, score = np.where(letter, best, len(names) - 1), np.where(letter, score, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(~letter | model.rejects(batch.column(1), score))], names=["row", "lang_pred", "score", "rejected"])
+            found = [pa.array(names[best], pa.string()), pa.array(score), pa.array(~letter | model.rejects(batch.column(1), score))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found], names=[*kept, "lang_pred", "score", "rejected"])
 
-    schema = frame.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
+    schema = frame.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
     return frame.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs without the rows that the model rejects."""
-    return predict(docs, model, text_col).where(~F.col("rejected")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    kept = predict(docs, model, text_col).where(~F.col("rejected"))
+    return kept.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = fit(docs, allowed=~held_out)
-    return predict(docs.select("doc_id", "text"), model).select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "rejected").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(docs.select("doc_id", "text"), model, keep_text=False).select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "rejected").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -18,7 +18,7 @@ def test_language_of_odd_rows(odd, empty):
     model = language_id.fit(odd)
     got = language_id.predict(odd, model).collect()
     for r in got:
-        text = r["row"]["text"]
+        text = r["text"]
         letters = text is not None and any(c.isalpha() for c in text)
         assert (r["lang_pred"] == "und") == (not letters) and r["lang_pred"] in {"en", "de", "fr", "und"}
         assert letters or r["rejected"]
