@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plethora.operators.cleaning import col
-from plethora.operators.order_stats import average_ranks, with_medians
+from plethora.operators.joins import small
+from plethora.operators.order_stats import average_ranks, quantiles, running_sums, with_medians, with_quantiles
 from plethora.sources.shared import stage
 
 
@@ -18,15 +19,20 @@ def pearson(x: str | Column, y: str | Column) -> Column:
 
 
 def error_table(df: DataFrame, keys: list[str], estimate: str | Column, reference: str | Column, least: int = 3) -> DataFrame:
-    """keys, n, median and mean absolute error, median percentage error, Pearson's r, Bland-Altman bias and limits; NULL below `least` pairs."""
+    """keys, n, median and mean absolute error, median percentage error, Pearson's r, Spearman's rho, Bland-Altman bias and limits; NULL below `least` pairs."""
     e, r = col(estimate), col(reference)
-    both = df.where(e.isNotNull() & r.isNotNull()).select(*keys, e.cast("double").alias("_e"), r.cast("double").alias("_r"))
+    both = stage(df.where(e.isNotNull() & r.isNotNull()).select(*keys, e.cast("double").alias("_e"), r.cast("double").alias("_r")), "pairs")
     d = F.col("_e") - F.col("_r")
     means = both.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), pearson("_e", "_r").alias("pearson"), F.avg(d).alias("bias"),
         (F.avg(d) - 1.96 * F.stddev_samp(d)).alias("loa_low"), (F.avg(d) + 1.96 * F.stddev_samp(d)).alias("loa_high"))
     out = with_medians(means, both, keys, {"md_ae": F.abs(d), "md_pe": 100 * F.try_divide(F.abs(d), F.col("_r"))})
-    return out.select(*keys, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("md_ae", "mae", "md_pe", "pearson", "bias", "loa_low", "loa_high")])
+    rho = spearman(both, keys, "_e", "_r").select(*[F.col(k).alias(f"_k_{k}") for k in keys], "spearman")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = out.join(rho, same, "left")
+    return out.select(*keys, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("md_ae", "mae", "md_pe", "pearson", "spearman", "bias", "loa_low", "loa_high")])
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, weight: str | None = None) -> DataFrame:
@@ -71,32 +77,41 @@ def alarm_rates(ref: str, shown: str, calm: int = 1) -> list[Column]:
 
 
 def auroc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by the rank sum, ties at half. label: 0 or 1. One row per distinct score is ranked."""
-    tie = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    tie = tie.withColumn("_below", F.coalesce(F.sum(F.col("_m") - F.col("_p")).over(before), F.lit(0)))
-    pos, neg = F.sum("_p"), F.sum(F.col("_m") - F.col("_p"))
-    return tie.groupBy(*keys).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos > 0) & (neg > 0), F.sum(F.col("_p") * (F.col("_below") + (F.col("_m") - F.col("_p")) / 2.0)) / (pos * neg)).alias("auroc"))
+    """Area under the ROC curve by the rank sum, ties at half. label: 0 or 1. Class counts by distinct score are added up over ranges of the score, so no group meets in one task; a NULL score is below all others."""
+    tie = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_m")).withColumn("_neg", F.col("_m") - F.col("_p"))
+    tie = running_sums(tie, keys, [F.asc(score)], {"_upto": "_neg"})
+    pos, neg = F.sum("_p"), F.sum("_neg")
+    below = F.col("_upto") - F.col("_neg")
+    return tie.groupBy(*keys).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos > 0) & (neg > 0), F.sum(F.col("_p") * (below + F.col("_neg") / 2.0)) / (pos * neg)).alias("auroc"))
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Sum over thresholds of the recall gained times the precision there; ties are one threshold."""
+    """Sum over thresholds of the recall gained times the precision there; ties are one threshold. NULL without a positive label. Counts are added up over ranges of the score."""
     tie = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    tie = tie.withColumn("_prec", F.sum("_p").over(w) / F.sum("_m").over(w))
-    return tie.groupBy(*keys).agg((F.sum(F.col("_p") * F.col("_prec")) / F.sum("_p")).alias("average_precision"))
+    tie = running_sums(tie, keys, [F.desc(score)], {"_hits": "_p", "_shown": "_m"})
+    return tie.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_p") * (F.col("_hits") / F.col("_shown"))), F.sum("_p")).alias("average_precision"))
 
 
 def template_correlation(df: DataFrame, keys: list[str], segment: str, least: int = 5) -> DataFrame:
-    """Mean, 10th percentile and share below 0.8 of the segments' cosines with their group's pointwise median, each segment less its mean. NULL below `least` segments."""
+    """Mean, 10th percentile and share below 0.8 of the segments' cosines with their group's pointwise median, each segment less its mean. NULL below `least` segments.
+
+    The template, a median per place of the segment, comes from ranges of the values, and so does the percentile.
+    """
     plus = lambda a, x: a + x
     seg = F.transform(segment, lambda x: x.cast("double"))
     mean = F.aggregate(seg, F.lit(0.0), plus) / F.size(segment)
-    d = df.select(*keys, F.monotonically_increasing_id().alias("_id"), F.transform(seg, lambda x: x - mean).alias("_s"))
-    points = d.select(*keys, F.posexplode("_s").alias("_at", "_v")).groupBy(*keys, "_at").agg(F.median("_v").alias("_t"))
-    template = points.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda x: x["_t"]).alias("_tmpl"))
+    d = stage(df.select(*keys, F.transform(seg, lambda x: x - mean).alias("_s")), "segments")
+    points = d.select(*keys, F.posexplode("_s").alias("_place", "_v"))
+    medians = quantiles(points, [*keys, "_place"], "_v", {"_t": 0.5})
+    template = medians.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_t"))), lambda x: x["_t"]).alias("_tmpl"))  # a number per place
+    template = template.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_tmpl")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), plus)
     c = dot("_s", "_tmpl") / (F.sqrt(dot("_s", "_s")) * F.sqrt(dot("_tmpl", "_tmpl")) + 1e-12)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    cosines = stage(d.join(small(template), same).select(*keys, c.alias("_c")), "cosines")
     n = F.count(F.lit(1))
-    return d.join(template, keys).withColumn("_c", c).groupBy(*keys).agg(
-        n.alias("n"), F.when(n >= least, F.avg("_c")).alias("corr_mean"), F.when(n >= least, F.percentile("_c", 0.1)).alias("corr_p10"), F.when(n >= least, F.avg((F.col("_c") < 0.8).cast("double"))).alias("frac_lt08"))
+    told = cosines.groupBy(*keys).agg(n.alias("n"), F.avg("_c").alias("corr_mean"), F.avg((F.col("_c") < 0.8).cast("double")).alias("frac_lt08"))
+    told = with_quantiles(told, cosines, keys, "_c", {"corr_p10": 0.1})
+    return told.select(*keys, "n", *[F.when(F.col("n") >= least, F.col(x)).alias(x) for x in ("corr_mean", "corr_p10", "frac_lt08")])

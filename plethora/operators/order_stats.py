@@ -34,17 +34,25 @@ def by_range(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return stage(df.repartitionByRange(n, *[F.asc(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], out: str, weight: str | None = None, total: str | None = None) -> DataFrame:
-    """out: the sum of the weights up to and with each row in its group (without weights: its number, from 1); total: that of the group."""
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str | None], totals: dict[str, str] | None = None) -> DataFrame:
+    """Per name of sums: its column added up to and with each row in its group (None: rows counted from 1). totals: further names, each for a name of sums, with its sum over the group."""
     d = by_range(df, keys, order).withColumnRenamed("_part", "_range")
-    counts = d.groupBy("_range", *keys).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
+    names = {out: f"_n{k}" for k, out in enumerate(sums)}
+    counts = d.groupBy("_range", *keys).agg(*[(F.sum(w) if w else F.count(F.lit(1))).alias(names[out]) for out, w in sums.items()])
     group = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = _renamed(counts, keys, F.col("_range").alias("_part"), before.alias("_before"), F.sum("_n").over(group).alias("_total"))
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    told = [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in names.values()] + [F.sum(n).over(group).alias(f"{n}_total") for n in names.values()]
+    counts = _renamed(counts, keys, F.col("_range").alias("_part"), *told)
     w = Window.partitionBy("_range", *keys).orderBy(*order)
-    local = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(w)
-    d = d.withColumn("_local", local).join(small(counts), (F.col("_range") == F.col("_part")) & _same(keys))
-    return d.select(*df.columns, (F.col("_before") + F.col("_local")).alias(out), *([F.col("_total").alias(total)] if total else []))
+    local = {f"{names[out]}_local": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) if c else F.row_number().over(w) for out, c in sums.items()}
+    d = d.withColumns(local).join(small(counts), (F.col("_range") == F.col("_part")) & _same(keys))
+    found = [(F.col(f"{names[out]}_before") + F.col(f"{names[out]}_local")).alias(out) for out in sums]
+    return d.select(*df.columns, *found, *[F.col(f"{names[of]}_total").alias(out) for out, of in (totals or {}).items()])
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], out: str, weight: str | None = None, total: str | None = None) -> DataFrame:
+    """out: the sum of the weights up to and with each row in its group (without weights: its number, from 1); total: that of the group."""
+    return running_sums(df, keys, order, {out: weight}, {total: out} if total else None)
 
 
 def picked(df: DataFrame, keys: list[str], value: str | Column, at: Callable[[Column], dict[str, Column]], weight: str | None = None, bucket: Column | None = None, points: int = 1) -> DataFrame:

@@ -132,26 +132,33 @@ def _errors(d, *keys):
 
 
 _BUNDLE = """count(*) AS n, CASE WHEN count(*) >= 3 THEN round(median(abs(est - ref)), 6) END AS md_ae, CASE WHEN count(*) >= 3 THEN round(avg(abs(est - ref)), 6) END AS mae, CASE WHEN count(*) >= 3 THEN round(median(100 * abs(est - ref) / ref), 6) END AS md_pe,
-  CASE WHEN count(*) >= 3 THEN round(corr(est, ref), 6) END AS pearson, CASE WHEN count(*) >= 3 THEN round(avg(est - ref), 4) END AS bias, CASE WHEN count(*) >= 3 THEN round(avg(est - ref) - 1.96 * stddev_samp(est - ref), 4) END AS loa_low, CASE WHEN count(*) >= 3 THEN round(avg(est - ref) + 1.96 * stddev_samp(est - ref), 4) END AS loa_high"""
+  CASE WHEN count(*) >= 3 THEN round(corr(est, ref), 6) END AS pearson, CASE WHEN count(*) >= 3 THEN round(corr(re, rr), 6) END AS spearman, CASE WHEN count(*) >= 3 THEN round(avg(est - ref), 4) END AS bias, CASE WHEN count(*) >= 3 THEN round(avg(est - ref) - 1.96 * stddev_samp(est - ref), 4) END AS loa_low, CASE WHEN count(*) >= 3 THEN round(avg(est - ref) + 1.96 * stddev_samp(est - ref), 4) END AS loa_high"""
 
 
 def _rounded(d, *keys):
     places = {"bias": 4, "loa_low": 4, "loa_high": 4}
-    return d.select(*keys, "n", *[F.round(c, places.get(c, 6)).alias(c) for c in ("md_ae", "mae", "md_pe", "pearson", "bias", "loa_low", "loa_high")])
+    return d.select(*keys, "n", *[F.round(c, places.get(c, 6)).alias(c) for c in ("md_ae", "mae", "md_pe", "pearson", "spearman", "bias", "loa_low", "loa_high")])
 
 
-@query("JN11 PRJ8 AGG18", f"""WITH {_EST} SELECT tau, {_BUNDLE} FROM e, (VALUES {", ".join(f"({t}::DOUBLE)" for t in _SWEEP)}) AS g(tau) WHERE est IS NOT NULL AND (tau <= 0 OR q >= tau) GROUP BY tau""")
+def _ranked_sql(source: str, by: str = "") -> str:
+    """source with re, rr: the mean ranks of estimate and reference in their group."""
+    part = f"PARTITION BY {by}" if by else ""
+    rank = lambda c: f"rank() OVER ({part} ORDER BY {c}) + (count(*) OVER (PARTITION BY {', '.join(x for x in (by, c) if x)}) - 1) / 2.0"
+    return f"(SELECT *, {rank('est')} AS re, {rank('ref')} AS rr FROM ({source}))"
+
+
+@query("JN11 PRJ8 AGG18", f"""WITH {_EST} SELECT tau, {_BUNDLE} FROM {_ranked_sql("SELECT * FROM e, (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in _SWEEP) + ") AS g(tau) WHERE est IS NOT NULL AND (tau <= 0 OR q >= tau)", "tau")} GROUP BY tau""")
 def threshold_sweep(spark, sf):
     d = jo.grid(_estimates(spark, sf), jo.values(spark, [(t,) for t in _SWEEP], "tau double"))
     return _rounded(_errors(d.where(cl.kept("est", "q", "tau")), "tau"), "tau")
 
 
-@query("AGG18", f"WITH {_EST} SELECT {_BUNDLE} FROM e WHERE est IS NOT NULL")
+@query("AGG18", f"WITH {_EST} SELECT {_BUNDLE} FROM {_ranked_sql('SELECT * FROM e WHERE est IS NOT NULL')}")
 def bland_altman(spark, sf):
     return _rounded(_errors(_estimates(spark, sf)))
 
 
-@query("AGG18 AGG8 AGG12", f"WITH {_EST} SELECT o_orderpriority, {_BUNDLE} FROM e WHERE est IS NOT NULL GROUP BY o_orderpriority")
+@query("AGG18 AGG8 AGG12", f"WITH {_EST} SELECT o_orderpriority, {_BUNDLE} FROM {_ranked_sql('SELECT * FROM e WHERE est IS NOT NULL', 'o_orderpriority')} GROUP BY o_orderpriority")
 def error_metrics_by_segment(spark, sf):
     return _rounded(_errors(_estimates(spark, sf), "o_orderpriority"), "o_orderpriority")
 
@@ -371,6 +378,17 @@ def _draw_sql(kind: str) -> str:
     return ", ".join(rows)
 
 
+def _draws_sql(n: int) -> str:
+    """Replicates that draw n numbered cohorts with replacement, as rows (rep, cohort, mult)."""
+    import numpy as np
+
+    random, rows = np.random.default_rng(rs.SEED), []
+    for rep in range(_BOOT):
+        drawn, m = np.unique(random.choice(n, n), return_counts=True)
+        rows += [f"({rep}, {i}, {k})" for i, k in zip(drawn.tolist(), m.tolist())]
+    return ", ".join(rows)
+
+
 _COHORT = f"""{_EST}, s AS (SELECT o_custkey % 25 AS subj, abs(est - ref) AS ae, q FROM e WHERE est IS NOT NULL)"""
 
 
@@ -388,12 +406,12 @@ def bootstrap_median_ci(spark, sf):
 
 @query("SMP3 AGG19", f"""WITH {_LEVELS}, d(rep, subj, mult) AS (VALUES {_draw_sql("boot")}), c AS (SELECT rep, rl, sl, sum(mult) AS m FROM l JOIN d ON l.o_custkey % 25 = d.subj GROUP BY ALL), n AS (SELECT rep, sum(m) AS n, sum(m) FILTER (rl = sl) / sum(m) AS po FROM c GROUP BY rep),
 pe AS (SELECT a.rep, sum(a.m * b.m) AS s FROM (SELECT rep, rl AS k, sum(m) AS m FROM c GROUP BY ALL) a JOIN (SELECT rep, sl AS k, sum(m) AS m FROM c GROUP BY ALL) b ON a.rep = b.rep AND a.k = b.k GROUP BY a.rep)
-SELECT n.rep, round((po - s / n / n) / (1 - s / n / n), 6) AS kappa FROM n JOIN pe ON n.rep = pe.rep WHERE n >= 10""")
+SELECT n.rep, n::BIGINT AS n, round((po - s / n / n) / (1 - s / n / n), 6) AS kappa, round(po, 6) AS agreement, round(fa, 6) AS false_alarm FROM n JOIN pe ON n.rep = pe.rep JOIN (SELECT rep, coalesce(sum(m) FILTER (rl = 1 AND sl > 1), 0) / sum(m) FILTER (rl = 1) AS fa FROM c GROUP BY rep) f ON n.rep = f.rep WHERE n >= 10""")
 def bootstrap_kappa(spark, sf):
     """Confusion counts per cohort are made once and weighted by the draws."""
     counts = _levels(spark, sf).groupBy((F.col("o_custkey") % 25).alias("subj"), F.col("rl").alias("ref"), F.col("sl").alias("shown")).agg(F.count(F.lit(1)).alias("m"))
-    drawn = jo.replicate(counts, rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj").groupBy("rep", "ref", "shown").agg(F.sum(F.col("m") * F.col("mult")).alias("m"))
-    return me.kappa(drawn, ["rep"]).where("n >= 10").select("rep", r6("kappa", "kappa"))
+    d = ga.bootstrap_agreement(counts, [], rs.bootstrap_draws(spark, _NATIONS, _BOOT, "subj"), "subj")
+    return d.select("rep", "n", r6("kappa", "kappa"), r6("agreement", "agreement"), r6("false_alarm", "false_alarm"))
 
 
 @query("SMP5 TOP4 PRJ8", f"""WITH {_COHORT}, d(rep, subj, calib) AS (VALUES {_draw_sql("half")}), x AS (SELECT rep, calib, ae, q FROM s JOIN d ON s.subj = d.subj), n AS (SELECT rep, round_even(0.5 * count(*), 0) AS k FROM x WHERE calib GROUP BY rep),
@@ -432,14 +450,21 @@ def within_group_robustness(spark, sf):
     return a.groupBy("method").agg(F.count(F.lit(1)).alias("groups"), r6(F.median("aurc"), "median_aurc"), r6(F.min("aurc"), "least_aurc"))
 
 
-_GATES = f"""{_EST}, b AS (SELECT *, o_custkey % 10 AS subj, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS base, CASE WHEN ref >= 325000 THEN 3 WHEN ref >= 175000 THEN 2 ELSE 1 END AS rl, CASE WHEN est >= 325000 THEN 3 WHEN est >= 175000 THEN 2 ELSE 1 END AS sl FROM e WHERE est IS NOT NULL),
-t AS (SELECT f.subj AS fold, quantile_cont(b.q, 0.5) AS t50, quantile_cont(b.q, 0.75) AS t25 FROM (SELECT DISTINCT subj FROM b) f JOIN b ON b.subj <> f.subj GROUP BY f.subj),
-g AS (SELECT *, max(CASE WHEN base THEN q END) OVER (PARTITION BY o_custkey) AS bq FROM b), h AS (SELECT g.*, TRUE AS everything, coalesce(q >= t50 AND bq >= t50, FALSE) AS consistent50, coalesce(q >= t25 AND bq >= t25, FALSE) AS consistent25 FROM g JOIN t ON g.subj = t.fold)"""
+_GATES = f"""{_EST}, b AS (SELECT *, o_custkey % 10 AS subj, -est AS low, 1.1 * est AS est1, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS base, CASE WHEN ref >= 325000 THEN 3 WHEN ref >= 175000 THEN 2 ELSE 1 END AS rl, CASE WHEN est >= 325000 THEN 3 WHEN est >= 175000 THEN 2 ELSE 1 END AS sl,
+  CASE WHEN 1.1 * est >= 325000 THEN 3 WHEN 1.1 * est >= 175000 THEN 2 ELSE 1 END AS sl1 FROM e WHERE est IS NOT NULL),
+t AS (SELECT f.subj AS fold, quantile_cont(b.q, 0.5) AS t50, quantile_cont(b.q, 0.75) AS t25, quantile_cont(b.low, 0.5) AS e50, quantile_cont(b.low, 0.75) AS e25 FROM (SELECT DISTINCT subj FROM b) f JOIN b ON b.subj <> f.subj GROUP BY f.subj),
+g AS (SELECT *, max(CASE WHEN base THEN q END) OVER (PARTITION BY o_custkey) AS bq, max(CASE WHEN base THEN low END) OVER (PARTITION BY o_custkey) AS bl FROM b),
+h AS (SELECT g.*, TRUE AS everything, coalesce(q >= t50 AND bq >= t50, FALSE) AS consistent50, coalesce(q >= t25 AND bq >= t25, FALSE) AS consistent25, low >= e50 AND bl >= e50 AS low50, low >= e25 AND bl >= e25 AS low25 FROM g JOIN t ON g.subj = t.fold)"""
+#: Rules by name: the level and the score that they show, and the gate.
+_RULES = {"v1": ("sl1", "est1", "everything"), "v2": ("sl", "est", "everything")} | {n: ("sl", "est", n) for n in ("consistent50", "consistent25", "low50", "low25")}
 
 
 def _gated(spark, sf):
-    d = _levels(spark, sf).withColumns({"subj": F.col("o_custkey") % 10, "base": F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) == 1})
-    return ga.consistency_gates(d, "subj", "o_custkey", "base", "q", {"consistent50": 0.5, "consistent25": 0.25}).withColumn("everything", F.lit(True))
+    d = _levels(spark, sf).withColumns({"subj": F.col("o_custkey") % 10, "base": F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) == 1, "low": -F.col("est"), "est1": 1.1 * F.col("est")})
+    d = stage(d.withColumn("sl1", cl.band(F.col("est1"), 325000, 175000)), "minutes")
+    d = ga.consistency_gates(d, "subj", "o_custkey", "base", "q", {"consistent50": 0.5, "consistent25": 0.25})
+    d = ga.consistency_gates(d, "subj", "o_custkey", "base", "low", {"low50": 0.5, "low25": 0.25})
+    return d.withColumn("everything", F.lit(True))
 
 
 @query("EVL1 JN2 JN8", f"WITH {_GATES} SELECT subj, count(*) AS n, count(*) FILTER (consistent50) AS at50, count(*) FILTER (consistent25) AS at25 FROM h GROUP BY subj")
@@ -448,14 +473,24 @@ def consistency_gate(spark, sf):
     return _gated(spark, sf).groupBy("subj").agg(F.count(F.lit(1)).alias("n"), F.count_if("consistent50").alias("at50"), F.count_if("consistent25").alias("at25"))
 
 
-@query("EVL2 AGG10 AGG11 AGG19", f"""WITH {_GATES}, r AS (SELECT 'everything' AS rule, everything AS shown, rl, sl FROM h UNION ALL SELECT 'consistent50', consistent50, rl, sl FROM h UNION ALL SELECT 'consistent25', consistent25, rl, sl FROM h),
+_DISPLAY = f"""{_GATES}, r AS ({" UNION ALL ".join(f"SELECT '{n}' AS rule, {show} AS shown, rl, {level} AS sl, abs({score} - ref) AS gap, subj FROM h" for n, (level, score, show) in _RULES.items())}),
 c AS (SELECT rule, rl, sl, count(*) AS m FROM r WHERE shown GROUP BY ALL), n AS (SELECT rule, sum(m) AS n, sum(m) FILTER (rl = sl) / sum(m) AS po FROM c GROUP BY rule),
 pe AS (SELECT a.rule, sum(a.m * b.m) AS s FROM (SELECT rule, rl AS k, sum(m) AS m FROM c GROUP BY ALL) a JOIN (SELECT rule, sl AS k, sum(m) AS m FROM c GROUP BY ALL) b ON a.rule = b.rule AND a.k = b.k GROUP BY a.rule),
-f AS (SELECT rule, avg(shown::INT) AS coverage, avg((sl > 1)::INT) FILTER (shown AND rl = 1) AS fa, avg((sl = 1)::INT) FILTER (shown AND rl > 1) AS ms FROM r GROUP BY rule)
-SELECT f.rule, round(coverage, 6) AS coverage, n::BIGINT AS n, round((po - s / n / n) / (1 - s / n / n), 6) AS kappa, round(fa, 6) AS false_alarm, round(ms, 6) AS miss FROM f JOIN n ON f.rule = n.rule JOIN pe ON f.rule = pe.rule""")
+f AS (SELECT rule, avg(shown::INT) AS coverage, avg((sl > 1)::INT) FILTER (shown AND rl = 1) AS fa, avg((sl = 1)::INT) FILTER (shown AND rl > 1) AS ms, avg(gap) FILTER (shown) AS mae FROM r GROUP BY rule),
+d(rep, subj, mult) AS (VALUES {{draws}}), cs AS (SELECT rule, subj, rl, sl, count(*) AS m FROM r WHERE shown GROUP BY ALL), cr AS (SELECT rule, rep, rl, sl, sum(m * mult) AS m FROM cs JOIN d ON cs.subj = d.subj GROUP BY ALL),
+nr AS (SELECT rule, rep, sum(m) AS n, sum(m) FILTER (rl = sl) / sum(m) AS po, coalesce(sum(m) FILTER (rl = 1 AND sl > 1), 0) / sum(m) FILTER (rl = 1) AS fa FROM cr GROUP BY ALL),
+pr AS (SELECT a.rule, a.rep, sum(a.m * b.m) AS s FROM (SELECT rule, rep, rl AS k, sum(m) AS m FROM cr GROUP BY ALL) a JOIN (SELECT rule, rep, sl AS k, sum(m) AS m FROM cr GROUP BY ALL) b ON a.rule = b.rule AND a.rep = b.rep AND a.k = b.k GROUP BY ALL),
+ci AS (SELECT nr.rule, {", ".join(f"round(quantile_cont({x}, {p}), 6) AS {c}_{e}" for c, x in (("kappa", "(po - s / n / n) / nullif(1 - s / n / n, 0)"), ("agreement", "po"), ("false_alarm", "fa")) for e, p in (("lo", 0.025), ("hi", 0.975)))} FROM nr JOIN pr ON nr.rule = pr.rule AND nr.rep = pr.rep WHERE n >= 10 GROUP BY nr.rule)"""
+
+
+@query("EVL2 SMP3 AGG10 AGG11 AGG19", "WITH " + _DISPLAY.format(draws=_draws_sql(10)) + """
+SELECT f.rule, round(coverage, 6) AS coverage, n::BIGINT AS n, round((po - s / n / n) / nullif(1 - s / n / n, 0), 6) AS kappa, round(po, 6) AS agreement, round(fa, 6) AS false_alarm, round(ms, 6) AS miss, round(mae, 4) AS score_mae, ci.* EXCLUDE (rule) FROM f JOIN n ON f.rule = n.rule JOIN pe ON f.rule = pe.rule JOIN ci ON f.rule = ci.rule""")
 def display_rule_evaluation(spark, sf):
-    e = ga.evaluate_rules(_gated(spark, sf), ["everything", "consistent50", "consistent25"], "rl", "sl")
-    return e.select("rule", r6("coverage", "coverage"), "n", *[r6(c, c) for c in ("kappa", "false_alarm", "miss")])
+    """Two estimates shown always, and one behind gates of quality and of a low estimate, at two target shares: agreement of levels, with intervals over drawn cohorts."""
+    draws = rs.bootstrap_draws(spark, list(range(10)), _BOOT, "subj")
+    e = ga.evaluate_rules(_gated(spark, sf), _RULES, "rl", "ref", "subj", draws)
+    rates = ["kappa", "agreement", "false_alarm"]
+    return e.select("rule", r6("coverage", "coverage"), "n", *[r6(c, c) for c in (*rates, "miss")], F.round("score_mae", 4).alias("score_mae"), *[r6(f"{c}_{x}", f"{c}_{x}") for c in rates for x in ("lo", "hi")])
 
 
 @query("EVL4 AGG20", f"""WITH {_EST}, m AS (SELECT o_orderkey % 2 AS half, abs(est - ref) AS ae, coalesce(q, -1) AS s FROM e WHERE est IS NOT NULL), l AS (SELECT half, lim, (ae <= lim)::INT AS y, s FROM m, (VALUES (5000), (10000), (20000)) AS t(lim)),
@@ -468,17 +503,6 @@ def label_threshold_sensitivity(spark, sf):
     return me.auroc(long, ["half", "lim"], "s", "y").select("half", "lim", r6("auroc", "auroc"))
 
 
-def _draws_sql(n: int) -> str:
-    """Replicates that draw n numbered cohorts with replacement, as rows (rep, cohort, mult)."""
-    import numpy as np
-
-    random, rows = np.random.default_rng(rs.SEED), []
-    for rep in range(_BOOT):
-        drawn, m = np.unique(random.choice(n, n), return_counts=True)
-        rows += [f"({rep}, {i}, {k})" for i, k in zip(drawn.tolist(), m.tolist())]
-    return ", ".join(rows)
-
-
 #: Five participants times twelve months.
 _BLOCKS = 60
 
