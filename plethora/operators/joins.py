@@ -1,16 +1,12 @@
-"""Joins: as-of, bucketed interval, nearest match and replicate joins.
+"""Joins with small sides: parameter tables, validated and self-derived dimensions, splits by subject, replicates.
 
-Spark has no as-of join. ``asof`` puts both sides in one sorted pass (a union and a window per key), so each row is
-shuffled once and no pairs are made. Sides that are broadcast are parameter tables built in the driver, checked by
-``small``.
+Sides that are broadcast are checked by ``small``. As-of joins are in ``asof``, matches within a tolerance in ``matching``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,61 +40,6 @@ def attach_first(df: DataFrame, keys: list[str], is_first: Column, value: str, o
     return df.withColumn(out, F.first(F.when(is_first, F.col(value)), True).over(Window.partitionBy(*keys)))
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, time: str, inclusive: bool = False, take: str | None = None, out: str = "prev") -> DataFrame:
-    """left with out: the time (or the column `take`) of the last right row of its key before it (or at its time, if inclusive). time: a long."""
-    take = take or time
-    marked = left.withColumns({"_right": F.lit(None).cast(right.schema[time].dataType), "_take": F.lit(None).cast(right.schema[take].dataType), "_side": F.lit(0)})
-    other = right.select(F.col(key), F.col(time), F.col(time).alias("_right"), F.col(take).alias("_take"), F.lit(1).alias("_side"))
-    both = marked.unionByName(other, allowMissingColumns=True)
-    last = F.max(F.when(F.col("_right").isNotNull(), F.struct("_right", "_take"))).over(Window.partitionBy(key).orderBy(time).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    return both.withColumn("_found", last).where("_side = 0").withColumn(out, F.col("_found")["_take"]).drop("_right", "_take", "_side", "_found")
-
-
-def matched_pairs(found: np.ndarray, wanted: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """(wanted, found) numbers of sorted times: each wanted time in turn takes the nearest free one of the found times beside it.
-
-    Neighbours and gaps come from one search; only whether a time is still free depends on the turns before.
-    """
-    right = np.searchsorted(found, wanted)
-    beside = np.stack([right - 1, right], 1)
-    wide = np.concatenate([[-np.inf], found, [np.inf]])
-    gap = np.abs(wide[beside + 1] - wanted[:, None])
-    order = np.argsort(gap, axis=1, kind="stable")  # of equal gaps the earlier time comes first
-    sides = np.where(np.take_along_axis(gap, order, 1) <= tolerance, np.take_along_axis(beside, order, 1), -1)
-    free, pairs = np.ones(len(found), bool), []
-    for k, sides_of in enumerate(sides.tolist()):
-        for j in sides_of:
-            if j >= 0 and free[j]:
-                free[j] = False
-                pairs.append((k, j))
-                break
-    return pairs
-
-
-def nearest_match(detected: DataFrame, reference: DataFrame, key: str, time: str, tolerance: float) -> DataFrame:
-    """key, ref_time, det_time: greedy one-to-one matches in the order of the reference, each to the nearer free one of its two neighbours.
-
-    Each match depends on those before it, so a recording (the unit that is bounded by its length) is one group.
-    """
-
-    def match(keys: tuple, det: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        d, r = np.sort(det[time].to_numpy()), np.sort(ref[time].to_numpy())
-        pairs = matched_pairs(d, r, tolerance)
-        return pd.DataFrame({key: [keys[0]] * len(pairs), "ref_time": [r[i] for i, _ in pairs], "det_time": [d[j] for _, j in pairs]})
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = f"{key} {kind(reference, key)}, ref_time {kind(reference, time)}, det_time {kind(detected, time)}"
-    return detected.select(key, time).groupBy(key).cogroup(reference.select(key, time).groupBy(key)).applyInPandas(match, schema)
-
-
-def match_summary(matches: DataFrame, detected: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """Sensitivity, positive predictive value and median absolute timing error of each recording."""
-    n = reference.groupBy(key).agg(F.count(F.lit(1)).alias("n_ref")).join(detected.groupBy(key).agg(F.count(F.lit(1)).alias("n_det")), key, "full")
-    hits = matches.groupBy(key).agg(F.count(F.lit(1)).alias("tp"), F.median(F.abs(F.col("det_time") - F.col("ref_time"))).alias("error"))
-    tp = F.coalesce("tp", F.lit(0))
-    return n.join(hits, key, "left").select(key, tp.alias("tp"), F.when(F.col("n_ref") > 0, tp / F.col("n_ref")).alias("sensitivity"), F.when(F.col("n_det") > 0, tp / F.col("n_det")).alias("ppv"), "error")
-
-
 def subject_split(df: DataFrame, key: str, subjects: DataFrame, inside: bool = True) -> DataFrame:
     return df.join(small(subjects.select(key).distinct()), key, "left_semi" if inside else "left_anti")
 

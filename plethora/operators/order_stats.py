@@ -55,6 +55,23 @@ def running(df: DataFrame, keys: list[str], order: list[Column], out: str, weigh
     return running_sums(df, keys, order, {out: weight}, {total: out} if total else None)
 
 
+def running_max(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], inclusive: bool = True, ties: bool = False) -> DataFrame:
+    """Per name the greatest value (of a type with an order, NULLs left out) of the group's rows up to this one, or before it.
+
+    ties: rows of equal order count as one place; order is then one column. Rows are dealt by ranges; the greatest of the
+    ranges before comes from a small table, so one group may hold most rows.
+    """
+    held = {f"_m{k}": v for k, v in enumerate(values.values())}
+    d = by_range(df.withColumns(held), keys, order).withColumnRenamed("_part", "_range")
+    per = d.groupBy("_range", *keys).agg(*[F.max(m).alias(m) for m in held])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = _renamed(per, keys, F.col("_range").alias("_part"), *[F.max(m).over(before).alias(f"{m}_before") for m in held])
+    w = Window.partitionBy("_range", *keys).orderBy(*order)
+    w = (w.rangeBetween if ties else w.rowsBetween)(Window.unboundedPreceding, 0 if inclusive else -1)
+    d = d.withColumns({f"{m}_local": F.max(m).over(w) for m in held}).join(small(per), (F.col("_range") == F.col("_part")) & _same(keys))
+    return d.select(*df.columns, *[F.greatest(f"{m}_local", f"{m}_before").alias(out) for out, m in zip(values, held)])
+
+
 def picked(df: DataFrame, keys: list[str], value: str | Column, at: Callable[[Column], dict[str, Column]], weight: str | None = None, bucket: Column | None = None, points: int = 1) -> DataFrame:
     """keys, n (known values, weighted) and the values at positions (from 0; between two they are interpolated; NULL gives NULL).
 

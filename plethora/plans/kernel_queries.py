@@ -19,12 +19,16 @@ from plethora.operators import optional as op
 from plethora.operators import order_stats as os
 from plethora.operators import ranking as ra
 from plethora.operators import replay as re
+from plethora.operators import slices as sl
+from plethora.operators.matching import match_summary, nearest_match
 from plethora.operators.windows import last_n, packet_index, tumbling
 from plethora.plans.registry import EV, events, query, r6, read
 from plethora.sources import synthetic as sy
 from plethora.sources.shared import stage
 from plethora.streaming import streams as st
 
+#: Rows of a slice of a user's events, so that their few hundred make several.
+_SLICE = 64
 _HP, _LP = butterworth2(100.0, 0.5, "high"), butterworth2(100.0, 3.5, "low")
 
 
@@ -46,17 +50,9 @@ _Y, _P, _Q = _df2t("ev.value", _HP, "f.p", "f.q")
 UNION ALL SELECT ev.rec, ev.i, {_Y}, {_P}, {_Q} FROM f JOIN ev ON ev.rec = f.rec AND ev.i = f.i + 1)
 SELECT rec, i, round(y, 6) AS filtered FROM f""")
 def biquad_filter(spark, sf):
-    """One high-pass section over each user's values, as a fold that carries two registers."""
-    b0, b1, b2, a1, a2 = (F.lit(v) for v in _HP)
-
-    def step(s, x):
-        y = b0 * x + s["p"]
-        return F.struct((b1 * x - a1 * y + s["q"]).alias("p"), (b2 * x - a2 * y).alias("q"), F.array_append(s["out"], y).alias("out"))
-
-    d = _samples(spark, sf).groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda v: v["value"]).alias("x"))
-    empty = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.array().cast("array<double>").alias("out"))
-    d = d.select("rec", F.posexplode(F.aggregate("x", empty, step, lambda s: s["out"])).alias("i", "y"))
-    return d.select("rec", F.col("i").cast("long").alias("i"), r6("y", "filtered"))
+    """One high-pass section over each user's values, in slices that know the state they start from."""
+    d = sl.filtered(events(spark, sf), ["rec"], ["us", "event_id"], "value", [_HP], _SLICE)
+    return d.select("rec", "i", r6("filtered", "filtered"))
 
 
 def _both(x: str, hp: tuple[str, str], lp: tuple[str, str]) -> list[str]:
@@ -73,7 +69,9 @@ _BAND = lambda x, hp, lp: ", ".join(f"{c} AS {n}" for c, n in zip(_both(x, hp, l
 UNION ALL SELECT ev.rec, ev.i, {_BAND("ev.value", ("f.p", "f.q"), ("f.u", "f.v"))} FROM f JOIN ev ON ev.rec = f.rec AND ev.i = f.i + 1)
 SELECT rec, i, round(y, 6) AS filtered FROM f""")
 def band_pass_grouped(spark, sf):
-    return re.band_passed(_samples(spark, sf), ["rec"], "i", "value", 100.0, dealt=True).select("rec", "i", r6("filtered", "filtered"))
+    """A high pass and a low pass, in slices that know the state they start from."""
+    d = sl.filtered(events(spark, sf), ["rec"], ["us", "event_id"], "value", [_HP, _LP], _SLICE)
+    return d.select("rec", "i", r6("filtered", "filtered"))
 
 
 @query("SIG7 SIG12 JN11 STR5")
@@ -144,8 +142,8 @@ def _detections(spark, sf):
 def r_detector_validation(spark, sf):
     """Detections of every user's ECG against the beats in it, within 50 ms: sensitivity, predictive value, timing error. Tests ask for 0.99."""
     found, true = _detections(spark, sf)
-    matches = jo.nearest_match(found, true, "rec", "ms", 50.0)
-    return jo.match_summary(matches, found, true, "rec").select("rec", "tp", r6("sensitivity", "sensitivity"), r6("ppv", "ppv"), r6("error", "error_ms"))
+    matches = nearest_match(found, true, "rec", "ms", 50.0)
+    return match_summary(matches, found, true, "rec").select("rec", "tp", r6("sensitivity", "sensitivity"), r6("ppv", "ppv"), r6("error", "error_ms"))
 
 
 @query("SIG16 SIG19")

@@ -15,6 +15,8 @@ from plethora.operators import order_stats as os
 from plethora.operators import ranking as ra
 from plethora.operators import replicates as rp
 from plethora.operators import resampling as rs
+from plethora.operators.asof import asof
+from plethora.operators.matching import match_summary, nearest_match
 from plethora.plans.registry import EV, events, query, r6, read
 from plethora.sources.shared import stage
 
@@ -23,7 +25,7 @@ from plethora.sources.shared import stage
 SELECT c.rec, c.event_id, round((c.us - p.us) / 1000.0, 6) AS lag_ms FROM c ASOF LEFT JOIN p ON c.rec = p.rec AND c.us > p.us""")
 def asof_prev_event_lag(spark, sf):
     ev = events(spark, sf)
-    d = jo.asof(ev.where("activity = 'click'").select("rec", "event_id", "us"), ev.where("activity = 'purchase'").select("rec", "us"), "rec", "us")
+    d = asof(ev.where("activity = 'click'").select("rec", "event_id", "us"), ev.where("activity = 'purchase'").select("rec", "us"), "rec", "us")
     return d.select("rec", "event_id", r6((F.col("us") - F.col("prev")) / 1000.0, "lag_ms"))
 
 
@@ -31,7 +33,7 @@ def asof_prev_event_lag(spark, sf):
 SELECT c.rec, c.event_id, round(p.value, 6) AS value FROM c ASOF LEFT JOIN p ON c.rec = p.rec AND c.us >= p.us""")
 def asof_inclusive_value(spark, sf):
     ev = events(spark, sf)
-    d = jo.asof(ev.select("rec", "event_id", "us"), ev.where("activity = 'purchase'").select("rec", "us", "value"), "rec", "us", inclusive=True, take="value", out="found")
+    d = asof(ev.select("rec", "event_id", "us"), ev.where("activity = 'purchase'").select("rec", "us", "value"), "rec", "us", inclusive=True, take="value", out="found")
     return d.select("rec", "event_id", r6("found", "value"))
 
 
@@ -47,7 +49,7 @@ def tick_stream_from_beats(spark, sf):
     beats = ev.select("rec", "us", F.struct(F.count("v").over(last_n("rec", 60, "us", "event_id")).alias("n"), F.coalesce(rate_of_last("v", last_n("rec", 10, "us", "event_id"), 1)).alias("hr")).alias("state"))
     day = 86_400_000_000
     ticks = ev.select("rec", ((F.floor(F.col("us") / day) + 1) * day).alias("us")).distinct()
-    return jo.asof(ticks, beats, "rec", "us", inclusive=True, take="state", out="s").select("rec", F.col("us").alias("tick"), F.col("s.n").alias("n"), r6("s.hr", "hr"))
+    return asof(ticks, beats, "rec", "us", inclusive=True, take="state", out="s").select("rec", F.col("us").alias("tick"), F.col("s.n").alias("n"), r6("s.hr", "hr"))
 
 
 @query("JN3 AGG16 EVL7", f"""WITH {EV}, p AS (SELECT rec, us FROM ev WHERE activity = 'purchase'), c AS (SELECT rec, event_id, us FROM ev WHERE activity = 'click'),
@@ -58,7 +60,7 @@ def fiducial_missed_multi(spark, sf):
     """Purchases play R peaks, clicks pulses: per recording the share of beats without and with several pulses."""
     ev = events(spark, sf)
     r = ev.where("activity = 'purchase'").select("rec", "us")
-    hits = jo.asof(ev.where("activity = 'click'").select("rec", "event_id", "us"), r, "rec", "us").where("prev IS NOT NULL").groupBy("rec", F.col("prev").alias("us")).agg(F.count(F.lit(1)).alias("k"))
+    hits = asof(ev.where("activity = 'click'").select("rec", "event_id", "us"), r, "rec", "us").where("prev IS NOT NULL").groupBy("rec", F.col("prev").alias("us")).agg(F.count(F.lit(1)).alias("k"))
     d = r.join(hits, ["rec", "us"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     share = lambda c: F.round(100 * F.avg(c.cast("double")), 6)
     return d.groupBy("rec").agg(F.count(F.lit(1)).alias("n_r"), share(F.col("k") == 0).alias("missed_pct"), share(F.col("k") >= 2).alias("multi_pct"))
@@ -77,8 +79,8 @@ def nearest_match_tol(spark, sf):
     """Greedy matches within three hours; tests hold them against a plain loop too."""
     ev = events(spark, sf)
     det, ref = ev.where("activity = 'click'").select("rec", "us"), ev.where("activity = 'view'").select("rec", "us")
-    matches = jo.nearest_match(det, ref, "rec", "us", 3 * 3.6e9)
-    return jo.match_summary(matches, det, ref, "rec").select("rec", "tp", r6("sensitivity", "sensitivity"), r6("ppv", "ppv"), r6("error", "error_us"))
+    matches = nearest_match(det, ref, "rec", "us", 3 * 3.6e9)
+    return match_summary(matches, det, ref, "rec").select("rec", "tp", r6("sensitivity", "sensitivity"), r6("ppv", "ppv"), r6("error", "error_us"))
 
 
 @query("JN1 JN2 PRJ10", f"""WITH {EV}, u AS (SELECT rec, avg(value) AS q FROM ev GROUP BY rec), b AS (SELECT rec, value AS base FROM ev WHERE i = 0)

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from plethora.operators import cleaning as cl
 from plethora.operators import intervals as iv
 from plethora.operators import windows as wi
+from plethora.operators import slices as sl
 from plethora.plans.registry import EV, events, query, r6, read
 
 DAY_US = 86_400_000_000
 
 
+#: Rows of a slice of a user's events, so that their few hundred make several.
+_SLICE = 64
+
+
 @query("SIG9 WIN4", f"""WITH {EV}, d AS (SELECT rec, value - lag(value) OVER (PARTITION BY rec ORDER BY i) AS diff FROM ev)
 SELECT rec, count(*) AS n, round(coalesce(sqrt(avg(diff * diff)), 0), 6) AS rmssd FROM d GROUP BY rec""")
 def rmssd_by_user(spark, sf):
@@ -42,8 +47,9 @@ m AS (SELECT p.rec, p.i, any_value(p.v) AS v, quantile_disc(q.v, 0.5) AS med FRO
 
 @query("SIG20", f"WITH {_PAD} SELECT rec, i, round(med, 6) AS med FROM m")
 def median11_filter(spark, sf):
-    d = wi.packet_index(events(spark, sf), "rec", "us", "event_id").withColumn("v", F.col("value") * 20 + 300)
-    return d.select("rec", F.col("i").cast("long").alias("i"), r6(iv.centred_median("v", Window.partitionBy("rec").orderBy("i")), "med"))
+    """In slices of a recording that carry five rows of either neighbour."""
+    d, w = sl.haloed(events(spark, sf).withColumn("v", F.col("value") * 20 + 300), ["rec"], [F.asc("us"), F.asc("event_id")], 5, 5, _SLICE)
+    return sl.own_rows(d.withColumn("med", iv.centred_median("v", w))).select("rec", F.col("i").cast("long").alias("i"), r6("med", "med"))
 
 
 @query("AGG22 SIG20", f"""WITH {_PAD}, o AS (SELECT *, v BETWEEN 300 AND 2000 AND abs(v - med) <= 0.2 * med AS ok FROM m),
@@ -95,12 +101,12 @@ s AS (SELECT *, CASE WHEN n < 5 THEN 'warmup' WHEN dc < 10 THEN 'presence' WHEN
 z AS (SELECT *, least(1, mod / 4) AS score, CASE WHEN mod > 3 THEN 0 WHEN mod > 2 THEN 0.5 ELSE 1 END::DOUBLE AS penalty FROM s)
 SELECT rec, i, CASE WHEN early <> '' THEN early WHEN score < 0.1 THEN 'zombie' ELSE '' END AS reject, round(CASE WHEN early <> '' OR score < 0.1 THEN 0 ELSE least(1, (0.4 * score + 0.6 * per) * penalty) END, 6) AS sqi FROM z""")
 def rolling_sqi_parts(spark, sf):
-    """The ungated quality index over frames of rows; thresholds scaled to the events' values."""
-    d = wi.packet_index(events(spark, sf), "rec", "us", "event_id")
-    w, v = wi.last_n("rec", 10, "i"), wi.last_n("rec", 60, "i")
+    """The ungated quality index over frames of rows, in slices of a recording that carry the rows before them; thresholds scaled to the events' values."""
+    d, within = sl.haloed(events(spark, sf), ["rec"], [F.asc("us"), F.asc("event_id")], 60, 0, _SLICE)
+    w, v = within.rowsBetween(-9, 0), within.rowsBetween(-59, 0)
     mean, swing = F.avg("value").over(w), F.max("value").over(w) - F.min("value").over(w)
     early = F.when(F.count("value").over(w) < 5, "warmup").when(mean < 10, "presence").when(swing < 0.001, "flat").otherwise("")
-    d = d.select("rec", F.col("i").cast("long").alias("i"), early.alias("early"), (swing / mean).alias("mod"), iv.periodicity("value", v).alias("per"))
+    d = sl.own_rows(d.select("rec", "_slice", "_own", F.col("i").cast("long").alias("i"), early.alias("early"), (swing / mean).alias("mod"), iv.periodicity("value", v).alias("per")))
     d = d.withColumns({"score": F.least(F.lit(1.0), F.col("mod") / 4), "penalty": F.when(F.col("mod") > 3, 0.0).when(F.col("mod") > 2, 0.5).otherwise(1.0)})
     reject = F.when(F.col("early") != "", F.col("early")).when(F.col("score") < 0.1, "zombie").otherwise("")
     return d.withColumn("reject", reject).select("rec", "i", "reject", r6(F.when(F.col("reject") != "", 0.0).otherwise(F.least(F.lit(1.0), (0.4 * F.col("score") + 0.6 * F.col("per")) * F.col("penalty"))), "sqi"))

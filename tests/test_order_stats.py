@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plethora.operators import joins, metrics, order_stats, ranking
+from plethora.operators import matching, metrics, order_stats, ranking
 
 
 @pytest.fixture(scope="module")
@@ -85,4 +85,4 @@ def test_matched_pairs_against_the_rule():
             if free:
                 taken.add(free[0][1])
                 want.append((k, free[0][1]))
-        assert joins.matched_pairs(d, w, 1.5) == want
+        assert matching.matched_pairs(d, w, 1.5) == want

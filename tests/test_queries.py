@@ -28,7 +28,7 @@ def test_stream_equals_batch(spark):
 
 
 def test_nearest_match_against_a_loop(spark):
-    from plethora.operators.joins import nearest_match
+    from plethora.operators.matching import nearest_match
 
     det = spark.createDataFrame([(1, 10.0), (1, 11.0), (1, 30.0), (2, 5.0)], "k int, t double")
     ref = spark.createDataFrame([(1, 10.6), (1, 10.9), (1, 29.0), (3, 1.0)], "k int, t double")
