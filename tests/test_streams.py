@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plethora.functions import pulse, stress
 from plethora.operators.intervals import centred_median
 from plethora.plans import QUERIES
-from plethora.sources.shared import fresh_path
+from plethora.sources.shared import delete, fresh_path
 from plethora.streaming import streams as st
 from tests.conftest import SF
 
@@ -46,3 +46,37 @@ def test_gaps_do_not_shift_a_centred_median(spark):
         near = [values[min(max(j, 0), 9)] for j in range(k - 2, k + 3)]
         known = sorted(v for v in near if v is not None)
         assert got[k] == (known[len(known) // 2] if known else None)
+
+
+def test_a_stopped_stream_goes_on_from_its_checkpoint(spark):
+    """The first run ends after some files; a second one, of new objects, takes up typed states and late counts."""
+    x = np.random.default_rng(5).random(240) * 10 + 100
+    source, base = fresh_path(spark, "stream_in"), fresh_path(spark, "stream_state")
+    for turn, (low, high) in enumerate(((0, 90), (90, 150), (140, 240))):
+        spark.createDataFrame([(r, k, float(x[k] + len(r))) for r in ("a", "bb") for k in range(low, high)], "rec string, o long, x double").coalesce(1).write.mode("append").parquet(source)
+        made = st.pulse_ticks(st.read_table(spark, source, per_trigger=1), "rec", "o", "x", pulse.Settings(fs=4.0), idle=None)
+        got = st.run_to_table(made, "append", base=base)
+    for rec in ("a", "bb"):
+        want = pulse.replay(x + len(rec), pulse.Settings(fs=4.0))["ticks"]
+        own = got.where(F.col("rec") == rec).orderBy("sample").collect()
+        assert [(r["sample"], r["n_intervals"]) for r in own] == [(t["sample"], t["n_intervals"]) for t in want] and all(abs(r["sqi"] - t["sqi"]) < 1e-12 for r, t in zip(own, want))
+
+
+def test_a_repeated_batch_is_in_the_table_once(spark):
+    """As after a failure between the sink and the commit: the last batch's commit is gone, so it is made again."""
+    source, base = fresh_path(spark, "stream_in"), fresh_path(spark, "stream_state")
+    spark.range(10).coalesce(1).write.parquet(source)
+    assert st.run_to_table(st.read_table(spark, source), "append", base=base).count() == 10
+    delete(spark, f"{base}/checkpoint/commits/0")
+    assert st.run_to_table(st.read_table(spark, source), "append", base=base).count() == 10
+
+
+def test_states_pack_and_unpack():
+    kernel = stress.start()
+    for k in range(90):
+        stress.step(kernel, 60 + k % 7, None if k % 5 == 0 else 40.0, True)
+    assert st.StressState.unpack(*st.StressState.pack(kernel)) == kernel
+    kernel = pulse.start()
+    pulse.advance(kernel, np.random.default_rng(1).random(200) + 100, pulse.Settings(fs=4.0))
+    back = st.PulseState.unpack(*st.PulseState.pack(kernel))
+    assert all(np.array_equal(back[k], kernel[k]) for k in kernel)
