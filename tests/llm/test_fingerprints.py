@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from plethora.llm import chunking
 from plethora.llm import fingerprints as fp
 from plethora.llm.chunking import MAX, MIN, chunk_sets, containment
 
@@ -39,6 +40,56 @@ def test_neighbours_against_a_loop(spark, odd, empty):
     assert same.columns == [*odd.columns, "fingerprint"]
 
 
+def plain_chunks(data):
+    """The chunks of a text one byte at a time: (digest, length) of each distinct one."""
+    whole, found, start = 1 << 64, set(), 0
+    gear = lambda p: sum(int(chunking._GEAR[data[p - j]]) << (4 * j) for j in range(8)) % (1 << 32)
+    while start < len(data):
+        end = len(data)
+        for p in range(start + chunking.MIN - 1, len(data)):
+            size = p + 1 - start
+            if size > chunking.MAX:
+                break
+            if gear(p) < 1 << (32 - (chunking.STRICT if size <= chunking.NORMAL else chunking.LOOSE)) or size == chunking.MAX:
+                end = p + 1
+                break
+        part = data[start:end]
+        h = (sum(int(chunking._VALUE[c]) * int(chunking._PLACE[k]) for k, c in enumerate(part)) + len(part)) % whole
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * factor % whole
+        found.add(((h ^ h >> 33) >> 24, len(part)))
+        start = end
+    return found
+
+
+def plain_likeness(a, b):
+    if not a:
+        return 1.0 if not b else 0.0
+    return sum(n for d, n in a if (d, n) in b) / sum(n for _, n in a)
+
+
+def as_set(fingerprint):
+    return {(int(x) >> 8, int(x) & 255) for x in fp.unpacked(fingerprint)}
+
+
+def test_fingerprints_and_likenesses_against_a_plain_loop(spark, odd):
+    """Boundaries, digests and both likenesses of whole texts, byte by byte."""
+    from tests.conftest import SF
+
+    for docs in (spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 6000"), odd.where("text IS NULL OR length(text) < 6000").dropDuplicates(["doc_id"])):
+        rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0)))
+        got = {r["id"]: r for r in fp.neighbours(docs).collect()}
+        assert len(got) == len(rows)
+        sets = [plain_chunks(t.encode()) for _, t in rows]
+        for k, (i, t) in enumerate(rows):
+            after = (k + 1) % len(rows)
+            cut = len(t) // 3
+            edited = plain_chunks((t[: len(t) - cut] + rows[after][1][:cut]).encode())
+            r = got[i]
+            assert as_set(r["fingerprint"]) == sets[k] and as_set(r["edited_fingerprint"]) == edited
+            assert abs(r["near_edited"] - plain_likeness(sets[k], edited)) < 1e-12 and abs(r["near_next"] - plain_likeness(sets[k], sets[after])) < 1e-12
+
+
 def test_edited_is_nearer_than_next(spark):
     from tests.conftest import SF
 
