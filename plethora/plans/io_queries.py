@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plethora.operators import metrics as me
 from plethora.operators.windows import spread_row_number
 from plethora.operators import order_stats as os
+from plethora.operators import slices as sl
 from plethora.plans.registry import EV, events, query, r6, read
 from plethora.sources import files
 from plethora.sources.shared import fresh_path
@@ -124,3 +125,17 @@ def json_document_scan(spark, sf):
     path = fresh_path(spark, "reports")
     files.write_documents(g, path, "o_orderstatus")
     return files.json_report(spark, f"{path}/*", "o_orderstatus string, n long, top double")
+
+
+@query("SRC1 SRC2 SNK3", f"""WITH {EV} SELECT rec, i, round(round_even(value * 50, 0) / 50, 6) AS value FROM ev""")
+def wfdb_round_trip(spark, sf):
+    """Each user's events as a WFDB record of two signals, written and scanned again in spans: one channel of it."""
+    from plethora.sources import recordings
+
+    recordings.register(spark)
+    d = sl.numbered(events(spark, sf).select("rec", "us", "event_id", "value"), ["rec"], [F.asc("us"), F.asc("event_id")])
+    rows = d.select(F.col("rec").cast("string").alias("record"), "i", "value", F.lit(1.0).alias("gate")).repartition("record").sortWithinPartitions("record", "i")
+    path = fresh_path(spark, "wfdb")
+    rows.write.format("wfdb").mode("append").options(fs="4", gain="50").save(path)
+    back = spark.read.format("wfdb").options(signals="value", span="400").load(path)
+    return back.select(F.col("record").cast("long").alias("rec"), "i", r6("value", "value"))

@@ -118,9 +118,9 @@ def decimated_signal(spark, sf):
     return re.resampled(_samples(spark, sf), ["rec"], "i", "value", 1, 5, dealt=True).select("rec", "i", r6("x", "x"))
 
 
-def _signals(spark, sf, rate: float):
+def _signals(spark, sf, rate: float, **rough: float):
     """Each user's events as the intervals of a heart: rec, i, ecg, light (which drops with each pulse), motion."""
-    return sy.beat_signals(events(spark, sf).select("rec", "us", "event_id", (900 + 6 * F.col("value")).alias("rr")), "rec", ["us", "event_id"], "rr", rate)
+    return sy.beat_signals(events(spark, sf).select("rec", "us", "event_id", (900 + 6 * F.col("value")).alias("rr")), "rec", ["us", "event_id"], "rr", rate, **rough)
 
 
 @query("F1-F24 DM10 SIG17 SIG18")
@@ -205,7 +205,7 @@ def stress_sessions(spark, sf):
     return re.stress_scores(d, ["rec", "session"], "i", "hr", "hrv", "gate")
 
 
-@query("MAP DM14 STR3", """SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'calm' WHEN 2 THEN 'aroused' WHEN 3 THEN 'stressed' END AS level FROM events""")
+@query("MAP DM14", """SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'calm' WHEN 2 THEN 'aroused' WHEN 3 THEN 'stressed' END AS level FROM events""")
 def level_names(spark, sf):
     """Levels by name, looked up in a map; numbers that name no level give NULL."""
     return read(spark, sf, "events").select("user_id", "event_id", cl.looked_up(NAMES, F.col("event_id") % 5).alias("level"))
@@ -217,7 +217,7 @@ def _stream(spark, sf):
     return st.read_table(spark, f"{sf}/events.parquet").withColumn("at", F.timestamp_micros(us))
 
 
-@query("STR2 WIN1", """SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
+@query("WIN1", """SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
 def stream_tumbling(spark, sf):
     """Daily counts of the events as a stream with a watermark; complete results, of which the last stays."""
     s = _stream(spark, sf).select("at", "event_type", "value")
@@ -298,7 +298,7 @@ def logistic_good(spark, sf):
     return me.auroc(out.withColumn("y", F.col("good").cast("int")), ["subject"], "score", "y").withColumn("auroc", r6("auroc"))
 
 
-@query("ML3 TOP9")
+@query("ML3")
 def gbm_loso(spark, sf):
     """Each subject under boosted trees of all others: importance of each feature, and the error on the held one."""
     rows = _folds(spark, _windows_of_orders(spark, sf))
@@ -360,6 +360,37 @@ def method_evaluation(spark, sf):
     return ev.evaluate_methods(d, ["method"], "score", "ae", "y", "ref", "o_orderkey").select("method", *[r6(c, c) for c in ("aurc", "at50", "auroc", "gap_closed", "ref_kept", "ref_dropped")])
 
 
+# The features that rank alone.
+ALONE = ["sqi_full", "sqi_per", "acc_sd", "tmpl_corr_mean", "reject_frac", "rr_diff_max_rel", "skewness", "spec_purity"]
+
+
+def _feature_windows(spark, sf):
+    """Windows of every user's noisy, shaken light: rec, win, the 24 features, ref (RMSSD of the true intervals in the window), ae (error of the light's RMSSD; NULL without one), five subjects."""
+    f = re.window_features(_signals(spark, sf, 50.0, noise=0.1, shaken=1.5), ["rec"], "i", "light", "motion", 50.0)
+    w = Window.partitionBy("rec").orderBy("us", "event_id")
+    beats = events(spark, sf).select("rec", "us", "event_id", (900 + 6 * F.col("value")).alias("rr"))
+    beats = beats.withColumn("win", tumbling(F.sum("rr").over(w.rowsBetween(Window.unboundedPreceding, 0)) / 1000))
+    step = F.col("rr") - F.lag("rr").over(Window.partitionBy("rec", "win").orderBy("us", "event_id"))
+    true = beats.withColumn("step", step).groupBy("rec", "win").agg(F.sqrt(F.avg(F.col("step") * F.col("step"))).alias("ref")).where("ref IS NOT NULL")
+    d = f.withColumn("win", F.round((F.col("t0") - 10) / 60).cast("long")).drop("t0").join(true, ["rec", "win"])
+    return stage(d.withColumns({"subject": F.col("rec") % 5, "ae": F.abs(F.col("ppg_rmssd") - F.col("ref")), "id": F.col("rec") * 100_000 + F.col("win")}), "feature_windows")
+
+
+@query("ML1 ML2 ML3 ML4 ML5 ML7 TOP6 TOP7 AGG20 EVL6 F1-F24")
+def quality_models(spark, sf):
+    """The feature table under every method, out of fold: eight single features, logistic, boosted trees, boosted trees without RMSSD, and the oracle. Area, half-coverage risk, AUROC of good windows, gap closed, references kept and dropped."""
+    d = _feature_windows(spark, sf)
+    rows = _folds(spark, d)
+    features = list(re.FEATURES)
+    s = mo.method_scores(rows, features, "ae", F.col("ae") <= GOOD_MS, {"gbm_no_rmssd": [c for c in features if c != "ppg_rmssd"]}, alone=ALONE)
+    s = stage(s.where("ae IS NOT NULL").select("id", "method", "score", "ae", (F.col("ae") <= GOOD_MS).cast("int").alias("y"), "ref"), "scores")
+    return ev.evaluate_methods(s, ["method"], "score", "ae", "y", "ref", "id").select("method", *[r6(c, c) for c in ("aurc", "at50", "auroc", "gap_closed", "ref_kept", "ref_dropped")])
+
+
+#: An error up to this is good.
+GOOD_MS = 5.0
+
+
 @query("ML6 ML5 TOP6")
 def cross_site_transfer(spark, sf):
     """Methods fitted on one site and ranked on the other, both ways."""

@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 
 from plethora.sources import files
@@ -88,3 +89,29 @@ def test_display_protocol():
     from plethora.operators.gates import frozen_protocol
 
     assert frozen_protocol(0.6, 0.62, 0.3)["passed"] and not frozen_protocol(0.5, 0.62, 0.3)["passed"] and not frozen_protocol(0.6, 0.6, 0.2)["passed"]
+
+
+def test_wfdb_source_and_sink(spark):
+    """Records of several spans, gaps, one channel of two, and rows that are not in order."""
+    from plethora.sources import recordings
+    from plethora.sources.files import wfdb
+    from plethora.sources.shared import fresh_path
+
+    recordings.register(spark)
+    rows = [(f"r{k}", i, None if i % 7 == 0 else i * 0.25 + k, float(-i)) for k in range(5) for i in range(30 * k + 1)]
+    path = fresh_path(spark, "wfdb")
+    df = spark.createDataFrame(rows, "record string, i long, light double, motion double").repartition(3, "record").sortWithinPartitions("record", "i")
+    df.write.format("wfdb").mode("append").options(fs="64", gain="200").save(path)
+    read = spark.read.format("wfdb").option("span", "40").load(path)
+    assert read.rdd.getNumPartitions() > 20
+    got = sorted((r["record"], r["i"], r["signal"], r["value"], r["fs"]) for r in read.collect())
+    assert got == sorted([(a, i, "light", x, 64.0) for a, i, x, _ in rows] + [(a, i, "motion", y, 64.0) for a, i, _, y in rows])
+    plain = sorted((r["record"], r["i"], r["signal"], r["value"], r["fs"]) for r in wfdb(spark, path).collect())
+    assert plain == got
+    one = spark.read.format("wfdb").option("signals", "motion").load(path)
+    assert {r["signal"] for r in one.collect()} == {"motion"} and one.count() == len(rows)
+    for bad, said in (([("x", 1, 0.0, 0.0)], "no sample 0"), ([("x", 0, 1e6, 0.0)], "beyond 16 bits")):
+        with pytest.raises(Exception, match=said):
+            spark.createDataFrame(bad, df.schema).write.format("wfdb").mode("append").save(fresh_path(spark, "wfdb"))
+    spark.createDataFrame([], df.schema).write.format("wfdb").mode("append").save(empty := fresh_path(spark, "wfdb"))
+    assert spark.read.format("wfdb").load(empty).count() == 0
