@@ -12,7 +12,9 @@ The split into pieces follows the tokenizer's pattern; equal pieces are merged o
 memory of a worker. Documents stream through Arrow batches, nothing is shuffled, and a lost executor's partitions are
 simply encoded again. Very long texts go piece by piece, ``BLOCK`` pieces at a time, so that memory stays bounded.
 
-Defined results: a null text counts as empty and gives no ids. Repeated rows, null ids and extra columns have no effect.
+Defined results: a null text counts as empty and gives no ids. Repeated rows, null ids and ties have no effect on each other; extra
+columns pass through, whatever their names, but for one named like the result, which is replaced. Very long texts are encoded in blocks
+of pieces. An empty table stays empty.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Texts are shuffled once, by a uniform key, so a source with a third of all rows
 
 Defined results: a null source is a source of its own. Without given weights a source's target is the power
 ``TEMPERATURE`` of its size. A source that the given weights don't name gets no copies; one without any text keeps each
-document once. Rows with equal ids get equal counts; of a null id the text is hashed instead. Extra columns pass through.
+document once. Rows with equal ids get equal counts; of a null id the text is hashed instead. Texts of any length only add to their
+source's sum and pass through, as do extra columns, whatever their names. An empty table stays empty. Copies of rows with one id (or
+with no id and one text) lie in one task, beside each other in the order of ``mix_key``.
 """
 
 from __future__ import annotations
