@@ -30,8 +30,10 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +49,8 @@ from plethora.llm.common import column, fresh_path, shuffle_parts, table
 #: Texts encoded at once, words that a task remembers and the longest of them (bytes), documents of a block that is read at once, ids of a batch that is returned.
 SLICE, WORDS, WORD_BYTES, BLOCK, BATCH = 64, 800_000, 48, 4096, 1 << 20
 #: Words that go to the library in one call, and stops that are pieces of their own.
-JOIN, STOPS = 1000, tuple(x.encode() for x in ".,;:!?")
+JOIN, _ENDS = 1000, b".,;:!?"
+STOPS = tuple(_ENDS[k : k + 1] for k in range(len(_ENDS)))
 END = 1
 
 
@@ -78,28 +81,43 @@ class WordEncoder:
                 return [raw[a:b] for a, b in zip([0, *((marks + 1) * size).tolist()], [*(marks * size).tolist(), len(raw)])]
         return self._library(words)
 
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of lower-case ASCII letters, which are whole pieces: the library's merges alone."""
+        kind, merge = np.dtype(self.dtype).char, self.model.model.tokenize
+        return [array(kind, [token.id for token in merge(word.decode())]).tobytes() for word in words]
+
+    @functools.cached_property
+    def alone(self) -> bool:
+        """Whether such words pass this file's normalizer and pre-tokenizer as they are."""
+        probes = ("a", "z", "word", "abcdefghijklmnopqrstuvwxyz" * 3)
+        normal, split = self.model.normalizer, self.model.pre_tokenizer
+        return self.lower and sys.byteorder == "little" and all((normal is None or normal.normalize_str(p) == p) and (split is None or [x for x, _ in split.pre_tokenize_str(p)] == [p]) for p in probes) and self._letters([b"word"]) == self._library([b"word"])
+
     def _learn(self, new: set[bytes]) -> None:
         """Puts words into known. A last stop after an ASCII letter or digit is a piece of its own, and ASCII is lower-cased by the model's file, so that such words share the ids of what is left."""
         known, older, lower, stops = self.known, self.older, self.lower, self.stops
-        stems, wanted = [], set()
-        for word in new:
-            ids = older.get(word)
-            if ids is not None:
-                known[word] = ids
-                continue
-            stem, stop = word, stops.get(word[-1:], b"") if word[-2:-1].isalnum() else b""
-            if stop:
-                stem = word[:-1]
-            if lower and stem.isascii() and b"<" not in stem:  # a special token's string stays as it is
+        again = {word: older[word] for word in new if word in older} if older else {}
+        known.update(again)
+        special, none = b"<" in b" ".join(new), b""  # a special token's string stays as it is
+        stems = []
+        for word in new.difference(again):
+            stem, stop = word.rstrip(_ENDS) if stops else word, none
+            if len(stem) != len(word):
+                if len(stem) + 1 == len(word) and stem[-1:].isalnum():
+                    stop = stops[word[-1:]]
+                else:
+                    stem = word
+            if lower and stem.isascii() and not (special and b"<" in stem):
                 stem = stem.lower()
-            if stem not in known:
-                wanted.add(stem)
             stems.append((word, stem, stop))
+        wanted = {stem for _, stem, _ in stems}.difference(known)
         found = {stem: older[stem] for stem in wanted if stem in older}
         wanted.difference_update(found)
         apart = [w for w in wanted if b"7" in w or b"<" in w]
         found.update(zip(apart, self._library(apart)))
-        plain = list(wanted.difference(apart))
+        letters = [w for w in wanted if w.isalpha()] if self.alone else []
+        found.update(zip(letters, self._letters(letters)))
+        plain = list(wanted.difference(apart).difference(letters))
         for low in range(0, len(plain), JOIN):
             part = plain[low : low + JOIN]
             found.update(zip(part, self._joined(part)))

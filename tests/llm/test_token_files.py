@@ -46,7 +46,7 @@ def test_words_give_the_ids_of_whole_texts(model, ordinary):
     with open(PATH, encoding="utf-8") as file:
         coder = token_files.WordEncoder(file.read(), "<u2", 1, ordinary)
     model.encode_special_tokens = ordinary
-    assert coder.lower and len(coder.stops) == 6
+    assert coder.lower and coder.alone and len(coder.stops) == 6
     for texts in (TEXTS, TEXTS[::-1], [" ".join(TEXTS)], TEXTS):
         assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(texts)] == [[*model.encode(t, add_special_tokens=False).ids, 1] for t in texts]
     model.encode_special_tokens = False
