@@ -14,7 +14,7 @@ where the store is no local mount), ``TokenFiles`` gives a trainer any document
 
 Encoding is the tokenizers library's. Its pieces never hold white space, and no normal form joins letters across it, so a text's
 ids are those of its words (between ASCII white space) one after another. A word is encoded once a worker while it is remembered
-(at most ``WORDS`` short ones, about 160 MB), which is several times as fast as encoding each text anew; tests hold this against
+(at most ``WORDS`` short ones, about 320 MB), which is several times as fast as encoding each text anew; tests hold this against
 whole texts.
 
 Lost executors: a shard's name is unique to the attempt that wrote it, and only the row of the attempt that Spark
@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 from plethora.llm.common import column, fresh_path, shuffle_parts, table
 
 #: Texts encoded at once, words that a task remembers and the longest of them (bytes), documents of a block that is read at once, ids of a batch that is returned.
-SLICE, WORDS, WORD_BYTES, BLOCK, BATCH = 64, 800_000, 48, 4096, 1 << 20
+SLICE, WORDS, WORD_BYTES, BLOCK, BATCH = 64, 1_600_000, 48, 4096, 1 << 20
 #: Words that go to the library in one call, and stops that are pieces of their own.
 JOIN, _ENDS = 1000, b".,;:!?"
 STOPS = tuple(_ENDS[k : k + 1] for k in range(len(_ENDS)))
