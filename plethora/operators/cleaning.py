@@ -13,6 +13,12 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ratio(a: str | Column, b: str | Column) -> Column:
+    """a / b of doubles as IEEE has it: infinite, or NaN for 0 / 0, where Spark's division fails."""
+    a, b = col(a), col(b)
+    return F.when(b == 0, a * float("inf")).otherwise(F.try_divide(a, b))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN and infinities of all floating columns as NULL."""
     floats = {c for c, kind in df.dtypes if kind in ("double", "float")}
