@@ -106,7 +106,7 @@ def rolling_sqi_parts(spark, sf):
     w, v = within.rowsBetween(-9, 0), within.rowsBetween(-59, 0)
     mean, swing = F.avg("value").over(w), F.max("value").over(w) - F.min("value").over(w)
     early = F.when(F.count("value").over(w) < 5, "warmup").when(mean < 10, "presence").when(swing < 0.001, "flat").otherwise("")
-    d = sl.own_rows(d.select("rec", "_slice", "_own", F.col("i").cast("long").alias("i"), early.alias("early"), (swing / mean).alias("mod"), iv.periodicity("value", v).alias("per")))
+    d = sl.own_rows(d.select("rec", "_slice", "_own", F.col("i").cast("long").alias("i"), early.alias("early"), cl.ratio(swing, mean).alias("mod"), iv.periodicity("value", v).alias("per")))
     d = d.withColumns({"score": F.least(F.lit(1.0), F.col("mod") / 4), "penalty": F.when(F.col("mod") > 3, 0.0).when(F.col("mod") > 2, 0.5).otherwise(1.0)})
     reject = F.when(F.col("early") != "", F.col("early")).when(F.col("score") < 0.1, "zombie").otherwise("")
     return d.withColumn("reject", reject).select("rec", "i", "reject", r6(F.when(F.col("reject") != "", 0.0).otherwise(F.least(F.lit(1.0), (0.4 * F.col("score") + 0.6 * F.col("per")) * F.col("penalty"))), "sqi"))

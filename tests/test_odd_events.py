@@ -23,12 +23,12 @@ def odd(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["perfusion_and_saturation"])
+@pytest.mark.parametrize("name", ["perfusion_and_saturation", "rolling_sqi_parts"])
 def test_against_sql(spark, odd, name):
     same(QUERIES[name].run(spark, odd[0]), odd[1], QUERIES[name].sql)
 
 
 def test_nothing_over_nothing_is_nan(spark, odd):
     """NaN, as in SQL, not NULL."""
-    first = QUERIES["perfusion_and_saturation"].run(spark, odd[0]).where("rec = 1 AND i = 0").first()
+    first = QUERIES["perfusion_and_saturation", "rolling_sqi_parts"].run(spark, odd[0]).where("rec = 1 AND i = 0").first()
     assert math.isnan(first.pi) and first["class"] == "good" and first.spo2 is None
