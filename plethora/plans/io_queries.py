@@ -136,6 +136,6 @@ def wfdb_round_trip(spark, sf):
     d = sl.numbered(events(spark, sf).select("rec", "us", "event_id", "value"), ["rec"], [F.asc("us"), F.asc("event_id")])
     rows = d.select(F.col("rec").cast("string").alias("record"), "i", "value", F.lit(1.0).alias("gate")).repartition("record").sortWithinPartitions("record", "i")
     path = fresh_path(spark, "wfdb")
-    rows.write.format("wfdb").mode("append").options(fs="4", gain="50").save(path)
+    rows.write.format("wfdb").mode("append").options(fs="4", gain="50", bits="32").save(path)
     back = spark.read.format("wfdb").options(signals="value", span="400").load(path)
     return back.select(F.col("record").cast("long").alias("rec"), "i", r6("value", "value"))

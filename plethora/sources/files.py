@@ -89,6 +89,10 @@ def npz(spark: SparkSession, path: str, channel: str) -> DataFrame:
     return nan_to_null(_binary(spark, path, "*.npz").select("path", "content").mapInPandas(run, "record string, i long, value double"))
 
 
+#: Numbers of a WFDB format; the lowest means missing.
+WFDB_NUMBERS = {"16": "<i2", "32": "<i4"}
+
+
 def wfdb_header(text: str) -> dict:
     """Rate, number of samples and, per signal: file, format, gain, baseline, name."""
     lines = [line.split() for line in text.splitlines() if line.strip() and not line.startswith("#")]
@@ -102,9 +106,10 @@ def wfdb_header(text: str) -> dict:
 
 
 def wfdb_signals(header: dict, content: bytes) -> dict[str, np.ndarray]:
-    """Physical values of format-16 signals that share a file; the lowest number means missing."""
-    raw = np.frombuffer(content, "<i2").reshape(-1, len(header["signals"]))
-    return {s["name"]: np.where(raw[:, k] == -32768, np.nan, (raw[:, k] - s["baseline"]) / s["gain"]) for k, s in enumerate(header["signals"])}
+    """Physical values of signals of format 16 or 32 that share a file; the lowest number means missing."""
+    kind = np.dtype(WFDB_NUMBERS[header["signals"][0]["format"]])
+    raw = np.frombuffer(content, kind).reshape(-1, len(header["signals"]))
+    return {s["name"]: np.where(raw[:, k] == np.iinfo(kind).min, np.nan, (raw[:, k] - s["baseline"]) / s["gain"]) for k, s in enumerate(header["signals"])}
 
 
 def wfdb_annotations(content: bytes) -> list[tuple[int, int]]:

@@ -23,12 +23,25 @@ def odd(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["perfusion_and_saturation", "rolling_sqi_parts"])
+@pytest.mark.parametrize("name", ["perfusion_and_saturation", "rolling_sqi_parts", "wfdb_round_trip"])
 def test_against_sql(spark, odd, name):
     same(QUERIES[name].run(spark, odd[0]), odd[1], QUERIES[name].sql)
 
 
 def test_nothing_over_nothing_is_nan(spark, odd):
     """NaN, as in SQL, not NULL."""
-    first = QUERIES["perfusion_and_saturation", "rolling_sqi_parts"].run(spark, odd[0]).where("rec = 1 AND i = 0").first()
+    first = QUERIES["perfusion_and_saturation"].run(spark, odd[0]).where("rec = 1 AND i = 0").first()
     assert math.isnan(first.pi) and first["class"] == "good" and first.spo2 is None
+
+
+def test_many_short_records_are_few_partitions(spark):
+    from plethora.sources import recordings
+    from plethora.sources.shared import fresh_path
+
+    recordings.register(spark)
+    rows = spark.range(2500).selectExpr("string(id % 1250) AS record", "id DIV 1250 AS i", "id * 1.0D AS x").repartition(2, "record").sortWithinPartitions("record", "i")
+    path = fresh_path(spark, "wfdb")
+    rows.write.format("wfdb").mode("append").options(bits="32").save(path)
+    read = spark.read.format("wfdb").option("span", "4").load(path)  # 2500 spans
+    assert read.rdd.getNumPartitions() == recordings.TASKS
+    assert read.count() == 2500 and read.selectExpr("sum(value)").first()[0] == sum(range(2500))
