@@ -5,6 +5,8 @@ Draws come from numpy's PCG64 in a fixed order, so a seed gives the same signals
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,12 +98,15 @@ def samples(spark: SparkSession, seed: int = SEED) -> DataFrame:
     return spark.createDataFrame(pd.concat(parts), "record string, fs double, i long, ir double")
 
 
-def beat_signals(intervals_ms: DataFrame, key: str, order: list[str], value: str, rate: float, light: float = 50_000.0, modulation: float = 0.0006, noise: float = 0.0, shaken: float = 0.0) -> DataFrame:
+def beat_signals(intervals_ms: DataFrame, key: str, order: list[str], value: str, rate: float, light: float = 50_000.0, modulation: float = 0.0006, noise: float = 0.0, shaken: float = 0.0, then: Callable | None = None, fields: str | None = None) -> DataFrame:
     """key, i, ecg, light, motion: each recording's intervals as the signals of a heart, from its start to a second after its last beat; motion is a slow sway.
 
     noise: spread of what is added to the light, as a share of a pulse, and to the ECG, as a share of its spike. shaken: size of a motion that
     comes over a hashed part of the recording's spans of ten seconds, in the light as a share of a pulse. Both are seeded by the key.
 
+    then: what to make of a recording in its group, from its signals and the times of its beats (s): columns by name, as in fields; the samples,
+    a hundred times the intervals, then go nowhere.
+
     A recording is one group. Only the samples near a beat are touched by its waves, so the work grows with the recording's length.
     """
     import pandas as pd
@@ -126,7 +131,9 @@ def beat_signals(intervals_ms: DataFrame, key: str, order: list[str], value: str
             rough = np.repeat(random.random(-(-n // int(10 * rate))) < 0.1 + 0.1 * (keys[0] % 5), int(10 * rate))[:n]
             moved = rough * (SWING[0] * np.sin(2 * np.pi * SWING[1] * t) + random.normal(0, 0.5, n))
             summed[1], sway = summed[1] + shaken * moved, sway + 5 * moved
-        return pd.DataFrame({key: keys[0], "i": np.arange(n), "ecg": summed[0], "light": light * (1 - modulation * summed[1]), "motion": sway})
+        made = {"i": np.arange(n), "ecg": summed[0], "light": light * (1 - modulation * summed[1]), "motion": sway}
+        made = then(made, beats) if then else made
+        return pd.DataFrame({key: np.full(len(next(iter(made.values()))), keys[0]), **made})
 
     rows = deal(intervals_ms.select(key, *order, value), key)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, i long, ecg double, light double, motion double")
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, " + (fields or "i long, ecg double, light double, motion double"))
