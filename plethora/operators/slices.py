@@ -7,6 +7,8 @@ and the matrix that carries a state through it; composed in order they tell each
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -58,28 +60,56 @@ def _through(sections: list, n: int) -> np.ndarray:
 def filtered(df: DataFrame, keys: list[str], order: list[str], value: str, sections: list, length: int = LENGTH) -> DataFrame:
     """keys, i, filtered: the value's samples in their order through second-order sections, from rest."""
     d = numbered(df.select(*keys, *order, F.col(value).cast("double").alias("_x")), keys, [F.asc(c) for c in order], total="_n")
-    d = stage(d.select(*keys, "i", "_x", F.floor(F.col("i") / length).alias("_slice"), F.floor((F.col("_n") - 1) / length).alias("_last")), "slices")
+    d = d.select(*keys, "i", "_x", F.floor(F.col("i") / length).alias("_slice"), F.floor((F.col("_n") - 1) / length).alias("_last"))
     kinds = ", ".join(f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys)
     size = 2 * len(sections)
 
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        registers = [0.0] * size
-        dsp.cascade(pdf.sort_values("i")["_x"].to_numpy(), sections, registers)
-        return pdf.iloc[:1][[*keys, "_slice"]].assign(left=[registers])
+    # A row per slice, so that a task steps through many slices side by side.
+    d = d.groupBy(*keys, "_slice", "_last").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_x"))), lambda r: r["_x"]).alias("_x"))
+    d = stage(d, "slices")
+
+    def by_length(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows with slices of one length, and their samples."""
+        for at in pdf.groupby(pdf["_x"].map(len), sort=False).indices.values():
+            yield at, np.stack([np.asarray(x, float) for x in pdf["_x"].to_numpy()[at]])
+
+    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            left = np.zeros((len(pdf), size))
+            for at, x in by_length(pdf):
+                registers = np.zeros((len(at), size))
+                dsp.cascades(x, sections, registers)
+                left[at] = registers
+            yield pdf[[*keys, "_slice", "_last"]].assign(left=list(left))
+
+    carried = _through(sections, length)
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         """All slices but the last are of full length, so one matrix serves them."""
-        pdf, matrix, state, starts = pdf.sort_values("_slice"), _through(sections, length), np.zeros(size), []
+        pdf, state, starts = pdf.sort_values("_slice"), np.zeros(size), []
         for left in pdf["left"]:
-            state = matrix @ state + np.asarray(left)
+            state = carried @ state + np.asarray(left)
             starts.append(state.tolist())
         return pdf[[*keys]].assign(_slice=pdf["_slice"] + 1, start=starts)
 
-    def run(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        registers = list(start["start"].iloc[0]) if len(start) else [0.0] * size
-        return rows[[*keys, "i"]].assign(filtered=dsp.cascade(rows["_x"].to_numpy(), sections, registers))
-
-    left = d.where(F.col("_slice") < F.col("_last")).groupBy(*keys, "_slice").applyInPandas(leave, f"{kinds}, _slice long, left array<double>")
-    starts = left.groupBy(*keys).applyInPandas(compose, f"{kinds}, _slice long, start array<double>")  # a row per slice
-    return d.groupBy(*keys, "_slice").cogroup(starts.groupBy(*keys, "_slice")).applyInPandas(run, f"{kinds}, i long, filtered double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: list = [None] * len(pdf)
+            for at, x in by_length(pdf):
+                registers = np.stack([np.zeros(size) if s is None else np.asarray(s, float) for s in pdf["start"].to_numpy()[at]])
+                for k, y in zip(at, dsp.cascades(x, sections, registers)):
+                    found[k] = y
+            yield pdf[[*keys, "_slice"]].assign(filtered=found)
+
+    left = stage(d.where(F.col("_slice") < F.col("_last")).select(*keys, "_slice", "_last", "_x").mapInPandas(leave, f"{kinds}, _slice long, _last long, left array<double>"), "left")
+    # The second slice starts from what the first leaves; only of longer recordings states are composed.
+    second = left.where("_slice = 0").select(*keys, F.lit(1).cast("long").alias("_slice"), F.col("left").alias("start"))
+    later = left.where("_last > 1").groupBy(*keys).applyInPandas(compose, f"{kinds}, _slice long, start array<double>").where("_slice > 1")
+    starts = second.unionByName(later)
+    starts = starts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_of"), "start")
+    same = F.col("_slice") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    made = d.join(starts, same, "left").select(*keys, "_slice", "_x", "start").mapInPandas(run, f"{kinds}, _slice long, filtered array<double>")
+    made = made.select(*keys, "_slice", F.posexplode("filtered").alias("_at", "filtered"))
+    return made.select(*keys, (F.col("_slice") * length + F.col("_at")).alias("i"), "filtered")

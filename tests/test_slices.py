@@ -97,3 +97,20 @@ def test_chains_are_whole(spark):
         if b - a <= 0.5:
             assert group[a] == group[b]
     assert bisect.bisect(times, 500) == 600
+
+
+def test_blocks_side_by_side_are_filtered_as_one_by_one():
+    x, sections = np.random.default_rng(3).normal(size=(7, 40)), [dsp.butterworth2(100.0, 0.5, "high"), dsp.butterworth2(100.0, 3.5, "low")]
+    state = np.random.default_rng(4).normal(size=(7, 4))
+    one = [list(s) for s in state.tolist()]
+    want = [dsp.cascade(row, sections, registers) for row, registers in zip(x, one)]
+    assert (dsp.cascades(x, sections, state) == np.array(want)).all() and (state == np.array(one)).all()
+
+
+def test_filters_of_many_short_recordings_run_in_few_calls(spark):
+    from pyspark.sql.functions import col
+
+    d = slices.filtered(spark.range(3000).select((col("id") % 900).alias("k"), "id", (col("id") % 7).cast("double").alias("x")), ["k"], ["id"], "x", [dsp.butterworth2(100.0, 0.5, "high")], 3)
+    plan = d._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "FlatMapCoGroups" not in plan and "FlatMapGroups" not in plan.split("MapInPandas")[0]
+    assert d.count() == 3000
