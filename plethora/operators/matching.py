@@ -7,12 +7,13 @@ a group, and a recording of any length spreads over tasks.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plethora.operators.joins import small
 from plethora.operators.order_stats import running_max, with_medians
+from plethora.operators.replay import each_group
+from plethora.sources.shared import stage
 
 #: Times of a group, about.
 GROUP = 20_000
@@ -51,21 +52,25 @@ def chained(times: DataFrame, key: str, time: str, tolerance: float, group: int
 
 def nearest_match(detected: DataFrame, reference: DataFrame, key: str, time: str, tolerance: float, group: int = GROUP) -> DataFrame:
     """key, ref_time, det_time: greedy one-to-one matches in the order of the reference, each to the nearer free one of its two neighbours. Rows without a key or a time match nothing."""
-    side = lambda df, name: df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, F.col(time), F.lit(name).alias("_side"))
-    both = chained(side(detected, "det").unionByName(side(reference, "ref")), key, time, tolerance, group)
+    side = lambda df, is_ref: df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, F.col(time), F.lit(is_ref).alias("_ref"))
+    both = chained(side(detected, False).unionByName(side(reference, True)), key, time, tolerance, group)
 
-    def match(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d, r = (np.sort(pdf.loc[pdf["_side"] == s, time].to_numpy()) for s in ("det", "ref"))
-        pairs = matched_pairs(d, r, tolerance)
-        return pd.DataFrame({key: pd.Series([keys[0]] * len(pairs), dtype=pdf[key].dtype), "ref_time": [r[i] for i, _ in pairs], "det_time": [d[j] for _, j in pairs]})
+    def match(group: dict[str, np.ndarray]) -> dict[str, list]:
+        at, ref = group["_o"], group["_ref"].astype(bool)
+        d, r = at[~ref], at[ref]
+        if not len(d) or not len(r):
+            return {"ref_time": [], "det_time": []}
+        pairs = np.array(matched_pairs(d, r, tolerance), int).reshape(-1, 2)
+        return {"ref_time": r[pairs[:, 0]].tolist(), "det_time": d[pairs[:, 1]].tolist()}
 
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = f"{key} {kind(reference, key)}, ref_time {kind(both, time)}, det_time {kind(both, time)}"
-    return both.groupBy(key, "_group").applyInPandas(match, schema)
+    kind = both.schema[time].dataType.simpleString()
+    rows = both.select(key, "_group", F.col(time).alias("_o"), "_ref")
+    return each_group(rows, [key, "_group"], match, f"ref_time {kind}, det_time {kind}").select(key, "ref_time", "det_time")
 
 
 def match_summary(matches: DataFrame, detected: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     """tp, sensitivity, positive predictive value and median absolute timing error of each recording."""
+    matches = stage(matches, "matches")  # they are counted and ranked
     n = reference.groupBy(key).agg(F.count(F.lit(1)).alias("n_ref")).join(detected.groupBy(key).agg(F.count(F.lit(1)).alias("n_det")), key, "full")
     hits = with_medians(matches.groupBy(key).agg(F.count(F.lit(1)).alias("tp")), matches, [key], {"error": F.abs(F.col("det_time") - F.col("ref_time"))})
     tp = F.coalesce("tp", F.lit(0))

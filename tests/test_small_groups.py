@@ -44,3 +44,12 @@ def test_beats_by_recording_and_variant(short_batches):
             found = pulse.replay(2 * np.median(x) - x if flip else x, pulse.Settings(fs=25.0, gate=gate, systolic=systolic))["beats"]
             assert sorted(got.get((k, name), []), key=lambda b: b[0]) == [(b["packet"], b["dt_ms"], b["accepted"], b["sqi"]) for b in found]
     assert got
+
+
+def test_matches_of_many_recordings_run_in_few_calls(short_batches):
+    from plethora.operators.matching import nearest_match
+
+    det, ref = (short_batches.range(400).select((F.col("id") % 90).alias("k"), (F.col("id") * 10 + shift).alias("t")) for shift in (0, 2))
+    d = nearest_match(det, ref, "k", "t", 5.0)
+    assert "MapInArrow" in d._jdf.queryExecution().toString()
+    assert sorted(map(tuple, d.collect())) == sorted((k % 90, k * 10 + 2, k * 10) for k in range(400))
