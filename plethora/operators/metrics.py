@@ -39,17 +39,18 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, weight: str | None
     """keys, n, spearman over rows that have both; ranks are those of distinct values. weight: how many rows a row stands for."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     both = stage(known.groupBy(*keys, x, y).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_m")), "pairs")
+    pairs = both
     for c, out in ((x, "_rx"), (y, "_ry")):
-        ranks = stage(average_ranks(both, keys, c, "_m").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(c).alias("_ranked"), F.col("rank").alias(out)), "ranks")
+        ranks = average_ranks(both, keys, c, "_m").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(c).alias("_ranked"), F.col("rank").alias(out))  # read once
         same = F.col(c) == F.col("_ranked")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        both = both.join(ranks, same).select(*both.columns, out)
+        pairs = pairs.join(ranks, same).select(*pairs.columns, out)
     n, m = F.sum("_m"), F.col("_m")
     mean = lambda c: F.sum(m * c) / n
     sx, sy = F.col("_rx"), F.col("_ry")
     spread = F.sqrt(mean(sx * sx) - mean(sx) * mean(sx)) * F.sqrt(mean(sy * sy) - mean(sy) * mean(sy))
-    return both.groupBy(*keys).agg(n.alias("n"), F.try_divide(mean(sx * sy) - mean(sx) * mean(sy), spread).alias("spearman"))
+    return pairs.groupBy(*keys).agg(n.alias("n"), F.try_divide(mean(sx * sy) - mean(sx) * mean(sy), spread).alias("spearman"))
 
 
 def confusion(df: DataFrame, keys: list[str], ref: str, shown: str) -> DataFrame:
