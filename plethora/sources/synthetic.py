@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SEED = 20260928
 
@@ -107,33 +108,31 @@ def beat_signals(intervals_ms: DataFrame, key: str, order: list[str], value: str
     then: what to make of a recording in its group, from its signals and the times of its beats (s): columns by name, as in fields; the samples,
     a hundred times the intervals, then go nowhere.
 
-    A recording is one group. Only the samples near a beat are touched by its waves, so the work grows with the recording's length.
+    A recording is one group, and a task goes through its recordings one after the other. Only the samples near a beat are touched by its
+    waves, so the work grows with the recording's length. What is not a number becomes NULL.
     """
-    import pandas as pd
-
-    from plethora.operators.replay import deal
-
-    kind = intervals_ms.schema[key].dataType.simpleString()
+    from plethora.operators.replay import deal, each_group
 
-    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        beats = np.cumsum(pdf.sort_values(order)[value].to_numpy(float)) / 1000.0
+    def run(group: dict[str, np.ndarray]) -> dict[str, list | np.ndarray]:
+        key_, beats = int(group["_key"][0]), np.cumsum(group["_value"].astype(float)) / 1000.0
         n = int((beats[-1] + 1) * rate)
         reach = int(rate)
         at = np.round(beats * rate).astype(int)[:, None] + np.arange(-reach // 4, reach)
         since, inside = at / rate - beats[:, None], (at >= 0) & (at < n)
         summed = [np.bincount(at[inside], waves(since, shapes)[inside], n) for shapes in (ECG, LIGHT)]
         t = np.arange(n) / rate
-        sway = np.sin(0.7 * t + keys[0] % 7) * (1 + keys[0] % 3)
-        random = np.random.default_rng([SEED, abs(int(keys[0]))])
+        sway = np.sin(0.7 * t + key_ % 7) * (1 + key_ % 3)
+        random = np.random.default_rng([SEED, abs(key_)])
         if noise:
             summed = [x + random.normal(0, noise, n) for x in summed]
         if shaken:
-            rough = np.repeat(random.random(-(-n // int(10 * rate))) < 0.1 + 0.1 * (keys[0] % 5), int(10 * rate))[:n]
+            rough = np.repeat(random.random(-(-n // int(10 * rate))) < 0.1 + 0.1 * (key_ % 5), int(10 * rate))[:n]
             moved = rough * (SWING[0] * np.sin(2 * np.pi * SWING[1] * t) + random.normal(0, 0.5, n))
             summed[1], sway = summed[1] + shaken * moved, sway + 5 * moved
         made = {"i": np.arange(n), "ecg": summed[0], "light": light * (1 - modulation * summed[1]), "motion": sway}
         made = then(made, beats) if then else made
-        return pd.DataFrame({key: np.full(len(next(iter(made.values()))), keys[0]), **made})
+        return {c: x if isinstance(x, np.ndarray) and x.dtype.kind != "f" else [None if v is None or v != v else v for v in x] if then else x for c, x in made.items()}
 
     rows = deal(intervals_ms.select(key, *order, value), key)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, " + (fields or "i long, ecg double, light double, motion double"))
+    rows = rows.select(key, F.col(key).alias("_key"), F.col(value).alias("_value"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("_o"))
+    return each_group(rows, [key], run, fields or "i long, ecg double, light double, motion double", dealt=True)
