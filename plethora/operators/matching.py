@@ -40,6 +40,15 @@ def matched_pairs(found: np.ndarray, wanted: np.ndarray, tolerance: float) -> li
     return pairs
 
 
+def figures_of(found: np.ndarray, wanted: np.ndarray, tolerance: float) -> dict[str, list]:
+    """A row of match_summary() for one recording, whose times are at hand in its group."""
+    found, wanted = np.sort(found), np.sort(wanted)
+    pairs = np.array(matched_pairs(found, wanted, tolerance), int).reshape(-1, 2)
+    tp, gaps = len(pairs), np.sort(np.abs(found[pairs[:, 1]] - wanted[pairs[:, 0]]))
+    error = 0.5 * gaps[(tp - 1) // 2] + 0.5 * gaps[tp // 2] if tp else None
+    return {"tp": [tp], "sensitivity": [tp / len(wanted) if len(wanted) else None], "ppv": [tp / len(found) if len(found) else None], "error": [error]}
+
+
 def chained(times: DataFrame, key: str, time: str, tolerance: float, group: int = GROUP) -> DataFrame:
     """times with _group: chains of times at most the tolerance apart are whole in it. A chain is known by its first time."""
     d = running_max(times, [key], [F.asc(time)], {"_before": F.col(time)}, inclusive=False)

@@ -99,40 +99,59 @@ def samples(spark: SparkSession, seed: int = SEED) -> DataFrame:
     return spark.createDataFrame(pd.concat(parts), "record string, fs double, i long, ir double")
 
 
-def beat_signals(intervals_ms: DataFrame, key: str, order: list[str], value: str, rate: float, light: float = 50_000.0, modulation: float = 0.0006, noise: float = 0.0, shaken: float = 0.0, then: Callable | None = None, fields: str | None = None) -> DataFrame:
+#: What a recording's intervals are made into.
+PARTS = ("i", "ecg", "light", "motion")
+
+
+def beat_signals(intervals_ms: DataFrame, key: str, order: list[str], value: str, rate: float, light: float = 50_000.0, modulation: float = 0.0006, noise: float = 0.0, shaken: float = 0.0, then: Callable | None = None, fields: str | None = None, parts: tuple[str, ...] = PARTS, together: int = 0) -> DataFrame:
     """key, i, ecg, light, motion: each recording's intervals as the signals of a heart, from its start to a second after its last beat; motion is a slow sway.
 
     noise: spread of what is added to the light, as a share of a pulse, and to the ECG, as a share of its spike. shaken: size of a motion that
     comes over a hashed part of the recording's spans of ten seconds, in the light as a share of a pulse. Both are seeded by the key.
 
     then: what to make of a recording in its group, from its signals and the times of its beats (s): columns by name, as in fields; the samples,
-    a hundred times the intervals, then go nowhere.
+    a hundred times the intervals, then go nowhere. parts: those that it takes; ms are the times of the beats as they add up (ms). together: intervals
+    that are gathered, at least, before it gets lists of the signals and of the times of their recordings, and makes a list.
 
     A recording is one group, and a task goes through its recordings one after the other. Only the samples near a beat are touched by its
     waves, so the work grows with the recording's length. What is not a number becomes NULL.
     """
     from plethora.operators.replay import deal, each_group
 
-    def run(group: dict[str, np.ndarray]) -> dict[str, list | np.ndarray]:
-        key_, beats = int(group["_key"][0]), np.cumsum(group["_value"].astype(float)) / 1000.0
+    def signals_of(group: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        key_, ms = int(group["_key"][0]), np.cumsum(group["_value"].astype(float))
+        beats = ms / 1000.0
         n = int((beats[-1] + 1) * rate)
         reach = int(rate)
         at = np.round(beats * rate).astype(int)[:, None] + np.arange(-reach // 4, reach)
         since, inside = at / rate - beats[:, None], (at >= 0) & (at < n)
-        summed = [np.bincount(at[inside], waves(since, shapes)[inside], n) for shapes in (ECG, LIGHT)]
-        t = np.arange(n) / rate
-        sway = np.sin(0.7 * t + key_ % 7) * (1 + key_ % 3)
+        summed = {c: np.bincount(at[inside], waves(since, shapes)[inside], n) for c, shapes in (("ecg", ECG), ("light", LIGHT)) if c in parts}
+        t = np.arange(n) / rate if "motion" in parts or shaken else None
+        sway = np.sin(0.7 * t + key_ % 7) * (1 + key_ % 3) if "motion" in parts else None
         random = np.random.default_rng([SEED, abs(key_)])
         if noise:
-            summed = [x + random.normal(0, noise, n) for x in summed]
+            drawn = {c: random.normal(0, noise, n) for c in ("ecg", "light")}
+            summed = {c: x + drawn[c] for c, x in summed.items()}
         if shaken:
             rough = np.repeat(random.random(-(-n // int(10 * rate))) < 0.1 + 0.1 * (key_ % 5), int(10 * rate))[:n]
             moved = rough * (SWING[0] * np.sin(2 * np.pi * SWING[1] * t) + random.normal(0, 0.5, n))
-            summed[1], sway = summed[1] + shaken * moved, sway + 5 * moved
-        made = {"i": np.arange(n), "ecg": summed[0], "light": light * (1 - modulation * summed[1]), "motion": sway}
-        made = then(made, beats) if then else made
-        return {c: x if isinstance(x, np.ndarray) and x.dtype.kind != "f" else [None if v is None or v != v else v for v in x] if then else x for c, x in made.items()}
+            if "light" in parts:
+                summed["light"] = summed["light"] + shaken * moved
+            sway = sway + 5 * moved if "motion" in parts else None
+        ready = {"ms": lambda: ms, "i": lambda: np.arange(n), "ecg": lambda: summed["ecg"], "light": lambda: light * (1 - modulation * summed["light"]), "motion": lambda: sway}
+        return {c: ready[c]() for c in parts}, beats
+
+    def plain(made: dict) -> dict[str, list | np.ndarray]:
+        return {c: x if isinstance(x, np.ndarray) and x.dtype.kind != "f" else [None if v is None or v != v else v for v in x] for c, x in made.items()}
+
+    def run(group: dict[str, np.ndarray]) -> dict[str, list | np.ndarray]:
+        made, beats = signals_of(group)
+        return plain(then(made, beats)) if then else made
+
+    def run_many(groups: list[dict[str, np.ndarray]]) -> list[dict[str, list | np.ndarray]]:
+        made = [signals_of(g) for g in groups]
+        return [plain(x) for x in then([m for m, _ in made], [b for _, b in made])]
 
     rows = deal(intervals_ms.select(key, *order, value), key)
     rows = rows.select(key, F.col(key).alias("_key"), F.col(value).alias("_value"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("_o"))
-    return each_group(rows, [key], run, fields or "i long, ecg double, light double, motion double", dealt=True)
+    return each_group(rows, [key], run_many if together else run, fields or "i long, ecg double, light double, motion double", dealt=True, together=together)
